@@ -67,7 +67,15 @@ def imbalance(df: DataFrame, target: str = "DepDel15", warn_below: float = 0.1)
 def correlations(df: DataFrame, target: str = "DepDel15", columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every numeric column with the target over rows where both are known."""
     names = [c for c in (numeric_columns(df) if columns is None else columns) if c != target]
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r_{i}") for i, c in enumerate(names)])
+    y = F.col(target).cast("double")
+
+    def pearson(name: str):
+        # Not the built-in corr: in ANSI mode it raises on a constant column.
+        x = F.col(name).cast("double")
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), spread)
+
+    row = df.agg(*[pearson(c).alias(f"r_{i}") for i, c in enumerate(names)])
     return _one_row_to_long(
         row, [F.struct(F.lit(c).alias("column"), F.col(f"r_{i}").alias("correlation")) for i, c in enumerate(names)]
     )
