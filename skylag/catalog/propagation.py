@@ -11,6 +11,8 @@ from skylag.catalog.causes_and_rates import RATE
 from skylag.catalog.registry import query
 from skylag.catalog.views import FLIGHT_KEY, with_flights
 from skylag.operators import history, propagation
+from skylag.operators.weather import nearby_map
+from skylag.plans.feature_table import strategic_features
 
 no_origin = partial(views.flights, with_origin=False)
 KEY = ", ".join(FLIGHT_KEY)
@@ -24,7 +26,7 @@ query("w01_previous_leg", with_flights(f"SELECT {KEY}, Tail_Number, prev_arr_del
 query("w01_previous_leg_unknown_tails_kept", with_flights(
     f"SELECT {KEY}, lag(ArrDelay) OVER (PARTITION BY Tail_Number ORDER BY FlightDate, CRSDepTime, {KEY}) AS prev_arr_delay "
     "FROM flights_v WHERE NOT Cancelled"))(
-    lambda spark, sf: propagation.previous_leg(no_origin(spark, sf), FLIGHT_KEY, drop_unknown_tails=False).select(*FLIGHT_KEY, "prev_arr_delay"))
+    lambda spark, sf: propagation.previous_leg(no_origin(spark, sf), FLIGHT_KEY, drop_unknown_tails=False, split_above=500).select(*FLIGHT_KEY, "prev_arr_delay"))
 query("a14_propagation_rates", with_flights(
     f"SELECT prev_arr_delay > 15 AS prev_delayed, {RATE} FROM legs WHERE prev_arr_delay IS NOT NULL GROUP BY 1", LEGS_SQL))(
     lambda spark, sf: propagation.propagation_rates(propagation.previous_leg(no_origin(spark, sf), FLIGHT_KEY)))
@@ -97,3 +99,16 @@ query("w08_rolling_history", with_flights(
     "LEFT JOIN route_history r ON r.Origin = f.Origin AND r.Dest = f.Dest AND r.FlightDate = f.FlightDate",
     *[_rolling_sql(p, k) for p, k in history.HISTORY_KEYS.items()]))(
     lambda spark, sf: history.add_history(views.flights(spark, sf)).select(*FLIGHT_KEY, *HISTORY_COLUMNS))
+
+
+STRATEGIC_COLUMNS = ["days_to_next_holiday", "origin_sched_departures", "route_delay_rate_30d", "temp"]
+
+
+@query("t12_strategic_features_by_year")
+def _strategic(spark, sf):
+    """The day-ahead feature table, summed up per year."""
+    table = strategic_features(
+        views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs()))
+    return table.groupBy("Year").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"known_{c}") for c in STRATEGIC_COLUMNS],
+        F.sum("origin_sched_departures").alias("departures"), F.avg("days_to_next_holiday").alias("mean_days_to_next"))

@@ -9,6 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Str
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylag.operators.ordered import local_if_small
 from skylag.operators.quality import medians
 
 
@@ -50,7 +51,7 @@ def category_filler(columns: Sequence[str], placeholder: str = "missing", suffix
 
 def known_or_missing(df: DataFrame, train: DataFrame, column: str, placeholder: str = "missing") -> DataFrame:
     """Replace values that do not occur in the training rows by the placeholder."""
-    seen = train.select(F.coalesce(F.col(column), F.lit(placeholder)).alias("__seen")).distinct()
+    seen = local_if_small(train.select(F.coalesce(F.col(column), F.lit(placeholder)).alias("__seen")).distinct())
     filled = df.withColumn(column, F.coalesce(F.col(column), F.lit(placeholder)))
     return filled.join(seen, F.col(column) == F.col("__seen"), "left").withColumn(
         column, F.coalesce("__seen", F.lit(placeholder))

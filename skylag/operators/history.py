@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylag.functions.clock import clock_hour
+from skylag.functions.clock import clock_hour, with_departure_hour
 from skylag.functions.numeric import ratio
 
 # History keys: name of the feature group and the columns that form its key.
@@ -45,9 +45,9 @@ def add_congestion(flights: DataFrame) -> DataFrame:
     same_hour = (
         (F.col("Origin") == F.col("__airport"))
         & (F.col("FlightDate") == F.col("__date"))
-        & (clock_hour("CRSDepTime") == F.col("__hour"))
+        & (F.col("dep_hour") == F.col("__hour"))
     )
-    return flights.join(traffic, same_hour, "left").drop("__airport", "__date", "__hour")
+    return with_departure_hour(flights).join(traffic, same_hour, "left").drop("__airport", "__date", "__hour")
 
 
 def rolling_rates(daily: DataFrame, keys: Sequence[str], prefix: str, spans: Sequence[int], date: str = "FlightDate") -> DataFrame:

@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than `limit` rows: at most rows/limit of them, counted before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
+
+
 def previous_value(
     df: DataFrame,
     keys: Sequence[str],
@@ -20,34 +25,51 @@ def previous_value(
     order: Sequence[str],
     value: str,
     alias: str,
+    split_above: int = 5_000_000,
 ) -> DataFrame:
     """The value of the preceding row of the same key, as `lag` gives it.
 
-    `bucket` names columns that are a coarser form of `order` (for instance the
-    date and the hour of a date and clock order).
+    Keys of up to `split_above` rows are windowed as they are. Larger ones are cut
+    into buckets; `bucket` names columns that are a coarser form of `order` (for
+    instance the date and the hour of a date and clock order). The last value of a
+    bucket enters the next bucket in use as one extra row, so that the rows are
+    shuffled once and not joined. With no keys everything is cut.
     """
     names = list(bucket)
     local = [*keys, *names]
-    rows = df.withColumns(bucket)
-    within = Window.partitionBy(*local).orderBy(*order)
-    rows = rows.withColumns({alias: F.lag(value).over(within), "__first": F.row_number().over(within) == 1})
-
-    # One row per key and bucket: its last value, moved on to the next bucket in use.
+    if keys:
+        # At most rows / split_above entries, hence small enough to broadcast.
+        hot = large_groups(df, keys, split_above).withColumnsRenamed({k: f"__hot_{k}" for k in keys})
+        same_key = None
+        for k in keys:
+            equal = F.col(k).eqNullSafe(F.col(f"__hot_{k}"))
+            same_key = equal if same_key is None else same_key & equal
+        marked = df.join(F.broadcast(hot.withColumn("__is_hot", F.lit(True))), same_key, "left")
+        rows = marked.withColumns({n: F.when(F.col("__is_hot"), c) for n, c in bucket.items()})
+        large = rows.filter(F.col("__is_hot"))
+        rows = rows.drop("__is_hot", *[f"__hot_{k}" for k in keys])
+    else:
+        rows = large = df.withColumns(bucket)
+
+    # One row per large key and bucket: its last value, moved on to the next bucket.
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
-    per_bucket = df.withColumns(bucket).groupBy(*local).agg(last)
     across = Window.partitionBy(*keys).orderBy(*names)
-    carried = per_bucket.select(*local, F.lag("__last.v").over(across).alias("__carried"))
-
-    renamed = carried.withColumnsRenamed({c: f"__r_{c}" for c in local})
-    same_bucket = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in local]
-    condition = same_bucket[0]
-    for c in same_bucket[1:]:
-        condition = condition & c
-    joined = rows.join(renamed, condition, "left")
-    return joined.withColumn(alias, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col(alias))).drop(
-        "__first", "__carried", *names, *[f"__r_{c}" for c in local]
+    per_bucket = large.groupBy(*local).agg(last).withColumn("__next", F.lead(F.struct(*names)).over(across))
+    carried = per_bucket.filter(F.col("__next").isNotNull()).select(
+        *keys, *[F.col(f"__next.{n}").alias(n) for n in names], F.col("__last.v").alias(value), F.lit(0).alias("__own")
     )
 
+    together = rows.withColumn("__own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    within = Window.partitionBy(*local).orderBy("__own", *order)
+    return together.withColumn(alias, F.lag(value).over(within)).filter(F.col("__own") == 1).drop("__own", *names)
+
+
+def local_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """The rows as a local table when there are at most `max_rows`, so that joining them
+    needs no shuffle of the other side; otherwise the frame as it is. Runs a job."""
+    found = df.limit(max_rows + 1).collect()
+    return df if len(found) > max_rows else df.sparkSession.createDataFrame(found, df.schema)
+
 
 def quantile_splits(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
     """Per column, at most `buckets` - 1 ascending boundaries that cut its rows about evenly.

@@ -21,20 +21,21 @@ def previous_leg(
     delay: str = "ArrDelay",
     alias: str = "prev_arr_delay",
     drop_unknown_tails: bool = True,
+    split_above: int = 5_000_000,
 ) -> DataFrame:
     """Active flights with the arrival delay of the same aircraft's flight before.
 
     Ordered by date, scheduled departure and `tie_break` (a column set that makes
-    the order total). Each aircraft is cut by date and hour, so neither a very busy
-    tail number nor, if kept, the flights of unknown tail end up in one task.
-    Flights without a tail number chain to each other unless they are dropped.
+    the order total). A tail number with more than `split_above` flights is cut by
+    date and hour; flights without one, which chain to each other unless they are
+    dropped, would otherwise be one task.
     """
     rows = active(flights)
     if drop_unknown_tails:
         rows = rows.filter(F.col(tail).isNotNull())
     bucket = {"__day": F.col("FlightDate"), "__hour": clock_hour("CRSDepTime")}
     order = ["FlightDate", "CRSDepTime", *tie_break]
-    return previous_value(rows, [tail], bucket, order, delay, alias)
+    return previous_value(rows, [tail], bucket, order, delay, alias, split_above)
 
 
 def propagation_rates(with_previous: DataFrame, threshold: float = 15, previous: str = "prev_arr_delay") -> DataFrame:
@@ -150,7 +151,7 @@ def add_recent_arrival_features(
     )
     condition = (F.col("Origin") == F.col("__airport")) & (F.col("DepTimestamp").cast("bigint") == F.col("__minute"))
     for c in scope:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        condition = condition & (F.col(c) == F.col(f"__{c}"))
     joined = timed.join(recent, condition, "left")
 
     def known_origin(value: Column) -> Column:

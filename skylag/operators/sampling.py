@@ -3,7 +3,8 @@
 Rows are ordered by a seeded hash of their key. Instead of sorting, the hash range
 is cut into 65,536 slices; slice totals (a small table) show in which slice the
 quota is reached, and only the rows of that one slice are ranked. The same rows
-come out on every run and under every partitioning.
+come out on every run and under every partitioning. The key should identify a
+row: rows with equal keys share a slice.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylag.operators.ordered import local_if_small
+
 SLICE_BITS = 16
 XXHASH_BITS = 64
-MAX_LOCAL_STRATA = 10_000
 
 
 def key_hash(keys: Sequence[str], seed: int = 42) -> Column:
@@ -40,15 +42,6 @@ def _cuts(rows: DataFrame, strata: Sequence[str], quota: Callable[[Column], Colu
     )
 
 
-def _small_or_lazy(cuts: DataFrame) -> DataFrame:
-    """The cuts as a local table when there are few strata, so that joining them needs
-    no shuffle of the rows; otherwise as they are, for an ordinary join."""
-    found = cuts.limit(MAX_LOCAL_STRATA + 1).collect()
-    if len(found) > MAX_LOCAL_STRATA:
-        return cuts
-    return cuts.sparkSession.createDataFrame(found, cuts.schema)
-
-
 def sample_exact(
     df: DataFrame,
     n: int,
@@ -83,7 +76,7 @@ def stratified_split(
 ) -> DataFrame:
     """Every row marked 'train' or 'test', with floor(fraction * rows) train rows per label value."""
     rows = _prepare(df, keys, seed, rank_by, rank_bits)
-    cuts = _small_or_lazy(_cuts(rows, [label], lambda total: F.floor(total * train_fraction)))
+    cuts = local_if_small(_cuts(rows, [label], lambda total: F.floor(total * train_fraction)))
     placed = rows.join(
         cuts.withColumnRenamed(label, "__label"), F.col(label).eqNullSafe(F.col("__label")), "left"
     ).drop("__label")

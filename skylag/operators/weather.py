@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylag import fixed_values as fixed
 from skylag import schemas
-from skylag.functions.clock import clock_hour, to_timestamp
+from skylag.functions.clock import to_timestamp, with_departure_hour
 
 
 def nearby_map(spark: SparkSession, pairs: Sequence[tuple[str, str]] = tuple(fixed.NEARBY_AIRPORTS)) -> DataFrame:
@@ -72,7 +72,7 @@ def join_weather(
     `null_safe` also matches unknown keys to unknown keys.
     """
     hourly = weather_by_hour(weather, measures).withColumnRenamed("Origin", "__airport")
-    keyed = flights.withColumn("dep_hour", clock_hour("CRSDepTime"))
+    keyed = with_departure_hour(flights)
     pairs = [("Origin", "__airport"), ("FlightDate", "date"), ("dep_hour", "hour")]
     condition = None
     for left, right in pairs:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from skylag import fixed_values as fixed
-from skylag.functions.clock import clock_hour
 from skylag.operators.calendar import add_calendar_features
 from skylag.operators.history import add_congestion, add_history
 from skylag.operators.holidays import date_dimension, join_calendar, years_of
@@ -35,11 +34,9 @@ def strategic_features(
     """Only what is known a day ahead: calendar, holiday distance, scheduled traffic,
     rolling history and weather.
 
-    Flights are hashed once on (Origin, FlightDate, hour); the congestion and the
-    weather join use exactly these keys and need no further shuffle of the flights.
+    The flights are shuffled twice at most: on the history key, and on (Origin,
+    FlightDate, dep_hour), which the congestion and the weather join share.
     """
     dimension = date_dimension(years_of(flights))
     enriched = join_calendar(add_calendar_features(flights), dimension, list(calendar_columns))
-    with_history = add_history(enriched)
-    spread = with_history.withColumn("dep_hour", clock_hour("CRSDepTime"))
-    return join_weather(add_congestion(spread), fill_from_nearby(weather, mapping), measures)
+    return join_weather(add_congestion(add_history(enriched)), fill_from_nearby(weather, mapping), measures)
