@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +20,14 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_counted(df: DataFrame, path: str) -> tuple[int, int]:
-    """Write parquet and return rows and columns, counted during the write itself."""
-    rows = Observation()
-    write_table(df.observe(rows, F.count(F.lit(1)).alias("rows")), path)
-    return rows.get["rows"], len(df.columns)
+    """Write parquet and return rows and columns; the rows are added up from the
+    footers of the written files, so nothing is computed twice.
+
+    (An observed write would do it in one pass, but once a session has used an
+    Observation, a logistic model fitted in it can no longer be shipped to tasks.)
+    """
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path).count(), len(df.columns)
 
 
 def write_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -40,7 +45,7 @@ def write_or_preview(df: DataFrame, path: str, csv_path: str, preview_rows: int
     try:
         write_table(df, path)
         return True
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         df.limit(preview_rows).write.mode("overwrite").option("header", True).csv(csv_path)
         return False
 
