@@ -6,12 +6,9 @@ equal inputs. FLIGHT_KEY identifies a row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylag.functions.clock import minutes_to_clock
-from skylag.functions.dates import weekday_monday_first
-
 FLIGHT_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 HASH_BITS = 31
 
@@ -20,68 +17,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Three layers, so that what several columns share is computed once per row.
+FLIGHT_BASE = [
+    *FLIGHT_KEY,
+    "l_returnflag",
+    "l_linestatus",
+    "CAST(l_shipdate AS DATE) AS dt",
+    "CAST(l_quantity AS INT) * l_linenumber - 60 AS d",
+    "(l_orderkey + l_linenumber) % 50 = 0 AS gone",
+    "(l_orderkey + l_linenumber) % 97 = 0 AS away",
+    "CAST((l_orderkey % 24) * 60 + l_partkey % 60 AS INT) AS sched",
+    "CAST(60 + l_partkey % 180 AS INT) AS dur",
+    "CAST(l_partkey % 21 - 10 AS INT) AS extra",
+    "(l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 1299709 + l_suppkey * 15485863) % 2147483647 AS row_hash",
+]
+FLIGHT_CLOCK = [
+    "(sched + d + 1440) % 1440 AS dep_m",
+    "(sched + d + dur + 1440) % 1440 AS arr_m",
+    "(sched + dur) % 1440 AS crs_arr_m",
+    "NOT gone AND d >= 15 AS late",
+    "NOT gone AND NOT away AS arrived",
+]
+FLIGHT_COLUMNS = [
+    *FLIGHT_KEY,
+    "year(dt) AS Year",
+    "quarter(dt) AS Quarter",
+    "month(dt) AS Month",
+    "day(dt) AS DayofMonth",
+    "weekday(dt) + 1 AS DayOfWeek",
+    "dt AS FlightDate",
+    "concat(l_returnflag, l_linestatus) AS Marketing_Airline_Network",
+    "CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_suppkey AS STRING) END AS Tail_Number",
+    "concat('NATION_', CAST(l_partkey % 25 AS STRING)) AS Dest",
+    "CAST((sched DIV 60) * 100 + sched % 60 AS INT) AS CRSDepTime",
+    "CAST((crs_arr_m DIV 60) * 100 + crs_arr_m % 60 AS INT) AS CRSArrTime",
+    "CAST(CASE WHEN NOT gone THEN (dep_m DIV 60) * 100 + dep_m % 60 END AS DOUBLE) AS DepTime",
+    "CAST(CASE WHEN arrived THEN (arr_m DIV 60) * 100 + arr_m % 60 END AS DOUBLE) AS ArrTime",
+    "CAST(CASE WHEN NOT gone THEN d END AS DOUBLE) AS DepDelay",
+    "CAST(CASE WHEN NOT gone THEN greatest(d, 0) END AS DOUBLE) AS DepDelayMinutes",
+    "CASE WHEN NOT gone THEN CAST(d >= 15 AS DOUBLE) END AS DepDel15",
+    "CAST(CASE WHEN arrived THEN d + extra END AS DOUBLE) AS ArrDelay",
+    "CASE WHEN arrived THEN CAST(d + extra >= 15 AS DOUBLE) END AS ArrDel15",
+    "gone AS Cancelled",
+    "away AS Diverted",
+    *[
+        f"CAST(CASE WHEN late THEN CASE WHEN l_linenumber % 5 = {i} THEN d ELSE 0 END END AS DOUBLE) AS {cause}"
+        for i, cause in enumerate(["CarrierDelay", "LateAircraftDelay", "NASDelay", "WeatherDelay", "SecurityDelay"])
+    ],
+    "CAST(100 + (l_partkey * 7 + l_suppkey * 13) % 2400 AS DOUBLE) AS Distance",
+    "row_hash",
+    "(row_hash % 1000) / CAST(1000 AS DOUBLE) AS score",
+]
+
+
 def flights(spark: SparkSession, sf_dir: str, with_origin: bool = True) -> DataFrame:
     """One flight per order line. Without the origin no join is needed."""
     lines = table(spark, sf_dir, "lineitem")
-    origin: Column = F.lit(None).cast("string")
+    origin = []
     if with_origin:
         suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-        nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name AS Origin")
         lines = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(
             nations, F.col("s_nationkey") == F.col("n_nationkey")
         )
-        origin = F.col("n_name")
-
-    date = F.to_date("l_shipdate")
-    delay = F.col("l_quantity").cast("int") * F.col("l_linenumber") - 60
-    cancelled = (F.col("l_orderkey") + F.col("l_linenumber")) % 50 == 0
-    diverted = (F.col("l_orderkey") + F.col("l_linenumber")) % 97 == 0
-    scheduled = (F.col("l_orderkey") % 24) * 60 + F.col("l_partkey") % 60
-    duration = 60 + F.col("l_partkey") % 180
-    arrival_delay = delay + F.col("l_partkey") % 21 - 10
-    arrived = ~(cancelled | diverted)
-    is_late = ~cancelled & (delay >= 15)
-
-    def cause(position: int) -> Column:
-        return F.when(is_late, F.when(F.col("l_linenumber") % 5 == position, delay).otherwise(0)).cast("double")
-
-    mixed = (
-        F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 1299709 + F.col("l_suppkey") * 15485863
-    ) % 2147483647
-    columns = {
-        **{k: F.col(k) for k in FLIGHT_KEY},
-        "Year": F.year(date),
-        "Quarter": F.quarter(date),
-        "Month": F.month(date),
-        "DayofMonth": F.dayofmonth(date),
-        "DayOfWeek": weekday_monday_first(date),
-        "FlightDate": date,
-        "Marketing_Airline_Network": F.concat("l_returnflag", "l_linestatus"),
-        "Tail_Number": F.when(F.col("l_partkey") % 50 != 0, F.col("l_suppkey").cast("string")),
-        "Origin": origin,
-        "Dest": F.concat(F.lit("NATION_"), (F.col("l_partkey") % 25).cast("string")),
-        "CRSDepTime": minutes_to_clock(scheduled),
-        "CRSArrTime": minutes_to_clock((scheduled + duration) % 1440),
-        "DepTime": F.when(~cancelled, minutes_to_clock((scheduled + delay + 1440) % 1440)).cast("double"),
-        "ArrTime": F.when(arrived, minutes_to_clock((scheduled + delay + duration + 1440) % 1440)).cast("double"),
-        "DepDelay": F.when(~cancelled, delay).cast("double"),
-        "DepDelayMinutes": F.when(~cancelled, F.greatest(delay, F.lit(0))).cast("double"),
-        "DepDel15": F.when(~cancelled, (delay >= 15).cast("double")),
-        "ArrDelay": F.when(arrived, arrival_delay).cast("double"),
-        "ArrDel15": F.when(arrived, (arrival_delay >= 15).cast("double")),
-        "Cancelled": cancelled,
-        "Diverted": diverted,
-        "CarrierDelay": cause(0),
-        "LateAircraftDelay": cause(1),
-        "NASDelay": cause(2),
-        "WeatherDelay": cause(3),
-        "SecurityDelay": cause(4),
-        "Distance": (100 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 2400).cast("double"),
-        "row_hash": mixed,
-        "score": (mixed % 1000) / 1000.0,
-    }
-    rows = lines.select(*[c.alias(name) for name, c in columns.items()])
-    return rows if with_origin else rows.drop("Origin")
+        origin = ["Origin"]
+    return lines.selectExpr(*FLIGHT_BASE, *origin).selectExpr("*", *FLIGHT_CLOCK).selectExpr(*FLIGHT_COLUMNS, *origin)
 
 
 FLIGHTS_SQL = """
@@ -133,23 +133,20 @@ flights_v AS (
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly weather rows, several per airport and hour, in January 2000."""
-    n = F.col("event_id")
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz") - F.make_dt_interval(F.lit(8766))
-    nothing = F.lit(None).cast("double")
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("NATION_"), (F.col("user_id") % 25).cast("string")).alias("airport_code"),
-        hour.alias("time"),
-        F.col("value").alias("temp"),
-        (n % 31 - 10).cast("double").alias("dwpt"),
-        (n % 101).cast("double").alias("rhum"),
-        F.when(n % 3 != 0, (n % 5).cast("double")).alias("prcp"),
-        nothing.alias("snow"),
-        (n % 360).cast("double").alias("wdir"),
-        (n % 50).cast("double").alias("wspd"),
-        nothing.alias("wpgt"),
-        (1000 + n % 40).cast("double").alias("pres"),
-        nothing.alias("tsun"),
-        F.when(n % 4 == 0, (n % 28).cast("double")).alias("coco"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('NATION_', CAST(user_id % 25 AS STRING)) AS airport_code",
+        "CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) - INTERVAL 8766 DAYS AS time",
+        "value AS temp",
+        "CAST(event_id % 31 - 10 AS DOUBLE) AS dwpt",
+        "CAST(event_id % 101 AS DOUBLE) AS rhum",
+        "CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 5 AS DOUBLE) END AS prcp",
+        "CAST(NULL AS DOUBLE) AS snow",
+        "CAST(event_id % 360 AS DOUBLE) AS wdir",
+        "CAST(event_id % 50 AS DOUBLE) AS wspd",
+        "CAST(NULL AS DOUBLE) AS wpgt",
+        "CAST(1000 + event_id % 40 AS DOUBLE) AS pres",
+        "CAST(NULL AS DOUBLE) AS tsun",
+        "CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 28 AS DOUBLE) END AS coco",
     )
 
 

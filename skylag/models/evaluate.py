@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylag.functions.numeric import ratio, ratio_or_zero
-from skylag.operators.ordered import previous_value, quantile_splits, range_bucket, running_totals
+from skylag.operators.ordered import previous_value, running_totals, with_range_buckets
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -34,20 +34,19 @@ def class_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_scores(scored: DataFrame, label: str, score: str, buckets: int) -> DataFrame:
+def _ranked_scores(scored: DataFrame, label: str, score: str, buckets: int | None) -> DataFrame:
     """One row per distinct score: its positives and negatives, those below it, and all of them."""
     counts = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    splits = quantile_splits(counts, ["score"], buckets)["score"]
-    placed = counts.withColumn("bucket", range_bucket(F.col("score"), splits))
+    placed = with_range_buckets(counts, ["score"], buckets)
     totals = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
-    return running_totals(placed, "score", "bucket", ["pos", "neg"]).withColumns(
+    return running_totals(placed, "score", "score_bucket", ["pos", "neg"]).withColumns(
         {"all_pos": totals.getField("pos"), "all_neg": totals.getField("neg")}
     )
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve: the chance that a positive outranks a negative, ties half."""
     ranked = _ranked_scores(scored, label, score, buckets)
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
@@ -61,7 +60,7 @@ def roc_curve(
     label: str = "label",
     score: str = "score",
     drop_collinear: bool = True,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score and the start (infinity, 0, 0).
 
@@ -70,7 +69,7 @@ def roc_curve(
     ranked = _ranked_scores(scored, label, score, buckets).withColumn("__step", F.struct("pos", "neg"))
     if drop_collinear:
         stepped = previous_value(
-            ranked.select("score", "bucket", "__step"), [], {"__bucket": F.col("bucket")}, ["score"], "__step", "__lower"
+            ranked.select("score", "score_bucket", "__step"), [], {"__bucket": F.col("score_bucket")}, ["score"], "__step", "__lower"
         )
         ranked = ranked.join(stepped.select("score", "__lower"), "score")
         first = (F.col("pos_before") + F.col("pos") == F.col("all_pos")) & (F.col("neg_before") + F.col("neg") == F.col("all_neg"))

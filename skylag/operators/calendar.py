@@ -36,34 +36,30 @@ def date_parts(date: str = "FlightDate") -> dict[str, Column]:
     }
 
 
-def _holiday_conditions(date: str) -> dict[str, Column]:
-    d = F.col(date)
-    month, day, weekday = F.month(d), F.dayofmonth(d), weekday_sunday_first(d)
-    monday, thursday = weekday == 2, weekday == 5
-    return {
-        "is_new_year": (month == 1) & (day == 1),
-        "is_july_4th": (month == 7) & (day == 4),
-        "is_christmas": (month == 12) & (day == 25),
-        "is_thanksgiving": (month == 11) & thursday & day.between(22, 28),
-        "is_memorial_day": (month == 5) & monday & (day >= 25),
-        "is_labor_day": (month == 9) & monday & (day <= 7),
-    }
+# The rules below read the parts added first, so each part is taken from the date once.
+MONTH, DAY, WEEKDAY = "fe_month", "day_of_month", "day_of_week"
 
 
-def holiday_flags(date: str = "FlightDate") -> dict[str, Column]:
-    """The six fixed-rule holidays and their union."""
-    conditions = _holiday_conditions(date)
-    flags = {name: indicator(c) for name, c in conditions.items()}
-    flags["is_major_holiday"] = F.greatest(*flags.values())
-    return flags
+def holiday_flags() -> dict[str, Column]:
+    """The six holidays with a simple rule."""
+    month, day = F.col(MONTH), F.col(DAY)
+    monday, thursday = F.col(WEEKDAY) == 2, F.col(WEEKDAY) == 5
+    return {
+        "is_new_year": indicator((month == 1) & (day == 1)),
+        "is_july_4th": indicator((month == 7) & (day == 4)),
+        "is_christmas": indicator((month == 12) & (day == 25)),
+        "is_thanksgiving": indicator((month == 11) & thursday & day.between(22, 28)),
+        "is_memorial_day": indicator((month == 5) & monday & (day >= 25)),
+        "is_labor_day": indicator((month == 9) & monday & (day <= 7)),
+    }
 
 
-def travel_period_flags(date: str = "FlightDate") -> dict[str, Column]:
-    """Days around holidays and the longer travel seasons."""
-    d = F.col(date)
-    month, day = F.month(d), F.dayofmonth(d)
-    turn_of_year = ((month == 1) & (day <= 2))
+def travel_period_flags() -> dict[str, Column]:
+    """Weekend, days around holidays and the longer travel seasons."""
+    month, day = F.col(MONTH), F.col(DAY)
+    turn_of_year = (month == 1) & (day <= 2)
     return {
+        "is_weekend": indicator(F.col(WEEKDAY).isin(1, 7)),
         "near_new_year": indicator(turn_of_year | ((month == 12) & (day >= 30))),
         "near_christmas": indicator((month == 12) & day.between(23, 26)),
         "near_thanksgiving": indicator((month == 11) & day.between(22, 29)),
@@ -73,15 +69,10 @@ def travel_period_flags(date: str = "FlightDate") -> dict[str, Column]:
     }
 
 
-def weekend_flag(date: str = "FlightDate") -> Column:
-    return indicator(weekday_sunday_first(F.col(date)).isin(1, 7))
-
-
-def hour_features(clock: str = "CRSDepTime") -> dict[str, Column]:
-    """Scheduled hour, part of the day (unknown and hour 24 count as night), peak flag."""
-    hour = clock_hour(clock)
+def hour_features() -> dict[str, Column]:
+    """Part of the day (unknown and hour 24 count as night) and peak flag."""
+    hour = F.col("dep_hour")
     return {
-        "dep_hour": hour,
         "time_of_day": F.when(hour.between(6, 11), "morning")
         .when(hour.between(12, 17), "afternoon")
         .when(hour.between(18, 21), "evening")
@@ -91,16 +82,13 @@ def hour_features(clock: str = "CRSDepTime") -> dict[str, Column]:
 
 
 def add_calendar_features(df: DataFrame, date: str = "FlightDate", clock: str = "CRSDepTime") -> DataFrame:
-    """All features in one projection; the hour features only where the clock column exists."""
-    features = {
-        **date_parts(date),
-        "is_weekend": weekend_flag(date),
-        **holiday_flags(date),
-        **travel_period_flags(date),
-    }
+    """All features, without a shuffle; the hour features only where the clock column exists."""
+    parts, flags = date_parts(date), {**holiday_flags(), **travel_period_flags()}
     if clock in df.columns:
-        features |= hour_features(clock)
-    return df.withColumns(features)
+        parts["dep_hour"] = clock_hour(clock)
+        flags |= hour_features()
+    major = F.greatest(*holiday_flags())
+    return df.withColumns(parts).withColumns(flags).withColumn("is_major_holiday", major)
 
 
 def feature_table(df: DataFrame) -> DataFrame:

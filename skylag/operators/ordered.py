@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,20 +72,35 @@ def local_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df if len(found) > max_rows else df.sparkSession.createDataFrame(found, df.schema)
 
 
-def quantile_splits(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
-    """Per column, at most `buckets` - 1 ascending boundaries that cut its rows about evenly.
+ROWS_PER_BUCKET = 4_000_000
+MAX_BUCKETS = 4096
 
-    The boundaries only balance the work; results do not depend on them.
-    """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    found = df.stat.approxQuantile(list(columns), probabilities, 1.0 / (2 * buckets))
-    return {c: sorted(set(q)) for c, q in zip(columns, found)}
 
+def with_range_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = None, suffix: str = "_bucket") -> DataFrame:
+    """Adds per column the bucket its value falls into; buckets ascend with the values
+    and hold about equally many rows.
 
-def range_bucket(value: Column, splits: Sequence[float]) -> Column:
-    """Number of boundaries at or below the value."""
-    bounds = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
-    return F.size(F.filter(bounds, lambda b: b <= value))
+    Their number follows the number of rows unless given. Boundaries are approximate
+    quantiles; they only balance the work, results do not depend on them. Small
+    tables get one bucket. Counting and finding boundaries are jobs of their own.
+    """
+    names = list(columns)
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+    if buckets <= 1:
+        return df.withColumns({f"{c}{suffix}": F.lit(0.0) for c in names})
+    found = df.stat.approxQuantile(names, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
+    splits = [[float("-inf"), *sorted(set(q)), float("inf")] for q in found]
+    cut = [i for i, s in enumerate(splits) if len(s) > 2]
+    placed = df.withColumns({f"{names[i]}{suffix}": F.lit(0.0) for i in range(len(names)) if i not in cut})
+    if not cut:
+        return placed
+    return Bucketizer(
+        inputCols=[names[i] for i in cut],
+        outputCols=[f"{names[i]}{suffix}" for i in cut],
+        splitsArray=[splits[i] for i in cut],
+        handleInvalid="keep",
+    ).transform(placed)
 
 
 def running_totals(

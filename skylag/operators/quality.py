@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylag import fixed_values as fixed
 from skylag.functions.numeric import percent
-from skylag.operators.ordered import range_bucket, running_totals
+from skylag.operators.ordered import running_totals, with_range_buckets
 from skylag.operators.rates import share_of_total
 from skylag.schemas import columns_named_like, numeric_columns
 
@@ -123,27 +123,24 @@ def health_report(df: DataFrame, target: str = "DepDel15") -> DataFrame:
     return audit.unionByName(share).unionByName(ratio_row).unionByName(strong)
 
 
-def medians(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Exact median per column, interpolated between the two middle values.
 
-    Values are counted before the shuffle and cut into buckets at approximate
-    quantiles; the middle ranks are then found from bucket totals, so no column is
-    sorted in one task. The quantile pass runs when the operator is called.
+    Values are counted before the shuffle and cut into buckets by size; the middle
+    ranks are then found from bucket totals, so no column is sorted in one task.
     """
     names = list(columns)
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    splits = {}
-    for c, found in zip(names, numeric.stat.approxQuantile(names, [i / buckets for i in range(1, buckets)], 0.5 / buckets)):
-        splits[c] = sorted(set(found))
+    # Read under neutral names, so that any column name works.
+    numeric = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
+    placed = with_range_buckets(numeric, numeric.columns, buckets)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"v{i}_bucket").alias("__bucket")) for i, c in enumerate(names)]
     counts = (
-        numeric.unpivot([], names, "column", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "value")
+        placed.select(F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", "__bucket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    bucket = F.coalesce(*[F.when(F.col("column") == c, range_bucket(F.col("value"), splits[c])) for c in names])
-    placed = counts.withColumn("__bucket", bucket)
-    ranked = running_totals(placed, "value", "__bucket", ["n"], ["column"])
+    ranked = running_totals(counts, "value", "__bucket", ["n"], ["column"])
     totals = counts.groupBy("column").agg(F.sum("n").alias("__total"))
     ranked = ranked.join(F.broadcast(totals), "column")
     # Ranks of the two middle values, counted from 0; equal where the count is odd.

@@ -93,7 +93,7 @@ def test_fewer_stations_than_asked(spark):
     assert stations.assign_station(ports, sites.limit(0)).first()["station_id"] is None
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 64])
+@pytest.mark.parametrize("buckets", [None, 2, 16, 64])
 def test_medians_under_skew(spark, buckets):
     rng = random.Random(5)
     rows = [(0.0 if i % 3 == 0 else rng.uniform(-1, 1), float(i % 7), None if i % 2 else 1.5) for i in range(2001)]
@@ -111,7 +111,7 @@ def scored(spark, n=600, levels=37):
     return rows, spark.createDataFrame(rows, "label double, score double")
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
+@pytest.mark.parametrize("buckets", [None, 2, 64])
 def test_auc_is_rank_statistic(spark, buckets):
     rows, df = scored(spark)
     pos, neg = [s for y, s in rows if y == 1], [s for y, s in rows if y == 0]
@@ -133,10 +133,10 @@ def test_auc_of_one_class_is_null(spark):
     assert evaluate.roc_auc(df).first()["auc"] is None
 
 
-def test_range_bucket_is_monotone(spark):
-    df = spark.createDataFrame([(x / 10,) for x in range(-20, 20)], "v double")
-    got = [r[0] for r in df.orderBy("v").select(ordered.range_bucket(F.col("v"), [-1.0, 0.0, 0.5])).collect()]
-    assert got == sorted(got) and got[0] == 0 and got[-1] == 3
+def test_range_buckets_are_monotone(spark):
+    df = spark.createDataFrame([(x / 10, 1.0) for x in range(-20, 20)], "v double, w double")
+    got = [tuple(r) for r in ordered.with_range_buckets(df, ["v", "w"], 4).orderBy("v").select("v_bucket", "w_bucket").collect()]
+    assert got == sorted(got) and len({g[0] for g in got}) == 4 and len({g[1] for g in got}) == 1
 
 
 @pytest.mark.parametrize("n", [0, 1, 777, 5000])
