@@ -57,7 +57,7 @@ query("t13_feature_table", with_flights(
     "SELECT FlightDate, Year, Month, DayofMonth, DayOfWeek, Origin, Dest, Marketing_Airline_Network, Cancelled, Diverted, "
     "CRSDepTime, DepTime, DepDelayMinutes, DepDelay, ArrTime, DepDel15, ArrDel15, Distance, "
     + DATE_PART_SQL + ", " + ", ".join(f"{FLAG_SQL[f]} AS {f}" for f in _TABLE_FLAGS)
-    + ", " + ", ".join(f"{sql} AS {name}" for name, sql in HOUR_SQL.items()) + " FROM flights_v"))(
+    + ", " + ", ".join(f"{sql} AS {name}" for name, sql in HOUR_SQL.items()) + " FROM flights_v"), digits=None)(
     lambda spark, sf: feature_table(views.flights(spark, sf)))
 
 # Holiday tables as SQL over the years of the flights.

@@ -7,12 +7,14 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from skylag.catalog import views
+from skylag.catalog.calendars import DIMENSION_SQL, HOLIDAY_VIEWS
 from skylag.catalog.causes_and_rates import RATE
 from skylag.catalog.registry import query
-from skylag.catalog.views import FLIGHT_KEY, with_flights
+from skylag.catalog.views import FLIGHT_KEY, NEARBY_SQL, WEATHER_SQL, with_flights
+from skylag.catalog.weather import FILLED_SQL
 from skylag.operators import history, propagation
 from skylag.operators.weather import nearby_map
-from skylag.plans.feature_table import strategic_features
+from skylag.plans.feature_table import propagation_table, strategic_features
 
 no_origin = partial(views.flights, with_origin=False)
 KEY = ", ".join(FLIGHT_KEY)
@@ -21,11 +23,11 @@ LEGS_SQL = f"""legs AS (
     SELECT *, lag(ArrDelay) OVER (PARTITION BY Tail_Number ORDER BY FlightDate, CRSDepTime, {KEY}) AS prev_arr_delay
     FROM flights_v WHERE NOT Cancelled AND Tail_Number IS NOT NULL
 )"""
-query("w01_previous_leg", with_flights(f"SELECT {KEY}, Tail_Number, prev_arr_delay FROM legs", LEGS_SQL))(
+query("w01_previous_leg", with_flights(f"SELECT {KEY}, Tail_Number, prev_arr_delay FROM legs", LEGS_SQL), digits=None)(
     lambda spark, sf: propagation.previous_leg(no_origin(spark, sf), FLIGHT_KEY).select(*FLIGHT_KEY, "Tail_Number", "prev_arr_delay"))
 query("w01_previous_leg_unknown_tails_kept", with_flights(
     f"SELECT {KEY}, lag(ArrDelay) OVER (PARTITION BY Tail_Number ORDER BY FlightDate, CRSDepTime, {KEY}) AS prev_arr_delay "
-    "FROM flights_v WHERE NOT Cancelled"))(
+    "FROM flights_v WHERE NOT Cancelled"), digits=None)(
     lambda spark, sf: propagation.previous_leg(no_origin(spark, sf), FLIGHT_KEY, drop_unknown_tails=False, split_above=500).select(*FLIGHT_KEY, "prev_arr_delay"))
 query("a14_propagation_rates", with_flights(
     f"SELECT prev_arr_delay > 15 AS prev_delayed, {RATE} FROM legs WHERE prev_arr_delay IS NOT NULL GROUP BY 1", LEGS_SQL))(
@@ -102,9 +104,21 @@ query("w08_rolling_history", with_flights(
 
 
 STRATEGIC_COLUMNS = ["days_to_next_holiday", "origin_sched_departures", "route_delay_rate_30d", "temp"]
+_JOINED = (
+    "FROM flights_v f LEFT JOIN dimension ON f.FlightDate = dimension.date "
+    "LEFT JOIN traffic t ON t.airport = f.Origin AND t.date = f.FlightDate AND t.hour = f.CRSDepTime // 100 "
+    "LEFT JOIN route_history r ON r.Origin = f.Origin AND r.Dest = f.Dest AND r.FlightDate = f.FlightDate "
+    "LEFT JOIN filled w ON w.airport_code = f.Origin AND CAST(w.time AS DATE) = f.FlightDate AND hour(w.time) = f.CRSDepTime // 100"
+)
 
 
-@query("t12_strategic_features_by_year")
+@query("t12_strategic_features_by_year", with_flights(
+    "SELECT f.Year, count(*) AS n, count(days_to_next_holiday) AS known_days_to_next_holiday, "
+    "count(sched_departures) AS known_origin_sched_departures, "
+    "count(CASE WHEN NOT isnan(route_delay_rate_30d) THEN 1 END) AS known_route_delay_rate_30d, count(temp) AS known_temp, "
+    "CAST(sum(sched_departures) AS BIGINT) AS departures, round(avg(days_to_next_holiday), 6) AS mean_days_to_next "
+    f"{_JOINED} GROUP BY f.Year",
+    *HOLIDAY_VIEWS, DIMENSION_SQL, TRAFFIC_SQL, _rolling_sql("route", history.HISTORY_KEYS["route"]), WEATHER_SQL, NEARBY_SQL, FILLED_SQL))
 def _strategic(spark, sf):
     """The day-ahead feature table, summed up per year."""
     table = strategic_features(
@@ -112,3 +126,19 @@ def _strategic(spark, sf):
     return table.groupBy("Year").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"known_{c}") for c in STRATEGIC_COLUMNS],
         F.sum("origin_sched_departures").alias("departures"), F.avg("days_to_next_holiday").alias("mean_days_to_next"))
+
+
+# Flights doubled by several weather rows also arrive twice, as in the published order of steps.
+_WEATHERED_SQL = (
+    "weathered AS (SELECT f.*, w.temp FROM flights_v f LEFT JOIN filled w ON w.airport_code = f.Origin "
+    "AND CAST(w.time AS DATE) = f.FlightDate AND hour(w.time) = f.CRSDepTime // 100)"
+)
+query("t12_propagation_table_by_month", with_flights(
+    "SELECT Year, Month, count(*) AS n, count(temp) AS with_temp, round(avg(coalesce(late / recent.n, 0)), 6) AS mean_rate, "
+    "CAST(sum(coalesce(late, 0)) AS DOUBLE) AS late FROM timed LEFT JOIN recent ON y = Year AND a = Origin AND t = dep_t GROUP BY ALL",
+    WEATHER_SQL, NEARBY_SQL, FILLED_SQL, _WEATHERED_SQL, TIMED_SQL.replace("FROM flights_v", "FROM weathered")))(
+    lambda spark, sf: propagation_table(
+        views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs())
+    ).groupBy("Year", "Month").agg(
+        F.count(F.lit(1)).alias("n"), F.count("temp").alias("with_temp"),
+        F.avg("origin_delay_rate_past2h").alias("mean_rate"), F.sum("origin_late_arrivals_past2h").alias("late")))

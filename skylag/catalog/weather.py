@@ -19,7 +19,7 @@ from skylag.catalog.views import (
 )
 from skylag.operators import stations, weather
 from skylag.operators.sampling import sample_exact
-from skylag.plans.feature_table import flights_with_weather, propagation_table
+from skylag.plans.feature_table import flights_with_weather
 from skylag.sources.dimensions import airports as built_in_airports
 
 MEASURES = ", ".join(fixed.WEATHER_MEASURES)
@@ -64,13 +64,6 @@ query("j02_sample_weather_join", with_flights(
     lambda spark, sf: weather.join_weather(
         sample_exact(views.flights(spark, sf), 200000, FLIGHT_KEY, rank_by="row_hash", rank_bits=HASH_BITS), views.weather(spark, sf)
     ).select(*FLIGHT_KEY, *fixed.WEATHER_MEASURES))
-query("t12_propagation_table_by_month")(
-    lambda spark, sf: propagation_table(
-        views.flights(spark, sf), views.weather(spark, sf), weather.nearby_map(spark, views.nearby_pairs())
-    ).groupBy("Year", "Month").agg(
-        F.count(F.lit(1)).alias("n"), F.count("temp").alias("with_temp"),
-        F.avg("origin_delay_rate_past2h").alias("mean_rate"), F.sum("origin_late_arrivals_past2h").alias("late")))
-
 
 def _nearest_sql(places: str, k: int) -> str:
     km = (

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes; wide projections run faster without fusing.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Joins on (airport, date, ...) may reuse a shuffle made on a subset of the keys.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
