@@ -23,13 +23,19 @@ from skylag.functions.numeric import indicator
 
 
 def years_between(spark: SparkSession, first: int, last: int) -> DataFrame:
-    return spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    return spark.range(first, last + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
 
 
 def years_of(df: DataFrame, date: str = "FlightDate") -> DataFrame:
-    """Every year from the first to the last date of a table."""
-    span = df.agg(F.min(F.year(date)).alias("first"), F.max(F.year(date)).alias("last"))
-    return span.select(F.explode(F.sequence("first", "last")).alias("year"))
+    """Every year from the first to the last date of a table.
+
+    Runs one aggregate over the date column, so that the many small steps of a
+    calendar need not each look at the table again.
+    """
+    first, last = df.agg(F.min(F.year(date)), F.max(F.year(date))).first()
+    if first is None:
+        return years_between(df.sparkSession, 0, -1)
+    return years_between(df.sparkSession, first, last)
 
 
 def _fixed_date(year: Column, month: int, day: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skylag import fixed_values as fixed
 from skylag import schemas
 from skylag.functions.clock import to_timestamp, with_departure_hour
+from skylag.operators.ordered import local_if_small
 
 
 def nearby_map(spark: SparkSession, pairs: Sequence[tuple[str, str]] = tuple(fixed.NEARBY_AIRPORTS)) -> DataFrame:
@@ -92,10 +93,11 @@ def station_series(
     December 31, 23:00 of the last year, labelled with the airport.
 
     `assignments` has (airport_code, station_id); airports without a station and
-    stations without rows drop out.
+    stations without rows drop out. If there are few airports, the series is not
+    shuffled.
     """
     start = F.lit(f"{first_year}-01-01 00:00:00").cast("timestamp_ntz")
     end = F.lit(f"{last_year}-12-31 23:00:00").cast("timestamp_ntz")
     within = hourly.filter(F.col("time").between(start, end))
-    mapped = assignments.select("airport_code", "station_id").filter(F.col("station_id").isNotNull())
+    mapped = local_if_small(assignments.select("airport_code", "station_id").filter(F.col("station_id").isNotNull()))
     return within.join(mapped, "station_id").drop("station_id")
