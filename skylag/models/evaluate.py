@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skylag.functions.numeric import ratio, ratio_or_zero
 from skylag.operators.ordered import previous_value, running_totals, with_range_buckets
-from skylag.session import ensure_checkpoint_dir
+from skylag.session import materialized
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -40,9 +40,8 @@ def _ranked_scores(scored: DataFrame, label: str, score: str, buckets: int | Non
     counts = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    # Several passes follow; cut here so that the model scores each row once.
-    ensure_checkpoint_dir(scored.sparkSession)
-    counts = counts.checkpoint()
+    # Several passes follow; written here, so that the model scores each row once.
+    counts = materialized(counts, "score-counts")
     placed = with_range_buckets(counts, ["score"], buckets)
     totals = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
     return running_totals(placed, "score", "score_bucket", ["pos", "neg"]).withColumns(

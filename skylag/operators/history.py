@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skylag.functions.clock import clock_hour, with_departure_hour
 from skylag.functions.numeric import ratio
+from skylag.session import materialized
 
 # History keys: name of the feature group and the columns that form its key.
 HISTORY_KEYS = {
@@ -65,11 +66,12 @@ def rolling_rates(daily: DataFrame, keys: Sequence[str], prefix: str, spans: Seq
     return per_day.withColumns(columns).drop("__flights", "__late")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
     other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     condition = None
     for k in keys:
-        equal = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        a, b = F.col(k), F.col(f"__{k}")
+        equal = a.eqNullSafe(b) if null_safe else a == b
         condition = equal if condition is None else condition & equal
     return left.join(other, condition, "left").drop(*[f"__{k}" for k in keys])
 
@@ -84,9 +86,12 @@ def add_history(
 ) -> DataFrame:
     """Flights with rolling delay rates per origin, airline and route.
 
-    Frames end the day before the flight, so nothing of its own day is seen. All
-    feature groups are put together on the small daily table first; the flights
-    themselves are joined, and shuffled, once.
+    Frames end the day before the flight, so nothing of its own day is seen. A key
+    that is not known has no history; the flight keeps that of its other keys.
+
+    The flights are summed once to a daily table, which is written to the shared
+    folder and feeds all feature groups; these are put together on the daily table,
+    so the flights themselves are joined, and shuffled, once.
     """
     grain = list(dict.fromkeys([c for k in keys.values() for c in k]))
     flown = ~F.col(cancelled).cast("boolean")
@@ -94,8 +99,9 @@ def add_history(
         F.count_if(flown).alias("__flights"),
         F.coalesce(F.sum(F.when(flown, F.col(label).cast("double"))), F.lit(0.0)).alias("__late"),
     )
+    daily = materialized(daily, "daily-history")
     features = daily.select(*grain, date)
     for prefix, columns in keys.items():
         rates = rolling_rates(daily, columns, prefix, spans, date)
-        features = _null_safe_join(features, rates, [*columns, date])
-    return _null_safe_join(flights, features, [*grain, date])
+        features = _join_on(features, rates, [*columns, date], null_safe=False)
+    return _join_on(flights, features, [*grain, date], null_safe=True)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the partition coalescing, the skew splitting and the
 # switch to a broadcast join after the real size of a side is known. No static
@@ -18,8 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # The JVM does not compile methods above 8000 bytes; wide projections run faster without fusing.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Joins on (airport, date, ...) may reuse a shuffle made on a subset of the keys.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Joins hash on all their keys: sharing a shuffle made on the airport alone would put a hub in one task.
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 
@@ -61,3 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Iterative fits cut their lineage with checkpoint(); give them a folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once below the shared folder and read back.
+
+    For results that several later steps need: they survive lost executors, and what
+    led to them is computed once (checkpoint() alone would compute it twice).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
