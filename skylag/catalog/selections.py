@@ -99,7 +99,10 @@ FROM flights_v"""))(
     lambda spark, sf: sampling.stratified_split(
         no_origin(spark, sf).select(*FLIGHT_KEY, "DepDel15", "row_hash"), "DepDel15", FLIGHT_KEY, rank_by="row_hash", rank_bits=HASH_BITS
     ).drop("row_hash"))
-query("o08_stratified_split_counts")(
+_TRAIN_ROWS = "floor(count(*) * CAST(0.8 AS DOUBLE))"
+query("o08_stratified_split_counts", with_flights(
+    f"SELECT DepDel15, 'train' AS split, CAST({_TRAIN_ROWS} AS BIGINT) AS n FROM flights_v GROUP BY 1 "
+    f"UNION ALL SELECT DepDel15, 'test', CAST(count(*) - {_TRAIN_ROWS} AS BIGINT) FROM flights_v GROUP BY 1"))(
     lambda spark, sf: sampling.stratified_split(no_origin(spark, sf), "DepDel15", FLIGHT_KEY)
     .groupBy("DepDel15", "split").agg(F.count(F.lit(1)).alias("n")))
 query("o09_split_by_year", with_flights(

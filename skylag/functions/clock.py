@@ -42,12 +42,6 @@ def epoch_minutes(date: Column | str, hhmm: Column | str) -> Column:
     return days * MINUTES_PER_DAY + clock_minutes(hhmm)
 
 
-def minutes_to_clock(minutes: Column | str) -> Column:
-    """570 -> 930."""
-    m = as_column(minutes)
-    return (F.floor(m / 60) * 100 + m % 60).cast("int")
-
-
 def with_departure_hour(flights: DataFrame) -> DataFrame:
     """Adds dep_hour unless it is there; joins on the same column can share a shuffle."""
     return flights if "dep_hour" in flights.columns else flights.withColumn("dep_hour", clock_hour("CRSDepTime"))
