@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylag.llm import bpe, packing, simhash, token_counts
+from skylag.llm import bpe, language, packing, pii, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,21 @@ def _packing(spark, sf_dir):
 def _simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_pii")
+def _pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.label(docs, pii.fit(docs))
+    kept = found.select("doc_id", "base", "spans")
+    counts = [F.size(F.filter("base", lambda x, r=rank: x["rank"] == r)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
+    return kept.select(
+        "doc_id", *counts, F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans")
+    )
+
+
+@query("op3_language")
+def _language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
