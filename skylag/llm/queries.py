@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylag.llm import bit_sliced, bpe, language, line_templates, packing, pii, simhash, token_counts
+from skylag.llm import bit_sliced, bpe, flat_graph, language, line_templates, packing, pii, simhash, token_counts, warc_zip
+from skylag.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +132,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """)
 def _top_k(spark, sf_dir):
     return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op9_embedding_duplicates")
+def _embedding_duplicates(spark, sf_dir):
+    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_warc")
+def _warc(spark, sf_dir):
+    packages = warc_zip.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    found = warc_zip.read(packages)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
