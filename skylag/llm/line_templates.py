@@ -90,8 +90,9 @@ def drop_recurring(
     depth: int = DEPTH,
     constant_share: float = CONSTANT_SHARE,
     spare_above: float | None = None,
+    count: str = "lines_dropped",
 ) -> DataFrame:
-    """The frame with recurring lines dropped from its text, and `lines_dropped`.
+    """The frame with recurring lines dropped from its text, and how many they were.
 
     With `spare_above`, documents that would lose more than this share of their lines are
     left whole: such a document is a copy, to be judged as a whole by another operator.
@@ -102,15 +103,16 @@ def drop_recurring(
     dropped = hits.groupBy("key", "version").agg(F.collect_set("number").alias("dropped"))
     dropped = materialized(dropped.withColumn("document", F.xxhash64("key", "version")), "dropped_lines")
 
-    named = docs.withColumn("_version", F.xxhash64(text))
-    told = maybe_member(named, F.xxhash64(F.col(key), F.col("_version")), bitmap(dropped, "document"), "_maybe")
-    untouched = told.filter(~F.col("_maybe")).select(*docs.columns, F.lit(0).alias("lines_dropped"))
-    gone = dropped.select(F.col("key").alias(key), F.col("version").alias("_version"), "dropped")
-    joined = told.filter("_maybe").join(gone, [key, "_version"], "left")
+    named = docs.drop(count).withColumn("__version", F.xxhash64(text))
+    told = maybe_member(named, F.xxhash64(F.col(key), F.col("__version")), bitmap(dropped, "document"), "__maybe")
+    untouched = told.filter(~F.col("__maybe")).withColumn(count, F.lit(0))
+    gone = dropped.select(F.col("key").alias(key), F.col("version").alias("__version"), F.col("dropped").alias("__dropped"))
+    joined = told.filter("__maybe").join(gone, [key, "__version"], "left")
     all_lines = F.split(text, "\n", -1)
-    count = F.coalesce(F.size("dropped"), F.lit(0))
+    size = F.coalesce(F.size("__dropped"), F.lit(0))
     if spare_above is not None:
-        count = F.when(count > spare_above * F.size(all_lines), 0).otherwise(count)
-    kept = F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains("dropped", i)), "\n")
-    touched = joined.withColumn("lines_dropped", count).withColumn(text, F.when(F.col("lines_dropped") > 0, kept).otherwise(F.col(text)))
-    return touched.select(*docs.columns, "lines_dropped").unionByName(untouched)
+        size = F.when(size > spare_above * F.size(all_lines), 0).otherwise(size)
+    kept = F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains("__dropped", i)), "\n")
+    touched = joined.withColumn("__size", size).withColumn(text, F.when(F.col("__size") > 0, kept).otherwise(F.col(text)))
+    columns = [c for c in docs.columns if c != count]
+    return touched.select(*columns, F.col("__size").alias(count)).unionByName(untouched.select(*columns, count))

@@ -285,23 +285,23 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS) -> Model |
 # -- results ---------------------------------------------------------------
 
 
-def label(docs: DataFrame, model: Model | None, text: str = "text", accepted: float = ACCEPTED) -> DataFrame:
-    """The frame with `base` and `spans`: arrays of (start, rank of kind, end), sorted."""
+def label(docs: DataFrame, model: Model | None, text: str = "text", accepted: float = ACCEPTED, base: str = "base", spans: str = "spans") -> DataFrame:
+    """The frame with base and all spans: arrays of (start, rank of kind, end), sorted."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_{kind}": spans for kind, spans in base_spans(whole).items()} | ({"_wide": candidates(whole)} if model else {}))
-    base = F.array_sort(F.concat(*[tagged(F.col(f"_{kind}"), kind) for kind in KINDS]))
-    found = found.withColumn("base", base)
+    kinds = {f"__pii_{kind}": found for kind, found in base_spans(whole).items()}
+    found = docs.withColumns(kinds | ({"__pii_wide": candidates(whole)} if model else {}))
+    found = found.withColumn(base, F.array_sort(F.concat(*[tagged(F.col(f"__pii_{kind}"), kind) for kind in KINDS])))
     if model is None:
-        return found.withColumn("spans", F.col("base")).drop(*[f"_{k}" for k in KINDS])
-    free = F.filter("_wide", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    good = F.filter("_free", lambda c: model.score(c) >= accepted)
+        return found.withColumn(spans, F.col(base)).drop(*kinds)
+    free = F.filter("__pii_wide", lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
+    good = F.filter("__pii_free", lambda c: model.score(c) >= accepted)
 
     def rank(c: Column) -> Column:
         return F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int") - 1
 
     more = F.transform(good, lambda c: F.struct(c["start"].alias("start"), rank(c).alias("rank"), c["end"].alias("end")))
-    found = found.withColumn("_free", free).withColumn("spans", F.array_sort(F.concat("base", more)))
-    return found.drop(*[f"_{k}" for k in KINDS], "_wide", "_free")
+    found = found.withColumn("__pii_free", free).withColumn(spans, F.array_sort(F.concat(base, more)))
+    return found.drop(*kinds, "__pii_wide", "__pii_free")
 
 
 def redacted(text: Column, spans: Column) -> Column:
