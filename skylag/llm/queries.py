@@ -68,12 +68,17 @@ def _simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _count_of(kind: str):
+    rank = pii.KINDS.index(kind)
+    return F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
+
+
 @query("op1_pii")
 def _pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.label(docs, pii.fit(docs))
     kept = found.select("doc_id", "base", "spans")
-    counts = [F.size(F.filter("base", lambda x, r=rank: x["rank"] == r)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
+    counts = [_count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return kept.select(
         "doc_id", *counts, F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans")
     )
