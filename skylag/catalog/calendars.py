@@ -159,6 +159,13 @@ def _years(spark, sf):
     return holidays.years_of(no_origin(spark, sf))
 
 
+def _with_flight_counts(spark, sf, table):
+    """A holiday table of the flights' years with the number of flights on each day."""
+    flights = no_origin(spark, sf)
+    per_day = flights.groupBy(F.col("FlightDate").alias("date")).agg(F.count(F.lit(1)).alias("flights"))
+    return table(holidays.years_of(flights)).join(per_day, "date", "left").fillna(0, ["flights"])
+
+
 def _flights_per(table, columns, how="inner"):
     """Flights and delay rate per value of columns of a holiday table."""
     def build(spark, sf):
@@ -178,8 +185,9 @@ query("c19_flights_on_federal_holidays", _on_holidays("federal", "holiday_name")
 query("c19_federal_holidays_of_flight_years", with_flights(
     "SELECT date, holiday_name, is_major_holiday, holiday_category, impact_level, CAST(year(date) AS INTEGER) AS year, "
     "CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day, dayname(date) AS day_of_week, "
-    "CAST(isodow(date) AS INTEGER) AS day_of_week_num FROM federal", *HOLIDAY_VIEWS))(
-    lambda spark, sf: holidays.federal_holidays(_years(spark, sf)))
+    "CAST(isodow(date) AS INTEGER) AS day_of_week_num, count(FlightDate) AS flights "
+    "FROM federal LEFT JOIN flights_v ON FlightDate = date GROUP BY ALL", *HOLIDAY_VIEWS))(
+    lambda spark, sf: _with_flight_counts(spark, sf, holidays.federal_holidays))
 query("c20_flights_by_holiday_class", _on_holidays("federal", "is_major_holiday, holiday_category, impact_level"))(
     _flights_per(holidays.federal_holidays, ["is_major_holiday", "holiday_category", "impact_level"]))
 for _id, _table, _label in (
@@ -203,12 +211,14 @@ for _id, _week, _label in (
             holidays.join_holidays(no_origin(spark, sf), _week_without_federal(week)(_years(spark, sf)), ["holiday_name"], "inner"),
             "FlightDate", "holiday_name"))
 query("j07_holiday_weeks_without_federal_days", with_flights(
-    "SELECT date, holiday_name FROM extended WHERE holiday_name IN ('Thanksgiving Week', 'Christmas Week')", *HOLIDAY_VIEWS))(
-    lambda spark, sf: _week_without_federal(holidays.thanksgiving_week)(_years(spark, sf))
-    .unionByName(_week_without_federal(holidays.christmas_week)(_years(spark, sf)))
-    .select("date", "holiday_name"))
-query("u04_extended_holidays_of_flight_years", with_flights("SELECT * FROM extended", *HOLIDAY_VIEWS))(
-    lambda spark, sf: holidays.extended_holidays(_years(spark, sf)).select("date", "holiday_name", "is_major_holiday", "holiday_category", "impact_level"))
+    "SELECT date, holiday_name, count(FlightDate) AS flights FROM extended LEFT JOIN flights_v ON FlightDate = date "
+    "WHERE holiday_name IN ('Thanksgiving Week', 'Christmas Week') GROUP BY ALL", *HOLIDAY_VIEWS))(
+    lambda spark, sf: _with_flight_counts(spark, sf, lambda years: _week_without_federal(holidays.thanksgiving_week)(years)
+    .unionByName(_week_without_federal(holidays.christmas_week)(years))).select("date", "holiday_name", "flights"))
+query("u04_extended_holidays_of_flight_years", with_flights(
+    "SELECT extended.*, count(FlightDate) AS flights FROM extended LEFT JOIN flights_v ON FlightDate = date GROUP BY ALL", *HOLIDAY_VIEWS))(
+    lambda spark, sf: _with_flight_counts(spark, sf, holidays.extended_holidays)
+    .select("date", "holiday_name", "is_major_holiday", "holiday_category", "impact_level", "flights"))
 
 
 def _by_dimension(*columns: str):
@@ -237,13 +247,21 @@ for _id, *_columns in (
 ):
     query(_id, _dimension_sql(*_columns))(_by_dimension(*_columns))
 
+def _on_calendar(spark, sf, columns):
+    flights = no_origin(spark, sf).select("FlightDate")
+    return holidays.join_calendar(flights, holidays.date_dimension(holidays.years_of(flights)), columns)
+
+
 query("w03_holiday_distances_of_flight_years", with_flights(
-    "SELECT date, days_to_next_holiday, days_from_prev_holiday FROM dimension", *HOLIDAY_VIEWS, DIMENSION_SQL))(
-    lambda spark, sf: holidays.date_dimension(_years(spark, sf)).select("date", "days_to_next_holiday", "days_from_prev_holiday"))
+    "SELECT FlightDate, days_to_next_holiday, days_from_prev_holiday, count(*) AS n FROM flights_v LEFT JOIN dimension ON FlightDate = date "
+    "GROUP BY ALL", *HOLIDAY_VIEWS, DIMENSION_SQL))(
+    lambda spark, sf: _on_calendar(spark, sf, ["days_to_next_holiday", "days_from_prev_holiday"])
+    .groupBy("FlightDate", "days_to_next_holiday", "days_from_prev_holiday").agg(F.count(F.lit(1)).alias("n")))
 _DIMENSION_FLAGS = ["is_holiday", "is_major_holiday", "is_holiday_week_before", "is_holiday_week_after", "is_3days_before_holiday", "is_weekend"]
 query("a34_flag_totals", with_flights(
-    "SELECT " + ", ".join(f"CAST(sum({f}) AS BIGINT) AS {f}" for f in _DIMENSION_FLAGS) + " FROM dimension", *HOLIDAY_VIEWS, DIMENSION_SQL))(
-    lambda spark, sf: flag_totals(holidays.date_dimension(_years(spark, sf)), _DIMENSION_FLAGS))
+    "SELECT " + ", ".join(f"CAST(sum({f}) AS BIGINT) AS {f}" for f in _DIMENSION_FLAGS) + " FROM flights_v LEFT JOIN dimension ON FlightDate = date",
+    *HOLIDAY_VIEWS, DIMENSION_SQL))(
+    lambda spark, sf: flag_totals(_on_calendar(spark, sf, _DIMENSION_FLAGS), _DIMENSION_FLAGS))
 
 
 @query("j06_flights_on_holidays", with_flights(

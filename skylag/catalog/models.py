@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from skylag.catalog import views
+from skylag.catalog.causes_and_rates import FLAG_SQL
 from skylag.catalog.registry import query
 from skylag.catalog.views import FLIGHT_KEY, HASH_BITS, with_flights
 from skylag.models import evaluate, prep, train
@@ -143,6 +144,57 @@ def _training_rows(spark, sf):
     return add_calendar_features(no_origin(spark, sf))
 
 
+# Next to no regularization: the probability of a class is its weighted share, whatever learns it.
+_LOGISTIC_SQL = (
+    "rates AS (SELECT Marketing_Airline_Network, count(*) AS n, count(*) FILTER (DepDel15 = 1) AS pos, count(*) FILTER (DepDel15 = 0) AS neg "
+    "FROM flights_v WHERE DepDel15 IS NOT NULL GROUP BY 1)",
+    "scores AS (SELECT *, 5 * pos / CAST(5 * pos + neg AS DOUBLE) AS p FROM rates)",
+)
+
+
+def _airline_scores(spark, sf):
+    rows = prep.labelled(no_origin(spark, sf))
+    model = train.fit_logistic(rows, [], ["Marketing_Airline_Network"], weighting="cost", inverse_regularization=1e12)
+    return train.score(model, rows)
+
+
+query("m09_m12_logistic_scores", with_flights(
+    "SELECT Marketing_Airline_Network, n, round(p, 3) AS score, CAST(p > 0.5 AS DOUBLE) AS prediction FROM scores", *_LOGISTIC_SQL), digits=3)(
+    lambda spark, sf: _airline_scores(spark, sf).groupBy("Marketing_Airline_Network").agg(
+        F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.max("prediction").alias("prediction")))
+query("m16_logistic_metrics_table", with_flights(
+    "SELECT 'All' AS part, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision, "
+    "round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1, round(auc, 6) AS auc "
+    "FROM totals, area", *_LOGISTIC_SQL,
+    "totals AS (SELECT coalesce(sum(pos) FILTER (p > 0.5), 0) AS tp, coalesce(sum(neg) FILTER (p > 0.5), 0) AS fp, "
+    "coalesce(sum(pos) FILTER (p <= 0.5), 0) AS fn, coalesce(sum(neg) FILTER (p <= 0.5), 0) AS tn FROM scores)",
+    "area AS (SELECT sum(pos * (below + neg / 2.0::DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc FROM ("
+    "SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM scores))"))(
+    lambda spark, sf: evaluate.metrics_table({"All": _airline_scores(spark, sf)}))
+
+# On one 0/1 feature every tree is one mean per value: the first of the labels -1 and 1, each
+# later one of the residuals, added at a tenth.
+_BOOSTED_SQL = (
+    f"flagged AS (SELECT {FLAG_SQL['is_weekend']} AS is_weekend, DepDel15 FROM flights_v WHERE DepDel15 IS NOT NULL)",
+    "sides AS (SELECT is_weekend, count(*) AS n, count(*) FILTER (DepDel15 = 1) AS pos, count(*) FILTER (DepDel15 = 0) AS neg FROM flagged GROUP BY 1)",
+    "shares AS (SELECT is_weekend, n, (pos / a) / (pos / a + neg / b) AS p FROM sides, (SELECT CAST(sum(pos) AS DOUBLE) AS a, CAST(sum(neg) AS DOUBLE) AS b FROM sides))",
+    "steps AS (SELECT is_weekend, n, p, 1 AS tree, 2 * p - 1 AS f FROM shares UNION ALL "
+    "SELECT is_weekend, n, p, tree + 1, f + 0.1::DOUBLE * (p * 4 / (1 + exp(2 * f)) - (1 - p) * 4 / (1 + exp(-2 * f))) FROM steps WHERE tree < 100)",
+)
+
+
+@query("m10_m17_boosted_trees_scores", "WITH RECURSIVE " + with_flights(
+    "SELECT is_weekend, n, round(1 / (1 + exp(-2 * f)), 6) AS score, CAST(f > 0 AS DOUBLE) AS prediction FROM steps WHERE tree = 100", *_BOOSTED_SQL).removeprefix("WITH "))
+def _boosted_scores(spark, sf):
+    """100 rounds with balanced weights, saved and loaded again."""
+    rows = prep.labelled(_training_rows(spark, sf))
+    model = train.fit_boosted_trees(rows, ["is_weekend"], [])
+    path = scratch_path(spark, "boosted-trees")
+    train.save_model(model, path)
+    scored = train.score(train.load_model(path), rows)
+    return scored.groupBy("is_weekend").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.max("prediction").alias("prediction"))
+
+
 @query("m09_m12_m16_logistic_metrics")
 def _logistic(spark, sf):
     """Trained on the early years with the cost weights, scored on the later ones."""
@@ -157,7 +209,7 @@ def _boosted(spark, sf):
     """Trained on the stratified split with balanced weights, saved, loaded and scored on the rest."""
     rows = prep.labelled(_training_rows(spark, sf))
     parts = stratified_split(rows, "DepDel15", FLIGHT_KEY, rank_by="row_hash", rank_bits=HASH_BITS)
-    model = train.fit_boosted_trees(parts.filter("split = 'train'"), NUMERIC, CATEGORICAL, rounds=10)
+    model = train.fit_boosted_trees(parts.filter("split = 'train'"), NUMERIC, CATEGORICAL)
     path = scratch_path(spark, "boosted-trees")
     train.save_model(model, path)
     return evaluate.metrics_table({"Test": train.score(train.load_model(path), parts.filter("split = 'test'"))})

@@ -51,13 +51,13 @@ MEDIAN_COLUMNS = ["DepDelay", "ArrDelay", "Distance", "CRSDepTime", "row_hash",
 query("a32_medians", with_flights(" UNION ALL ".join(
     f"SELECT '{c}' AS column, round(CAST(median({c}) AS DOUBLE), 6) AS median FROM flights_v" for c in MEDIAN_COLUMNS)))(
     lambda spark, sf: quality.medians(no_origin(spark, sf), MEDIAN_COLUMNS))
-query("a35_describe")(lambda spark, sf: quality.describe(views.weather(spark, sf), ["temp", "dwpt", "rhum", "prcp"]))
-query("a35_mean_and_extent", with_views(
+_MEASURES = ("temp", "dwpt", "rhum", "prcp")
+query("a35_describe", with_views(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, "
-        f"round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM weather_v" for c in ("temp", "dwpt", "rhum", "prcp")), views.WEATHER_SQL))(
-    lambda spark, sf: views.weather(spark, sf).unpivot([], ["temp", "dwpt", "rhum", "prcp"], "column", "v").groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max")))
+        f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, round(min({c}), 6) AS min, "
+        f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max "
+        "FROM weather_v" for c in _MEASURES), views.WEATHER_SQL))(
+    lambda spark, sf: quality.describe(views.weather(spark, sf), _MEASURES))
 
 
 def _audit_sql(check: str, keywords) -> str:
@@ -66,10 +66,15 @@ def _audit_sql(check: str, keywords) -> str:
 
 
 NAMED_SQL = "named AS (SELECT array_agg(DISTINCT k) AS columns FROM (SELECT unnest(json_keys(to_json(f))) AS k FROM flights_v f))"
-query("q01_q02_column_audit", with_flights(
-    _audit_sql("leakage", fixed.LEAKAGE_KEYWORDS) + " UNION ALL " + _audit_sql("time_travel", fixed.TIME_TRAVEL_KEYWORDS), NAMED_SQL))(
-    lambda spark, sf: quality.column_audit(views.flights(spark, sf)))
-query("q03_health_report")(lambda spark, sf: quality.health_report(no_origin(spark, sf)))
+query("q03_health_report", with_flights(
+    "SELECT \"check\", \"column\" AS item, CAST(NULL AS DOUBLE) AS value FROM ("
+    + _audit_sql("leakage", fixed.LEAKAGE_KEYWORDS) + " UNION ALL " + _audit_sql("time_travel", fixed.TIME_TRAVEL_KEYWORDS) + ") "
+    "UNION ALL SELECT 'target_pct', coalesce(CAST(DepDel15 AS VARCHAR), 'null'), round(100 * n / CAST(sum(n) OVER () AS DOUBLE), 6) "
+    "FROM (SELECT DepDel15, count(*) AS n FROM flights_v GROUP BY 1) "
+    "UNION ALL SELECT 'imbalance_ratio', 'DepDel15', round(least(a, b) / CAST(greatest(a, b) AS DOUBLE), 6) "
+    "FROM (SELECT count(*) FILTER (DepDel15 = 0) AS a, count(*) FILTER (DepDel15 = 1) AS b FROM flights_v) "
+    f"UNION ALL SELECT 'strong_correlation', \"column\", correlation FROM ({CORRELATION_SQL}) WHERE abs(correlation) >= 0.9", NAMED_SQL))(
+    lambda spark, sf: quality.health_report(no_origin(spark, sf), columns=CORRELATED))
 query("q04_weather_missing_fractions", with_flights(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, CAST(round_even((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 3) AS DOUBLE) AS missing_fraction FROM joined"

@@ -87,7 +87,14 @@ query("o01_sorted_keys", with_flights("SELECT Year, Month, count(*) AS n FROM fl
     lambda spark, sf: no_origin(spark, sf).groupBy("Year", "Month").agg(F.count(F.lit(1)).alias("n")).orderBy("Year", "Month"))
 query("o02_top_k", with_flights(f"SELECT {KEY}, DepDelay FROM flights_v ORDER BY DepDelay DESC NULLS LAST, {KEY} LIMIT 25"))(
     lambda spark, sf: filters.top(no_origin(spark, sf).select(*FLIGHT_KEY, "DepDelay"), 25, "DepDelay", FLIGHT_KEY))
-query("o06_limit", None)(lambda spark, sf: no_origin(spark, sf).select(*FLIGHT_KEY).limit(1000))
+def kept_rows(some, source):
+    """How many rows a limit gave, and how many of them the source has."""
+    marked = some.join(source.select(*FLIGHT_KEY).distinct().withColumn("known", F.lit(1)), FLIGHT_KEY, "left")
+    return marked.agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"))
+
+
+query("o06_limit", with_flights("SELECT least(1000, count(*)) AS n, least(1000, count(*)) AS known FROM flights_v"))(
+    lambda spark, sf: kept_rows(no_origin(spark, sf).select(*FLIGHT_KEY).limit(1000), no_origin(spark, sf)))
 
 SAMPLED = "SELECT {cols} FROM (SELECT *, row_number() OVER (ORDER BY row_hash, " + KEY + ") AS rn FROM flights_v) WHERE rn <= 20000"
 query("o07_exact_sample", with_flights(SAMPLED.format(cols=KEY)))(
@@ -107,8 +114,8 @@ query("o08_stratified_split_counts", with_flights(
     .groupBy("DepDel15", "split").agg(F.count(F.lit(1)).alias("n")))
 query("o09_split_by_year", with_flights(
     "SELECT CASE WHEN Year <= 1997 THEN 'train' WHEN Year = 1998 THEN 'validation' ELSE 'test' END AS split, count(*) AS n "
-    "FROM flights_v WHERE Year BETWEEN 1995 AND 1999 GROUP BY 1"))(
-    lambda spark, sf: sampling.split_by_year(no_origin(spark, sf), (1995, 1996, 1997), (1998,), (1999,))
+    "FROM flights_v GROUP BY 1"))(
+    lambda spark, sf: sampling.split_by_year(no_origin(spark, sf), range(1990, 1998), (1998,), range(1999, 2010))
     .groupBy("split").agg(F.count(F.lit(1)).alias("n")))
 
 query("u01_union_by_name", with_flights(

@@ -10,9 +10,10 @@ from skylag import schemas
 from skylag.catalog import views
 from skylag.catalog.causes_and_rates import FLOWN, RATE_AVG
 from skylag.catalog.registry import query
+from skylag.catalog.selections import kept_rows
 from skylag.catalog.views import with_flights, with_views
 from skylag.operators import rates
-from skylag.session import scratch_path
+from skylag.session import materialized, scratch_path
 from skylag.sources import dimensions, flights, sinks
 from skylag.sources import weather as weather_files
 
@@ -37,26 +38,33 @@ query("s02_one_file", "SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY
     lambda spark, sf: flights.read_parquet(spark, f"{sf}/lineitem.parquet").groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("s03_year_from_parquet_or_csv", with_flights(
-    CENSUS.format("WHERE NOT Cancelled AND NOT Diverted AND Year IN (1997, 1998)")))
+@query("s03_year_from_parquet_or_csv", with_flights(CENSUS.format("WHERE NOT Cancelled AND NOT Diverted")))
 def _years_from_files(spark, sf):
+    """All years, parquet and CSV in turn."""
     folder = scratch_path(spark, "years")
-    table = as_published(no_origin(spark, sf))
-    sinks.write_table(table.filter("Year = 1997"), f"{folder}/Combined_Flights_1997.parquet")
-    table.filter("Year = 1998").write.option("header", True).csv(f"{folder}/Combined_Flights_1998.csv")
-    return census(flights.load_years(spark, folder, [1997, 1998]))
-
-
-@query("s04_s05_monthly_csv", with_flights(CENSUS.format("WHERE FlightDate BETWEEN DATE '1997-11-01' AND DATE '1998-02-28'")))
+    table = materialized(as_published(no_origin(spark, sf)), "published")
+    years = sorted(r["Year"] for r in table.select("Year").distinct().collect())
+    for i, year in enumerate(years):
+        own = table.filter(F.col("Year") == year)
+        if i % 2:
+            own.write.option("header", True).csv(f"{folder}/Combined_Flights_{year}.csv")
+        else:
+            sinks.write_table(own, f"{folder}/Combined_Flights_{year}.parquet")
+    return census(flights.load_years(spark, folder, years))
+
+
+@query("s04_s05_monthly_csv", with_flights(CENSUS.format("")))
 def _monthly(spark, sf):
-    folder = scratch_path(spark, "monthly")
-    table = as_published(no_origin(spark, sf)).filter("FlightDate BETWEEN DATE '1997-11-01' AND DATE '1998-02-28'")
-    paths = flights.monthly_paths(folder, (1997, 11), (1998, 2))
-    for i, path in enumerate(paths):
-        year, month = divmod(1997 * 12 + 10 + i, 12)
-        # Files of one set may order their columns differently.
-        columns = table.columns if i % 2 == 0 else table.columns[::-1]
-        table.filter((F.col("Year") == year) & (F.col("Month") == month + 1)).select(*columns).write.option("header", True).csv(path)
+    """One CSV folder per month, all months; every other month has its columns in another order."""
+    table = as_published(no_origin(spark, sf)).withColumns({"y": F.col("Year"), "m": F.col("Month")})
+    table = materialized(table, "published")
+    months = sorted((r["y"], r["m"]) for r in table.select("y", "m").distinct().collect())
+    folders = [scratch_path(spark, "monthly") for _ in range(2)]
+    for turn, folder in enumerate(folders):
+        columns = table.columns[:-2][:: 1 if turn == 0 else -1]
+        own = table.filter((F.col("y") * 12 + F.col("m")) % 2 == turn).select(*columns, "y", "m")
+        own.hint("rebalance", "y", "m").write.partitionBy("y", "m").option("header", True).csv(folder)
+    paths = [f"{folders[(y * 12 + m) % 2]}/y={y}/m={m}" for y, m in months]
     return census(flights.read_monthly(spark, paths))
 
 
@@ -93,7 +101,8 @@ def _report(spark, sf):
 
 query("s13_s14_shape", with_flights("SELECT count(*) AS rows, 32 AS columns FROM flights_v"))(
     lambda spark, sf: sinks.shape(no_origin(spark, sf)))
-query("s15_preview")(lambda spark, sf: sinks.preview(no_origin(spark, sf), 10))
+query("s15_preview", with_flights("SELECT least(10, count(*)) AS n, least(10, count(*)) AS known FROM flights_v"))(
+    lambda spark, sf: kept_rows(sinks.preview(no_origin(spark, sf), 10), no_origin(spark, sf)))
 
 
 @query("o04_sorted_write", with_views("SELECT airport_code, time, count(*) AS n FROM weather_v GROUP BY ALL", views.WEATHER_SQL))

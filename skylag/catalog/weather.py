@@ -60,9 +60,9 @@ query("j01_j05_flights_with_filled_weather", with_flights(
     ).select(*FLIGHT_KEY, *fixed.WEATHER_MEASURES))
 query("j02_sample_weather_join", with_flights(
     f"SELECT {KEY}, {rounded()} FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY row_hash, {KEY}) AS rn FROM flights_v) "
-    f"WHERE rn <= 200000) LEFT JOIN weather_v ON {ON_HOUR}", WEATHER_SQL))(
+    f"WHERE rn <= 20000) LEFT JOIN weather_v ON {ON_HOUR}", WEATHER_SQL))(
     lambda spark, sf: weather.join_weather(
-        sample_exact(views.flights(spark, sf), 200000, FLIGHT_KEY, rank_by="row_hash", rank_bits=HASH_BITS), views.weather(spark, sf)
+        sample_exact(views.flights(spark, sf), 20000, FLIGHT_KEY, rank_by="row_hash", rank_bits=HASH_BITS), views.weather(spark, sf)
     ).select(*FLIGHT_KEY, *fixed.WEATHER_MEASURES))
 
 def _nearest_sql(places: str, k: int) -> str:
@@ -82,8 +82,7 @@ for _id, _k in (("j10_nearest_station", 1), ("j10_five_nearest_stations", 5)):
         lambda spark, sf, k=_k: stations.nearest_stations(views.airports(spark, sf), views.stations(spark, sf), k))
 
 LISTED_SQL = "listed AS (SELECT * FROM (VALUES " + ", ".join(
-    "('{}', CAST({} AS DOUBLE), CAST({} AS DOUBLE))".format(*[line.split("|")[i] for i in (0, 2, 3)])
-    for line in fixed.AIRPORTS.strip().splitlines()
+    f"('{code}', CAST({latitude} AS DOUBLE), CAST({longitude} AS DOUBLE))" for code, _, latitude, longitude, _, _ in fixed.AIRPORTS
 ) + ") t(airport_code, latitude, longitude))"
 query("s07_stations_of_listed_airports", with_views(_nearest_sql("listed", 1), LISTED_SQL, STATIONS_SQL))(
     lambda spark, sf: stations.nearest_stations(built_in_airports(spark), views.stations(spark, sf), 1))
@@ -91,7 +90,7 @@ query("s07_stations_of_listed_airports", with_views(_nearest_sql("listed", 1), L
 # Each airport reads the hourly series of its station; stations are the users of the events.
 query("j11_s16_station_series", with_views(
     "SELECT m.airport_code, time, round(temp, 6) AS temp FROM weather_v JOIN ("
-    "SELECT 'NATION_' || (24 - i) AS airport_code, 'NATION_' || i AS station_id FROM range(20) t(i)) m ON weather_v.airport_code = station_id "
+    "SELECT 'NATION_' || (24 - i) AS airport_code, 'NATION_' || i AS station_id FROM range(25) t(i)) m ON weather_v.airport_code = station_id "
     "WHERE time BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '2000-12-31 23:00:00'", WEATHER_SQL))(
     lambda spark, sf: _station_series(spark, sf))
 
@@ -100,7 +99,9 @@ def _station_series(spark, sf):
     number = F.col("n_nationkey")
     assignments = views.table(spark, sf, "nation").select(
         F.concat(F.lit("NATION_"), (24 - number).cast("string")).alias("airport_code"),
-        F.when(number < 20, F.concat(F.lit("NATION_"), number.cast("string"))).alias("station_id"),
+        F.concat(F.lit("NATION_"), number.cast("string")).alias("station_id"),
     )
+    without = spark.createDataFrame([("NO_STATION", None)], assignments.schema)
+    assignments = assignments.unionByName(without)
     hourly = views.weather(spark, sf).withColumnRenamed("airport_code", "station_id")
     return weather.station_series(assignments, hourly, 2000, 2000).select("airport_code", "time", "temp")

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylag.functions.numeric import ratio, ratio_or_zero
-from skylag.operators.ordered import previous_value, running_totals, with_range_buckets
-from skylag.session import materialized
+from skylag.operators.ordered import previous_value, range_bucketed, running_totals
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -35,44 +34,51 @@ def class_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_scores(scored: DataFrame, label: str, score: str, buckets: int | None) -> DataFrame:
-    """One row per distinct score: its positives and negatives, those below it, and all of them."""
-    counts = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
-    # Several passes follow; written here, so that the model scores each row once.
-    counts = materialized(counts, "score-counts")
-    placed = with_range_buckets(counts, ["score"], buckets)
+def _score_counts(scored: DataFrame, label: str, score: str, prediction: str | None = None) -> DataFrame:
+    """One row per distinct score (and prediction): its positives and negatives, and its range.
+
+    Several passes follow; it is written once, so that the model scores each row once.
+    """
+    keys = [F.col(score).cast("double").alias("score"), *([F.col(prediction).cast("double").alias("prediction")] if prediction else [])]
+    counts = scored.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return range_bucketed(counts, ["score"])
+
+
+def _ranked_scores(counts: DataFrame) -> DataFrame:
+    """Score counts with the positives and negatives below each score, and all of them."""
+    per_score = counts.groupBy("score", "__bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
-    return running_totals(placed, "score", "score_bucket", ["pos", "neg"]).withColumns(
+    return running_totals(per_score, "score", "__bucket", ["pos", "neg"]).withColumns(
         {"all_pos": totals.getField("pos"), "all_neg": totals.getField("neg")}
     )
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
-    """Area under the ROC curve: the chance that a positive outranks a negative, ties half."""
-    ranked = _ranked_scores(scored, label, score, buckets)
+def _auc(ranked: DataFrame) -> DataFrame:
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
     return ranked.agg(
         ratio(F.sum(wins), F.max(F.col("all_pos").cast("double") * F.col("all_neg").cast("double"))).alias("auc")
     )
 
 
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve: the chance that a positive outranks a negative, ties half."""
+    return _auc(_ranked_scores(_score_counts(scored, label, score)))
+
+
 def roc_curve(
     scored: DataFrame,
     label: str = "label",
     score: str = "score",
     drop_collinear: bool = True,
-    buckets: int | None = None,
 ) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score and the start (infinity, 0, 0).
 
     `drop_collinear` leaves out points on a straight line between their neighbours.
     """
-    ranked = _ranked_scores(scored, label, score, buckets).withColumn("__step", F.struct("pos", "neg"))
+    ranked = _ranked_scores(_score_counts(scored, label, score)).withColumn("__step", F.struct("pos", "neg"))
     if drop_collinear:
         stepped = previous_value(
-            ranked.select("score", "score_bucket", "__step"), [], {"__bucket": F.col("score_bucket")}, ["score"], "__step", "__lower"
+            ranked.select("score", F.col("__bucket").alias("range"), "__step"), [], {"__range": F.col("range")}, ["score"], "__step", "__lower"
         )
         ranked = ranked.join(stepped.select("score", "__lower"), "score")
         first = (F.col("pos_before") + F.col("pos") == F.col("all_pos")) & (F.col("neg_before") + F.col("neg") == F.col("all_neg"))
@@ -98,10 +104,15 @@ def total_cost(counts: DataFrame, miss_cost: float = 5.0, false_alarm_cost: floa
 
 
 def metrics_table(parts: Mapping[str, DataFrame], label: str = "label", prediction: str = "prediction", score: str = "score") -> DataFrame:
-    """One row per named part with accuracy, precision, recall, F1 and AUC."""
+    """One row per named part with accuracy, precision, recall, F1 and AUC; the model scores each row once."""
     rows = []
     for name, scored in parts.items():
-        metrics = class_metrics(confusion(scored, label, prediction))
-        auc = roc_auc(scored, label, score).scalar()
-        rows.append(metrics.select(F.lit(name).alias("part"), "*", auc.alias("auc")))
+        counts = _score_counts(scored, label, score, prediction)
+        guess = F.col("prediction") == 1
+        sums = {
+            "tp": F.sum(F.when(guess, F.col("pos"))), "fp": F.sum(F.when(guess, F.col("neg"))),
+            "fn": F.sum(F.when(~guess, F.col("pos"))), "tn": F.sum(F.when(~guess, F.col("neg"))),
+        }
+        metrics = class_metrics(counts.agg(*[F.coalesce(v, F.lit(0)).alias(n) for n, v in sums.items()]))
+        rows.append(metrics.select(F.lit(name).alias("part"), "*", _auc(_ranked_scores(counts)).scalar().alias("auc")))
     return reduce(DataFrame.unionByName, rows)

@@ -9,7 +9,6 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Str
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylag.operators.ordered import local_if_small
 from skylag.operators.quality import medians
 
 
@@ -39,9 +38,12 @@ def _sql_stage(columns: dict[str, str]) -> SQLTransformer:
 
 
 def fit_median_imputer(train: DataFrame, columns: Sequence[str], suffix: str = "_imp") -> SQLTransformer:
-    """Fill missing numbers with the training median."""
+    """Fill missing numbers with the training median; a column without a known training value is refused."""
     found = {r["column"]: r["median"] for r in medians(train, columns).collect()}
-    return _sql_stage({f"{c}{suffix}": f"coalesce(cast(`{c}` as double), {found.get(c, 0.0)!r}D)" for c in columns})
+    unknown = [c for c in columns if c not in found]
+    if unknown:
+        raise ValueError(f"no known training value: {', '.join(unknown)}")
+    return _sql_stage({f"{c}{suffix}": f"coalesce(cast(`{c}` as double), {found[c]!r}D)" for c in columns})
 
 
 def category_filler(columns: Sequence[str], placeholder: str = "missing", suffix: str = "_cat") -> SQLTransformer:
@@ -51,7 +53,7 @@ def category_filler(columns: Sequence[str], placeholder: str = "missing", suffix
 
 def known_or_missing(df: DataFrame, train: DataFrame, column: str, placeholder: str = "missing") -> DataFrame:
     """Replace values that do not occur in the training rows by the placeholder."""
-    seen = local_if_small(train.select(F.coalesce(F.col(column), F.lit(placeholder)).alias("__seen")).distinct())
+    seen = train.select(F.coalesce(F.col(column), F.lit(placeholder)).alias("__seen")).distinct()
     filled = df.withColumn(column, F.coalesce(F.col(column), F.lit(placeholder)))
     return filled.join(seen, F.col(column) == F.col("__seen"), "left").withColumn(
         column, F.coalesce("__seen", F.lit(placeholder))

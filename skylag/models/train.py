@@ -15,7 +15,7 @@ from skylag.models import prep
 from skylag.operators.filters import without_columns_named_like
 from skylag.operators.quality import leakage_columns, time_travel_columns
 from skylag.schemas import numeric_columns, text_columns
-from skylag.session import ensure_checkpoint_dir
+from skylag.session import ensure_checkpoint_dir, materialized
 
 
 def check_features(features: Sequence[str], allow: Sequence[str] = ()) -> None:
@@ -34,6 +34,12 @@ def safe_features(df: DataFrame, target: str = "DepDel15", allow: Sequence[str]
     return numeric_columns(usable), text_columns(usable)
 
 
+def _prepared(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, weighting: str | None, miss_cost: float) -> DataFrame:
+    """Label, weight and features of the training rows, written once: every fit reads only these."""
+    rows = _weighted(prep.labelled(train, target), target, weighting, miss_cost)
+    return materialized(rows.select(target, "weight", *dict.fromkeys([*numeric, *categorical])), "training-rows")
+
+
 class _Steps:
     """Fitted stages and the training rows as the last of them left them."""
 
@@ -69,7 +75,7 @@ def fit_logistic(
 ) -> PipelineModel:
     """Median and placeholder imputation, one-hot, standard scaling, L2 logistic regression."""
     check_features([*numeric, *categorical], allow)
-    rows = _weighted(prep.labelled(train, target), target, weighting, miss_cost)
+    rows = _prepared(train, numeric, categorical, target, weighting, miss_cost)
     steps = _Steps(rows)
     vectors: list[str] = []
     if numeric:
@@ -117,7 +123,7 @@ def fit_boosted_trees(
     """Median and placeholder imputation, alphabetical codes, gradient-boosted trees."""
     check_features([*numeric, *categorical], allow)
     ensure_checkpoint_dir(train.sparkSession)
-    steps = _Steps(_weighted(prep.labelled(train, target), target, weighting, miss_cost))
+    steps = _Steps(_prepared(train, numeric, categorical, target, weighting, miss_cost))
     inputs: list[str] = []
     if numeric:
         steps.add(prep.fit_median_imputer(steps.rows, numeric))

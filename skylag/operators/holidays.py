@@ -2,7 +2,7 @@
 
 Every function takes a frame with one `year` column, so the calendar can follow
 the years found in the flights. All these tables hold at most a few hundred rows
-per year; the windows over them are bounded by the number of days, not by flights.
+per year; windows over them hold one year, or one row per year.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from skylag.functions.dates import (
     weekday_name,
 )
 from skylag.functions.numeric import indicator
+from skylag.session import materialized
 
 
 def years_between(spark: SparkSession, first: int, last: int) -> DataFrame:
@@ -27,15 +28,14 @@ def years_between(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 
 def years_of(df: DataFrame, date: str = "FlightDate") -> DataFrame:
-    """Every year from the first to the last date of a table.
+    """The years that occur among the dates of a table.
 
-    Runs one aggregate over the date column, so that the many small steps of a
-    calendar need not each look at the table again.
+    Runs one aggregate over the date column and keeps the years in a small written table,
+    so that the many small steps of a calendar need not each look at the table again. A
+    lone date far away adds one year, not all years between.
     """
-    first, last = df.agg(F.min(F.year(date)), F.max(F.year(date))).first()
-    if first is None:
-        return years_between(df.sparkSession, 0, -1)
-    return years_between(df.sparkSession, first, last)
+    years = df.select(F.year(date).alias("year")).filter(F.col("year").isNotNull()).distinct()
+    return materialized(years, "years")
 
 
 def _fixed_date(year: Column, month: int, day: int) -> Column:
@@ -70,8 +70,12 @@ def _date_columns(date: Column) -> list[Column]:
 
 
 def federal_holidays(years: DataFrame, fix_names: bool = False) -> DataFrame:
-    """U.S. federal holidays of the years. A fixed-date holiday on a Saturday is also
-    observed on the Friday before, one on a Sunday on the Monday after."""
+    """U.S. federal holidays of the years, by date. A fixed-date holiday on a Saturday is
+    also observed on the Friday before, one on a Sunday on the Monday after."""
+    return _federal_holidays(years, fix_names).orderBy("date", "holiday_name")
+
+
+def _federal_holidays(years: DataFrame, fix_names: bool) -> DataFrame:
     year = F.col("year")
     floating = {
         "Martin Luther King Jr. Day": nth_weekday(year, 1, "MON", 3),
@@ -97,11 +101,10 @@ def federal_holidays(years: DataFrame, fix_names: bool = False) -> DataFrame:
         weekday = weekday_monday_first(date)
         observed = F.when(weekday == 6, F.date_sub(date, 1)).when(weekday == 7, F.date_add(date, 1))
         entries.append(entry(f"{name} (observed)", observed))
-    # New Year of the year after the last one can be observed on the last December 31.
-    bounds = years.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    wanted = years.unionByName(bounds.select((F.col("last") + 1).alias("year"))).distinct()
+    # New Year of the year after can be observed on December 31.
+    wanted = years.unionByName(years.select((F.col("year") + 1).alias("year"))).distinct()
     rows = wanted.select(F.inline(F.array(*entries))).filter(F.col("date").isNotNull())
-    rows = rows.join(F.broadcast(years.withColumnRenamed("year", "__year")), F.year("date") == F.col("__year"), "left_semi")
+    rows = rows.join(years.withColumnRenamed("year", "__year"), F.year("date") == F.col("__year"), "left_semi")
     return rows.select("date", "holiday_name", *_classify(F.col("holiday_name"), fix_names), *_date_columns(F.col("date")))
 
 
@@ -145,12 +148,16 @@ def christmas_week(years: DataFrame) -> DataFrame:
 
 def not_on(days: DataFrame, taken: DataFrame) -> DataFrame:
     """Days whose date is not taken by the other table."""
-    return days.join(F.broadcast(taken.select("date").distinct()), "date", "left_anti").select(*days.columns)
+    return days.join(taken.select("date").distinct(), "date", "left_anti").select(*days.columns)
 
 
 def extended_holidays(years: DataFrame, fix_names: bool = False) -> DataFrame:
-    """Federal holidays and the school and travel periods; a holiday week skips federal days."""
-    federal = federal_holidays(years, fix_names)
+    """Federal holidays and the school and travel periods, by date; a holiday week skips federal days."""
+    return _extended_holidays(years, fix_names).orderBy("date", "holiday_name")
+
+
+def _extended_holidays(years: DataFrame, fix_names: bool) -> DataFrame:
+    federal = _federal_holidays(years, fix_names)
     return (
         federal.unionByName(spring_break(years))
         .unionByName(summer_peak(years))
@@ -162,18 +169,27 @@ def extended_holidays(years: DataFrame, fix_names: bool = False) -> DataFrame:
 def add_holiday_distances(days: DataFrame, date: str = "date", is_holiday: str = "is_holiday") -> DataFrame:
     """Days to the next and from the previous holiday, both strict, 999 where there is none.
 
-    For a table with one row per day; the frames hold rows of that calendar only.
+    For a table with one row per day; only its rows count. Each window holds one year;
+    what lies in other years comes from a table with one row per year.
     """
     holiday = F.when(F.col(is_holiday) == 1, F.col(date))
-    order = Window.orderBy(date)
-    following = F.min(holiday).over(order.rowsBetween(1, Window.unboundedFollowing))
-    preceding = F.max(holiday).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return days.withColumns(
+    dated = days.withColumn("__year", F.year(date))
+    per_year = dated.groupBy("__year").agg(F.min(holiday).alias("first"), F.max(holiday).alias("last"))
+    years = Window.orderBy("__year")
+    around = per_year.select(
+        "__year",
+        F.min("first").over(years.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+        F.max("last").over(years.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+    )
+    order = Window.partitionBy("__year").orderBy(date)
+    following = F.coalesce(F.min(holiday).over(order.rowsBetween(1, Window.unboundedFollowing)), F.col("__later"))
+    preceding = F.coalesce(F.max(holiday).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__earlier"))
+    return dated.join(around, "__year").withColumns(
         {
             "days_to_next_holiday": F.coalesce(days_between(following, date), F.lit(fixed.NO_HOLIDAY)),
             "days_from_prev_holiday": F.coalesce(days_between(date, preceding), F.lit(fixed.NO_HOLIDAY)),
         }
-    )
+    ).drop("__year", "__later", "__earlier")
 
 
 def calendar_days(years: DataFrame) -> DataFrame:
@@ -184,17 +200,17 @@ def calendar_days(years: DataFrame) -> DataFrame:
 
 
 def date_dimension(years: DataFrame, fix_names: bool = False) -> DataFrame:
-    """The daily calendar with holiday flags and distances. Years should be consecutive."""
-    holidays = extended_holidays(years, fix_names)
+    """The daily calendar with holiday flags and distances, written once: joins see its real size."""
+    holidays = _extended_holidays(years, fix_names)
     marks = holidays.groupBy("date").agg(F.max("is_major_holiday").alias("is_major_holiday")).withColumn("is_holiday", F.lit(1))
-    days = calendar_days(years).join(F.broadcast(marks), "date", "left").withColumns(
+    days = calendar_days(years).join(marks, "date", "left").withColumns(
         {
             "is_holiday": F.coalesce("is_holiday", F.lit(0)),
             "is_major_holiday": F.coalesce("is_major_holiday", F.lit(0)),
         }
     )
     to_next, from_prev = F.col("days_to_next_holiday"), F.col("days_from_prev_holiday")
-    return (
+    dimension = (
         add_holiday_distances(days)
         .withColumns(
             {
@@ -210,19 +226,23 @@ def date_dimension(years: DataFrame, fix_names: bool = False) -> DataFrame:
             "is_3days_before_holiday", "is_weekend",
         )
     )
+    return materialized(dimension, "calendar")
 
 
 def join_calendar(flights: DataFrame, dimension: DataFrame, columns: list[str], date: str = "FlightDate") -> DataFrame:
     """Flights with the chosen columns of the date dimension.
 
-    One row per day (366 a year at most), so the dimension is always small enough
-    to broadcast and the flights are not shuffled.
+    One row per day (366 for each year that occurs). The dimension is a written table, so
+    Spark checks its size: below the broadcast threshold the flights are not shuffled.
     """
     days = dimension.select(F.col("date").alias("__date"), *columns)
-    return flights.join(F.broadcast(days), F.col(date) == F.col("__date"), "left").drop("__date")
+    return flights.join(days, F.col(date) == F.col("__date"), "left").drop("__date")
 
 
 def join_holidays(flights: DataFrame, holidays: DataFrame, columns: list[str], how: str = "left", date: str = "FlightDate") -> DataFrame:
-    """Flights with the holiday table; a date with two holidays gives two rows."""
-    days = holidays.select(F.col("date").alias("__date"), *columns)
-    return flights.join(F.broadcast(days), F.col(date) == F.col("__date"), how).drop("__date")
+    """Flights with the holiday table; a date with two holidays gives two rows.
+
+    The table is written first, so that its real size decides how it is joined.
+    """
+    days = materialized(holidays.select(F.col("date").alias("__date"), *columns), "holidays")
+    return flights.join(days, F.col(date) == F.col("__date"), how).drop("__date")

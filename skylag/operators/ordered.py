@@ -9,14 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more than `limit` rows: at most rows/limit of them, counted before the shuffle."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
+from skylag.session import materialized
 
 
 def previous_value(
@@ -26,36 +22,22 @@ def previous_value(
     order: Sequence[str],
     value: str,
     alias: str,
-    split_above: int = 5_000_000,
 ) -> DataFrame:
     """The value of the preceding row of the same key, as `lag` gives it.
 
-    Keys of up to `split_above` rows are windowed as they are. Larger ones are cut
-    into buckets; `bucket` names columns that are a coarser form of `order` (for
-    instance the date and the hour of a date and clock order). The last value of a
-    bucket enters the next bucket in use as one extra row, so that the rows are
-    shuffled once and not joined. With no keys everything is cut.
+    Every key is cut into buckets; `bucket` names columns that are a coarser form of
+    `order` (for instance the date and the hour of a date and clock order). The last
+    value of a bucket enters the next bucket in use as one extra row, so that the rows
+    are shuffled once and not joined. The same plan serves keys of any size.
     """
     names = list(bucket)
     local = [*keys, *names]
-    if keys:
-        # At most rows / split_above entries, hence small enough to broadcast.
-        hot = large_groups(df, keys, split_above).withColumnsRenamed({k: f"__hot_{k}" for k in keys})
-        same_key = None
-        for k in keys:
-            equal = F.col(k).eqNullSafe(F.col(f"__hot_{k}"))
-            same_key = equal if same_key is None else same_key & equal
-        marked = df.join(F.broadcast(hot.withColumn("__is_hot", F.lit(True))), same_key, "left")
-        rows = marked.withColumns({n: F.when(F.col("__is_hot"), c) for n, c in bucket.items()})
-        large = rows.filter(F.col("__is_hot"))
-        rows = rows.drop("__is_hot", *[f"__hot_{k}" for k in keys])
-    else:
-        rows = large = df.withColumns(bucket)
-
-    # One row per large key and bucket: its last value, moved on to the next bucket.
+    rows = df.withColumns(bucket)
+
+    # One row per key and bucket: its last value, moved on to the next bucket.
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
     across = Window.partitionBy(*keys).orderBy(*names)
-    per_bucket = large.groupBy(*local).agg(last).withColumn("__next", F.lead(F.struct(*names)).over(across))
+    per_bucket = rows.groupBy(*local).agg(last).withColumn("__next", F.lead(F.struct(*names)).over(across))
     carried = per_bucket.filter(F.col("__next").isNotNull()).select(
         *keys, *[F.col(f"__next.{n}").alias(n) for n in names], F.col("__last.v").alias(value), F.lit(0).alias("__own")
     )
@@ -65,42 +47,14 @@ def previous_value(
     return together.withColumn(alias, F.lag(value).over(within)).filter(F.col("__own") == 1).drop("__own", *names)
 
 
-def local_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """The rows as a local table when there are at most `max_rows`, so that joining them
-    needs no shuffle of the other side; otherwise the frame as it is. Runs a job."""
-    found = df.limit(max_rows + 1).collect()
-    return df if len(found) > max_rows else df.sparkSession.createDataFrame(found, df.schema)
-
-
-ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 4096
-
-
-def with_range_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = None, suffix: str = "_bucket") -> DataFrame:
-    """Adds per column the bucket its value falls into; buckets ascend with the values
-    and hold about equally many rows.
+def range_bucketed(df: DataFrame, order: Sequence[str], bucket: str = "__bucket") -> DataFrame:
+    """The rows dealt out by ranges of `order`, written once, with the number of their range.
 
-    Their number follows the number of rows unless given. Boundaries are approximate
-    quantiles; they only balance the work, results do not depend on them. Small
-    tables get one bucket. Counting and finding boundaries are jobs of their own.
+    Ranges ascend with the order and hold about equally many rows; Spark samples their
+    bounds. They only balance the work: results do not depend on them.
     """
-    names = list(columns)
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
-    if buckets <= 1:
-        return df.withColumns({f"{c}{suffix}": F.lit(0.0) for c in names})
-    found = df.stat.approxQuantile(names, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    splits = [[float("-inf"), *sorted(set(q)), float("inf")] for q in found]
-    cut = [i for i, s in enumerate(splits) if len(s) > 2]
-    placed = df.withColumns({f"{names[i]}{suffix}": F.lit(0.0) for i in range(len(names)) if i not in cut})
-    if not cut:
-        return placed
-    return Bucketizer(
-        inputCols=[names[i] for i in cut],
-        outputCols=[f"{names[i]}{suffix}" for i in cut],
-        splitsArray=[splits[i] for i in cut],
-        handleInvalid="keep",
-    ).transform(placed)
+    dealt = df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id())
+    return materialized(dealt, "range-buckets")
 
 
 def running_totals(
@@ -122,9 +76,8 @@ def running_totals(
     )
     inside = Window.partitionBy(*local).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    # One row per key and bucket, so this side is bounded by the number of buckets.
     return (
-        summed.join(F.broadcast(offsets), local)
+        summed.join(offsets, local)
         .withColumns({f"{m}_before": F.col(f"{m}_before") + F.col(f"__{m}_offset") for m in measures})
         .drop(*[f"__{m}_offset" for m in measures])
     )

@@ -14,6 +14,10 @@ from skylag.operators.ordered import previous_value
 from skylag.operators.rates import rate_measures
 
 
+UNKNOWN_MINUTE = -(10**15)
+UNKNOWN_SHARES = 4096
+
+
 def previous_leg(
     flights: DataFrame,
     tie_break: Sequence[str],
@@ -21,21 +25,19 @@ def previous_leg(
     delay: str = "ArrDelay",
     alias: str = "prev_arr_delay",
     drop_unknown_tails: bool = True,
-    split_above: int = 5_000_000,
 ) -> DataFrame:
     """Active flights with the arrival delay of the same aircraft's flight before.
 
     Ordered by date, scheduled departure and `tie_break` (a column set that makes
-    the order total). A tail number with more than `split_above` flights is cut by
-    date and hour; flights without one, which chain to each other unless they are
-    dropped, would otherwise be one task.
+    the order total). Every tail number is cut by date and hour; flights without one,
+    which chain to each other unless they are dropped, would otherwise be one task.
     """
     rows = active(flights)
     if drop_unknown_tails:
         rows = rows.filter(F.col(tail).isNotNull())
     bucket = {"__day": F.col("FlightDate"), "__hour": clock_hour("CRSDepTime")}
     order = ["FlightDate", "CRSDepTime", *tie_break]
-    return previous_value(rows, [tail], bucket, order, delay, alias, split_above)
+    return previous_value(rows, [tail], bucket, order, delay, alias)
 
 
 def propagation_rates(with_previous: DataFrame, threshold: float = 15, previous: str = "prev_arr_delay") -> DataFrame:
@@ -149,7 +151,11 @@ def add_recent_arrival_features(
     recent = recent_arrivals(timed, window_minutes, scope).withColumnsRenamed(
         {c: f"__{c}" for c in [*scope, "airport", "minute"]}
     )
-    condition = (F.col("Origin") == F.col("__airport")) & (F.col("DepTimestamp").cast("bigint") == F.col("__minute"))
+    # Flights without a departure time match nothing; spread over many impossible minutes,
+    # those of one airport do not meet in one task.
+    spread = UNKNOWN_MINUTE - F.pmod(F.xxhash64("FlightDate", "Dest"), F.lit(UNKNOWN_SHARES))
+    minute = F.coalesce(F.col("DepTimestamp").cast("bigint"), spread)
+    condition = (F.col("Origin") == F.col("__airport")) & (minute == F.col("__minute"))
     for c in scope:
         condition = condition & (F.col(c) == F.col(f"__{c}"))
     joined = timed.join(recent, condition, "left")

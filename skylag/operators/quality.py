@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylag import fixed_values as fixed
 from skylag.functions.numeric import percent
-from skylag.operators.ordered import running_totals, with_range_buckets
+from skylag.operators.ordered import range_bucketed, running_totals
 from skylag.operators.rates import share_of_total
 from skylag.schemas import columns_named_like, numeric_columns
+from skylag.session import materialized
 
 
 def _one_row_to_long(row: DataFrame, entries: list) -> DataFrame:
@@ -48,15 +49,25 @@ def missing_fractions(df: DataFrame, columns: Sequence[str] = tuple(fixed.WEATHE
     return profile.select("column", F.bround(F.col("missing_pct") / 100, digits).alias("missing_fraction"))
 
 
+def _target_counts(df: DataFrame, target: str) -> DataFrame:
+    return df.groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("count"))
+
+
 def target_distribution(df: DataFrame, target: str = "DepDel15") -> DataFrame:
     """Rows and percent per target value, null included."""
-    counts = df.groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("count"))
-    return share_of_total(counts, "count", "pct")
+    return share_of_total(_target_counts(df, target), "count", "pct")
 
 
 def imbalance(df: DataFrame, target: str = "DepDel15", warn_below: float = 0.1) -> DataFrame:
     """Smaller over larger class, and whether it is below the warning level."""
-    counts = df.agg(F.count_if(F.col(target) == 0).alias("negatives"), F.count_if(F.col(target) == 1).alias("positives"))
+    return _imbalance(_target_counts(df, target), warn_below)
+
+
+def _imbalance(per_target: DataFrame, warn_below: float) -> DataFrame:
+    def rows_with(value: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("target") == value, F.col("count"))), F.lit(0))
+
+    counts = per_target.agg(rows_with(0).alias("negatives"), rows_with(1).alias("positives"))
     both = (F.col("negatives") > 0) & (F.col("positives") > 0)
     value = F.when(both, F.least("negatives", "positives") / F.greatest("negatives", "positives"))
     return counts.select(
@@ -106,40 +117,47 @@ def column_audit(df: DataFrame) -> DataFrame:
     )
 
 
-def health_report(df: DataFrame, target: str = "DepDel15") -> DataFrame:
+def health_report(df: DataFrame, target: str = "DepDel15", columns: Sequence[str] | None = None) -> DataFrame:
     """All checks as (check, item, value): named columns, target distribution and
-    imbalance, strong correlations."""
+    imbalance, strong correlations. Two scans: target counts, and correlations."""
     number = F.lit(None).cast("double")
     audit = column_audit(df).select("check", F.col("column").alias("item"), number.alias("value"))
-    share = target_distribution(df, target).select(
+    counts = materialized(_target_counts(df, target), "target-counts")
+    share = share_of_total(counts, "count", "pct").select(
         F.lit("target_pct").alias("check"), F.coalesce(F.col("target").cast("string"), F.lit("null")).alias("item"), F.col("pct").alias("value")
     )
-    ratio_row = imbalance(df, target).select(
+    ratio_row = _imbalance(counts, 0.1).select(
         F.lit("imbalance_ratio").alias("check"), F.lit(target).alias("item"), F.col("imbalance_ratio").alias("value")
     )
-    strong = strong_correlations(df, target).select(
+    strong = strong_correlations(df, target, columns=columns).select(
         F.lit("strong_correlation").alias("check"), F.col("column").alias("item"), F.col("correlation").alias("value")
     )
     return audit.unionByName(share).unionByName(ratio_row).unionByName(strong)
 
 
-def medians(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """Exact median per column, interpolated between the two middle values.
-
-    Values are counted before the shuffle and cut into buckets by size; the middle
-    ranks are then found from bucket totals, so no column is sorted in one task.
-    """
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n, __bucket) of the known values of numeric columns, written once."""
     names = list(columns)
     # Read under neutral names, so that any column name works.
     numeric = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
-    placed = with_range_buckets(numeric, numeric.columns, buckets)
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"v{i}_bucket").alias("__bucket")) for i, c in enumerate(names)]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value")) for i, c in enumerate(names)]
     counts = (
-        placed.select(F.inline(F.array(*cells)))
+        numeric.select(F.inline(F.array(*cells)))
         .filter(F.col("value").isNotNull())
-        .groupBy("column", "__bucket", "value")
+        .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return range_bucketed(counts, ["column", "value"])
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact median per column, interpolated between the two middle values.
+
+    Values are counted first and the counts dealt out by value ranges; the middle ranks
+    are then found from range totals, so no column is sorted in one task and the source
+    is read once.
+    """
+    counts = value_counts(df, columns)
     ranked = running_totals(counts, "value", "__bucket", ["n"], ["column"])
     totals = counts.groupBy("column").agg(F.sum("n").alias("__total"))
     ranked = ranked.join(F.broadcast(totals), "column")
@@ -155,6 +173,40 @@ def medians(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -
     return middle.select("column", ((F.col("__low") + F.col("__high")) / 2).alias("median"))
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, stddev, min, quartiles (approximate) and max per column."""
-    return df.select(*columns).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    """Per column: count, mean, stddev, min, exact quartiles and max, as numbers.
+
+    Quartiles are interpolated between the two nearest values. A column without a known
+    value has a count of 0 and nulls.
+    """
+    counts = value_counts(df, columns)
+    weighed = counts.groupBy("column").agg(
+        F.sum("n").alias("count"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    # One row per column of the table.
+    ranked = running_totals(counts, "value", "__bucket", ["n"], ["column"]).join(F.broadcast(weighed), "column")
+    parts = {"squares": F.sum(F.col("n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))}
+    for name, share in QUARTILES.items():
+        place = (F.col("count") - 1) * share
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
+            parts[f"{name}_{side}"] = F.max(F.when(here, F.col("value")))
+    found = ranked.groupBy("column", "count", "mean", "min", "max").agg(*[v.alias(n) for n, v in parts.items()])
+
+    def quartile(name: str, share: float) -> Column:
+        place = (F.col("count") - 1) * share
+        return F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place - F.floor(place))
+
+    named = found.select(
+        "column", "count", "mean",
+        F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("stddev"),
+        "min", *[quartile(n, q).alias(n) for n, q in QUARTILES.items()], "max",
+    )
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(named, "column", "left").fillna(0, ["count"])

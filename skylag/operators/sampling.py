@@ -1,10 +1,10 @@
 """Exact-size samples and splits by hash order.
 
-Rows are ordered by a seeded hash of their key. Instead of sorting, the hash range
-is cut into 65,536 slices; slice totals (a small table) show in which slice the
-quota is reached, and only the rows of that one slice are ranked. The same rows
-come out on every run and under every partitioning. The key should identify a
-row: rows with equal keys share a slice.
+Rows are ordered by a seeded hash of their key. Instead of sorting, totals of slices of
+the hash range show in which slice the quota is reached, first by its upper 16 bits and
+inside that slice by the next 16. Only rows that share these 32 bits with the cut are
+ranked. The same rows come out on every run and under every partitioning. The key should
+identify a row: rows with equal keys share a slice.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylag.operators.ordered import local_if_small
+from skylag.session import materialized
 
 SLICE_BITS = 16
 XXHASH_BITS = 64
@@ -25,21 +25,50 @@ def key_hash(keys: Sequence[str], seed: int = 42) -> Column:
 
 
 def _prepare(df: DataFrame, keys: Sequence[str], seed: int, rank_by: str | None, rank_bits: int) -> DataFrame:
+    """The hash, its upper bits and the bits after them."""
     order = F.col(rank_by).cast("bigint") if rank_by else key_hash(keys, seed)
     bits = rank_bits if rank_by else XXHASH_BITS
-    return df.withColumn("__hash", order).withColumn("__slice", F.shiftright("__hash", max(bits - SLICE_BITS, 0)))
+    upper, lower = max(bits - SLICE_BITS, 0), max(bits - 2 * SLICE_BITS, 0)
+    return df.withColumn("__hash", order).withColumns({"__slice": F.shiftright("__hash", upper), "__part": F.shiftright("__hash", lower)})
+
+
+def _cuts(counts: DataFrame, strata: Sequence[str], slices: str, quota: Column) -> DataFrame:
+    """Per stratum of (strata, slice, n, ...): the slice in which the quota is reached, as
+    `__cut_*`, and how many of its rows are still wanted. At most 65,536 slices a stratum."""
+    order = Window.partitionBy(*strata).orderBy(slices).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("__upto", F.sum("n").over(order)).withColumn("__quota", quota.cast("bigint"))
+    reached = (F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("n") < F.col("__quota"))
+    return summed.filter(reached).select(
+        *strata, F.col(slices).alias(f"__cut{slices}"), (F.col("__quota") - F.col("__upto") + F.col("n")).alias(f"__wanted{slices}")
+    )
+
+
+def _matched(rows: DataFrame, table: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Rows with the row of their stratum; one row per stratum, so that the real size decides how it is joined."""
+    named = table.withColumnsRenamed({s: f"__of_{s}" for s in strata})
+    same = None
+    for s in strata:
+        equal = F.col(s).eqNullSafe(F.col(f"__of_{s}"))
+        same = equal if same is None else same & equal
+    return rows.join(named, same, "left").drop(*[f"__of_{s}" for s in strata])
 
 
-def _cuts(rows: DataFrame, strata: Sequence[str], quota: Callable[[Column], Column]) -> DataFrame:
-    """Per stratum, the slice in which the quota is reached and how many of its rows are still wanted."""
+def _chosen(rows: DataFrame, strata: Sequence[str], keys: Sequence[str], quota: Callable[[Column], Column], alias: str) -> DataFrame:
+    """Rows with a flag that is true for the first `quota` rows of their stratum in hash order."""
     slices = rows.groupBy(*strata, "__slice").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*strata).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    totals = Window.partitionBy(*strata)
-    counted = slices.withColumns({"upto": F.sum("n").over(order), "quota": quota(F.sum("n").over(totals)).cast("bigint")})
-    reached = (F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota"))
-    return counted.filter(reached).select(
-        *strata, F.col("__slice").alias("__cut"), (F.col("quota") - F.col("upto") + F.col("n")).alias("__wanted")
-    )
+    total = F.sum("n").over(Window.partitionBy(*strata))
+    first = materialized(_cuts(slices, strata, "__slice", quota(total)), "sample-slices")
+    inside = _matched(rows, first, strata).filter(F.col("__slice") == F.col("__cut__slice"))
+    parts = inside.groupBy(*strata, "__part", "__wanted__slice").agg(F.count(F.lit(1)).alias("n"))
+    second = materialized(_cuts(parts, strata, "__part", F.col("__wanted__slice")), "sample-parts")
+    placed = _matched(rows, second, strata)
+    # No cut: the quota of the stratum is 0.
+    settled = placed.filter(~F.col("__part").eqNullSafe(F.col("__cut__part")))
+    settled = settled.withColumn(alias, F.coalesce(F.col("__part") < F.col("__cut__part"), F.lit(False)))
+    order = Window.partitionBy(*strata).orderBy("__hash", *keys)
+    on_cut = placed.filter(F.col("__part") == F.col("__cut__part")).withColumn("__rank", F.row_number().over(order))
+    ranked = on_cut.withColumn(alias, F.col("__rank") <= F.col("__wanted__part")).drop("__rank")
+    return settled.unionByName(ranked).drop("__hash", "__slice", "__part", "__cut__part", "__wanted__part")
 
 
 def sample_exact(
@@ -54,14 +83,9 @@ def sample_exact(
 
     `rank_by` replaces the hash by a given non-negative integer column of `rank_bits` bits.
     """
-    rows = _prepare(df, keys, seed, rank_by, rank_bits)
-    cut = _cuts(rows, [], lambda total: F.least(F.lit(n), total)).select(F.struct("__cut", "__wanted")).scalar()
-    at, wanted = cut.getField("__cut"), cut.getField("__wanted")
-    before = rows.filter(F.col("__slice") < at)
-    order = Window.orderBy("__hash", *keys)
-    on_cut = rows.filter(F.col("__slice") == at).withColumn("__rank", F.row_number().over(order))
-    picked = before.unionByName(on_cut.filter(F.col("__rank") <= wanted).drop("__rank"))
-    return picked.drop("__hash", "__slice")
+    rows = _prepare(df, keys, seed, rank_by, rank_bits).withColumn("__all", F.lit(1))
+    chosen = _chosen(rows, ["__all"], keys, lambda total: F.least(F.lit(n), total), "__chosen")
+    return chosen.filter("__chosen").drop("__all", "__chosen")
 
 
 def stratified_split(
@@ -76,17 +100,8 @@ def stratified_split(
 ) -> DataFrame:
     """Every row marked 'train' or 'test', with floor(fraction * rows) train rows per label value."""
     rows = _prepare(df, keys, seed, rank_by, rank_bits)
-    cuts = local_if_small(_cuts(rows, [label], lambda total: F.floor(total * train_fraction)))
-    placed = rows.join(
-        cuts.withColumnRenamed(label, "__label"), F.col(label).eqNullSafe(F.col("__label")), "left"
-    ).drop("__label")
-    settled = placed.filter(~F.col("__slice").eqNullSafe(F.col("__cut"))).withColumn(
-        alias, F.when(F.col("__slice") < F.col("__cut"), "train").otherwise("test")
-    )
-    order = Window.partitionBy(label).orderBy("__hash", *keys)
-    on_cut = placed.filter(F.col("__slice") == F.col("__cut")).withColumn("__rank", F.row_number().over(order))
-    ranked = on_cut.withColumn(alias, F.when(F.col("__rank") <= F.col("__wanted"), "train").otherwise("test")).drop("__rank")
-    return settled.unionByName(ranked).drop("__hash", "__slice", "__cut", "__wanted")
+    chosen = _chosen(rows, [label], keys, lambda total: F.floor(total * train_fraction), "__chosen")
+    return chosen.withColumn(alias, F.when(F.col("__chosen"), "train").otherwise("test")).drop("__chosen")
 
 
 def split_by_year(

@@ -1,76 +1,97 @@
 """Nearest weather stations without comparing every airport with every station.
 
-Points are put on the unit sphere, where straight-line distance orders points
-like great-circle distance and there is no date line. Space is cut into cubes of
-side 2^-13 (under 1 km) up to 2, doubling per level. For an airport, take the
-finest level whose 27 surrounding cubes hold at least k stations. Those k lie no
-further than 2*sqrt(3) sides away, which is less than 4 sides, so the 27 cubes
-two levels up are certain to contain the k nearest. Only those are measured.
+Points are put on the unit sphere, where straight-line distance orders points like
+great-circle distance and there is no date line. Space is cut into cubes, from one of
+side 2 around each octant down to less than two metres of ground. Level by level an
+airport keeps only cubes that may hold one of its k nearest stations: cubes whose nearest
+corner is not farther than the farthest corner of the closest cubes that together hold k
+stations. Only the stations in the cubes of the last level are measured. Of stations at
+the very same place only k need to be looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylag.functions.geo import haversine_km, unit_vector
+from skylag.session import materialized
 
-FINEST_LEVEL = -13
-COARSEST_LEVEL = 1
-SAFE_LEVELS_UP = 2
+# Exponents of the cube sides; each step splits a cube into at most 16^3.
+LEVELS = (1, -3, -7, -11, -15, -19, -22)
+AXES = "xyz"
+CUBE = [f"__c{a}" for a in AXES]
+SLACK = 1e-9  # for rounding; half a centimetre of ground
 
 
-def _cell(axis: Column, level: Column) -> Column:
-    return F.floor(axis / F.pow(F.lit(2.0), level)).cast("int")
+def _cube(axis: str, level: int) -> Column:
+    return F.floor(F.col(f"__{axis}") / 2.0**level)
 
 
-def _with_levels(points: DataFrame) -> DataFrame:
-    levels = F.sequence(F.lit(FINEST_LEVEL), F.lit(COARSEST_LEVEL))
+def _on_sphere(points: DataFrame) -> DataFrame:
     x, y, z = unit_vector("latitude", "longitude")
-    return (
-        points.withColumns({"__x": x, "__y": y, "__z": z})
-        .withColumn("__level", F.explode(levels))
-        .withColumns({f"__c{a}": _cell(F.col(f"__{a}"), F.col("__level")) for a in "xyz"})
-    )
+    return points.withColumns({"__x": x, "__y": y, "__z": z})
+
+
+def _corner_distance(level: int, farthest: bool) -> Column:
+    """Straight-line distance from the airport to the nearest or farthest point of a cube."""
+    side = 2.0**level
 
+    def along(axis: str) -> Column:
+        low = F.col(f"__c{axis}") * side
+        a, b = low - F.col(f"__{axis}"), F.col(f"__{axis}") - low - side
+        return F.greatest(-a, -b) if farthest else F.greatest(a, b, F.lit(0.0))
 
-CELL = ["__level", "__cx", "__cy", "__cz"]
+    return F.sqrt(reduce(lambda p, q: p + q, [along(a) * along(a) for a in AXES]))
 
 
-def _neighbour_cells(points: DataFrame) -> DataFrame:
-    """Each point once for each of the 27 cubes around it."""
-    for axis in "xyz":
-        around = F.explode(F.array(*[F.col(f"__c{axis}") + d for d in (-1, 0, 1)]))
-        points = points.withColumn(f"__n{axis}", around)
-    return points.withColumns({f"__c{a}": F.col(f"__n{a}") for a in "xyz"})
+def _possible(reached: DataFrame, level: int, k: int) -> DataFrame:
+    """Of the occupied cubes reached by each airport, those that may hold one of its k nearest."""
+    measured = reached.withColumns({"__near": _corner_distance(level, False), "__far": _corner_distance(level, True)})
+    by_far = Window.partitionBy("airport_code").orderBy("__far", *CUBE).rowsBetween(Window.unboundedPreceding, -1)
+    # The first cube with which k stations are together; fewer stations than k: no bound.
+    together = measured.withColumn("__before", F.coalesce(F.sum("__n").over(by_far), F.lit(0)))
+    enough = F.min(F.when(F.col("__before") + F.col("__n") >= k, F.col("__far"))).over(Window.partitionBy("airport_code"))
+    return together.withColumn("__bound", enough).filter(F.col("__bound").isNull() | (F.col("__near") <= F.col("__bound") + SLACK))
 
 
 def nearest_stations(airports: DataFrame, stations: DataFrame, k: int = 1) -> DataFrame:
     """The k nearest stations per airport: (airport_code, station_id, distance_km, rank).
 
     `airports` has (airport_code, latitude, longitude), `stations` (station_id,
-    latitude, longitude). Equal distances are ordered by station_id.
+    latitude, longitude). Equal distances are ordered by station_id. Every level is
+    written, as the next one needs it twice.
     """
-    places = airports.select("airport_code", "latitude", "longitude")
-    around = _neighbour_cells(_with_levels(places))
-    occupied = _with_levels(stations.select("station_id", "latitude", "longitude")).groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    enough = (
-        around.join(occupied, CELL)
-        .groupBy("airport_code", "__level")
-        .agg(F.sum("__n").alias("__n"))
-        .groupBy("airport_code")
-        .agg(F.min(F.when(F.col("__n") >= k, F.col("__level"))).alias("__finest"))
-    )
-    level = F.least(F.coalesce(F.col("__finest"), F.lit(COARSEST_LEVEL)) + SAFE_LEVELS_UP, F.lit(COARSEST_LEVEL))
-    chosen = enough.select("airport_code", level.alias("__level"))
-    search = around.join(chosen, ["airport_code", "__level"]).select(
-        "airport_code", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), *CELL
-    )
-    candidates = search.join(_with_levels(stations.select("station_id", "latitude", "longitude")), CELL)
+    places = _on_sphere(airports.select("airport_code", "latitude", "longitude"))
+    places = places.filter(reduce(lambda p, q: p & q, [F.col(f"__{a}").isNotNull() for a in AXES]))
+    same_place = Window.partitionBy("latitude", "longitude").orderBy("station_id")
+    sites = stations.select("station_id", "latitude", "longitude").withColumn("__copy", F.row_number().over(same_place))
+    sites = materialized(_on_sphere(sites.filter(F.col("__copy") <= k).drop("__copy")), "stations")
+
+    def occupied(level: int) -> DataFrame:
+        return sites.groupBy(*[_cube(a, level).alias(f"__c{a}") for a in AXES]).agg(F.count(F.lit(1)).alias("__n"))
+
+    point = ["airport_code", "latitude", "longitude", *[f"__{a}" for a in AXES]]
+    kept = None
+    for above, level in zip((None, *LEVELS), LEVELS):
+        if above is None:
+            # At most eight cubes, one per octant.
+            octants = F.explode(F.sequence(F.lit(0), F.lit(7)))
+            start = places.withColumn("__octant", octants).withColumns({f"__c{a}": F.shiftright("__octant", i).bitwiseAND(F.lit(1)).cast("bigint") - 1 for i, a in enumerate(AXES)})
+            reached = start.drop("__octant").join(occupied(level), CUBE)
+        else:
+            ratio = 2 ** (above - level)
+            children = occupied(level).withColumns({f"__p{a}": F.floor(F.col(f"__c{a}") / ratio) for a in AXES})
+            parents = kept.select(*point, *[F.col(f"__c{a}").alias(f"__p{a}") for a in AXES])
+            reached = parents.join(children, [f"__p{a}" for a in AXES])
+        kept = materialized(_possible(reached, level, k).select(*point, *CUBE), "cubes")
+
+    near = kept.select("airport_code", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), *CUBE)
+    last = sites.select("station_id", "latitude", "longitude", *[_cube(a, LEVELS[-1]).alias(f"__c{a}") for a in AXES])
     distance = haversine_km("__lat", "__lon", "latitude", "longitude")
-    measured = candidates.select("airport_code", "station_id", distance.alias("distance_km"))
+    measured = near.join(last, CUBE).select("airport_code", "station_id", distance.alias("distance_km"))
     # Rank <= k is applied on each side of the shuffle, so an airport ships k rows per task.
     order = Window.partitionBy("airport_code").orderBy("distance_km", "station_id")
     return measured.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

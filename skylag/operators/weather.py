@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from skylag import fixed_values as fixed
 from skylag import schemas
 from skylag.functions.clock import to_timestamp, with_departure_hour
-from skylag.operators.ordered import local_if_small
 
 
 def nearby_map(spark: SparkSession, pairs: Sequence[tuple[str, str]] = tuple(fixed.NEARBY_AIRPORTS)) -> DataFrame:
@@ -74,10 +73,15 @@ def join_weather(
     """
     hourly = weather_by_hour(weather, measures).withColumnRenamed("Origin", "__airport")
     keyed = with_departure_hour(flights)
-    pairs = [("Origin", "__airport"), ("FlightDate", "date"), ("dep_hour", "hour")]
+    hour = F.col("dep_hour")
+    if not null_safe:
+        # Unknown hours match nothing; impossible ones keep an airport's from one task.
+        others = [c for c in ("Dest", "Tail_Number", "Distance") if c in flights.columns]
+        hour = F.coalesce(hour, -1 - F.pmod(F.xxhash64(F.lit(0), *others), F.lit(4096)))
+    pairs = [(F.col("Origin"), "__airport"), (F.col("FlightDate"), "date"), (hour, "hour")]
     condition = None
     for left, right in pairs:
-        equal = F.col(left).eqNullSafe(F.col(right)) if null_safe else F.col(left) == F.col(right)
+        equal = left.eqNullSafe(F.col(right)) if null_safe else left == F.col(right)
         condition = equal if condition is None else condition & equal
     joined = keyed.join(hourly, condition, "left").drop("__airport")
     return joined if keep_keys else joined.drop("date", "hour")
@@ -93,11 +97,10 @@ def station_series(
     December 31, 23:00 of the last year, labelled with the airport.
 
     `assignments` has (airport_code, station_id); airports without a station and
-    stations without rows drop out. If there are few airports, the series is not
-    shuffled.
+    stations without rows drop out.
     """
     start = F.lit(f"{first_year}-01-01 00:00:00").cast("timestamp_ntz")
     end = F.lit(f"{last_year}-12-31 23:00:00").cast("timestamp_ntz")
     within = hourly.filter(F.col("time").between(start, end))
-    mapped = local_if_small(assignments.select("airport_code", "station_id").filter(F.col("station_id").isNotNull()))
+    mapped = assignments.select("airport_code", "station_id").filter(F.col("station_id").isNotNull())
     return within.join(mapped, "station_id").drop("station_id")

@@ -1,4 +1,8 @@
-"""From clean flights and weather to the training table, as one lazy plan."""
+"""From clean flights and weather to the training table.
+
+The calendar and the daily history are small tables written when these functions are
+called; everything about single flights stays one lazy plan.
+"""
 
 from __future__ import annotations
 

@@ -11,11 +11,7 @@ from skylag import schemas
 
 def airports(spark: SparkSession) -> DataFrame:
     """The built-in airport list."""
-    rows = []
-    for line in fixed.AIRPORTS.strip().splitlines():
-        code, name, latitude, longitude, city, state = line.split("|")
-        rows.append((code, name, float(latitude), float(longitude), city, state))
-    return spark.createDataFrame(rows, schemas.AIRPORTS)
+    return spark.createDataFrame(fixed.AIRPORTS, schemas.AIRPORTS)
 
 
 def read_dimension(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

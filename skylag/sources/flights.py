@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -36,15 +37,34 @@ def read_csv(spark: SparkSession, *paths: str, schema: T.StructType) -> DataFram
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file; reads its first line only."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    """Column names of a CSV file or folder: its first line, read through the file system without a job."""
+    place, store = _on_file_system(spark, path)
+    if store.getFileStatus(place).isDirectory():
+        files = sorted(str(f.getPath()) for f in store.listStatus(place) if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")))
+        if not files:
+            raise FileNotFoundError(f"no CSV file in {path}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = store.open(place)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(store.getConf()).getCodec(place)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([(line or "").removeprefix("\ufeff")]), [])
+
+
+def _on_file_system(spark: SparkSession, path: str):
+    """A path and its own file system (local, HDFS, object store)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on its own file system (local, HDFS, object store)."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return file_system.exists(hadoop_path)
+    place, store = _on_file_system(spark, path)
+    return store.exists(place)
 
 
 def monthly_paths(folder: str, first: tuple[int, int] = (2018, 1), last: tuple[int, int] = (2022, 7)) -> list[str]:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_by_year(df: DataFrame, path: str, year: str = "Year") -> None:
-    """Parquet with one folder per year; files of a year are written in parallel."""
-    df.write.mode("overwrite").partitionBy(year).parquet(path)
+    """Parquet with one folder per year; rows are rebalanced by year first, so that a year
+    has few files and a large one is still written in parallel."""
+    df.hint("rebalance", year).write.mode("overwrite").partitionBy(year).parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -37,17 +36,7 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small result as one UTF-8 CSV file with a header (no byte-order mark)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-def write_or_preview(df: DataFrame, path: str, csv_path: str, preview_rows: int = 100_000) -> bool:
-    """Write parquet; if Spark cannot, write the first rows as CSV. True if all was written."""
-    try:
-        write_table(df, path)
-        return True
-    except (PySparkException, Py4JJavaError):
-        df.limit(preview_rows).write.mode("overwrite").option("header", True).csv(csv_path)
-        return False
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:

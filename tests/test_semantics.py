@@ -305,3 +305,22 @@ def test_previous_leg(spark):
     rows = [("T", day, 800, 20.0, False, 1), ("T", day, 900, 5.0, False, 2), ("T", day, 1200, None, False, 3), (None, day, 700, 9.0, False, 4)]
     got = propagation.previous_leg(spark.createDataFrame(rows, LEGS), ["id"]).orderBy("id").collect()
     assert [r["prev_arr_delay"] for r in got] == [None, 20.0, 5.0]
+
+
+def test_calendar_with_dates_far_away(spark):
+    """Two lone dates add two years, not the millennia between them."""
+    days = [dt.date(1, 7, 1), dt.date(2020, 12, 31), dt.date(2021, 1, 2), dt.date(9999, 12, 30)]
+    flights = spark.createDataFrame([(d,) for d in days], "FlightDate date")
+    years = holidays.years_of(flights)
+    assert sorted(r["year"] for r in years.collect()) == [1, 2020, 2021, 9999]
+    dimension = holidays.date_dimension(years)
+    assert dimension.count() == 365 + 366 + 365 + 365
+    got = {r["FlightDate"]: (r["days_to_next_holiday"], r["days_from_prev_holiday"]) for r in holidays.join_calendar(flights, dimension, ["days_to_next_holiday", "days_from_prev_holiday"]).collect()}
+    assert got[dt.date(2020, 12, 31)] == (1, 3) and got[dt.date(2021, 1, 2)][1] == 1
+    assert got[dt.date(9999, 12, 30)] == (1, 2)  # a New Year observed on December 31
+
+
+def test_holiday_tables_come_by_date(spark):
+    for table in (holidays.federal_holidays, holidays.extended_holidays):
+        dates = [r["date"] for r in table(years_between(spark, 2018, 2024)).collect()]
+        assert dates == sorted(dates)

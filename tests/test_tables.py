@@ -78,14 +78,6 @@ def test_report_is_one_file_with_header(spark, tmp_path):
     assert file.read_text().splitlines() == ["id", "0", "1", "2"]
 
 
-def test_fallback_preview(spark, tmp_path):
-    assert sinks.write_or_preview(spark.range(5), str(tmp_path / "ok"), str(tmp_path / "no"))
-    broken = spark.range(5)
-    (tmp_path / "file").write_text("in the way")
-    assert not sinks.write_or_preview(broken, str(tmp_path / "file" / "t"), str(tmp_path / "csv"), preview_rows=3)
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
-
-
 def test_airports(spark):
     table = dimensions.airports(spark)
     assert table.count() == 97 and table.select("airport_code").distinct().count() == 97
@@ -94,9 +86,9 @@ def test_airports(spark):
 
 
 def test_hourly_csv(spark, tmp_path):
-    (tmp_path / "w.csv").write_text("time,temp,dwpt,rhum,prcp,snow,wdir,wspd,wpgt,pres,tsun,coco\n2018-01-01 00:00:00,-11.1,-19.9,48.0,,,310.0,33.5,,1026.8,,\n")
+    (tmp_path / "w.csv").write_text("time,temp,dwpt,rhum,prcp,snow,wdir,wspd,wpgt,pres,tsun,coco\n2019-05-06 00:00:00,-3.5,-7.0,61.0,,,120.0,8.5,,1011.0,,\n")
     row = weather_files.read_hourly_csv(spark, str(tmp_path / "w.csv")).first()
-    assert row["time"] == dt.datetime(2018, 1, 1) and row["temp"] == -11.1 and row["prcp"] is None
+    assert row["time"] == dt.datetime(2019, 5, 6) and row["temp"] == -3.5 and row["prcp"] is None
 
 
 def test_station_series_bounds(spark):
