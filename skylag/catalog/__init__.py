@@ -8,6 +8,7 @@ from skylag.catalog import (  # noqa: F401  (importing a module registers its qu
     models,
     profiles,
     propagation,
+    reports,
     scalars,
     selections,
     tables,
