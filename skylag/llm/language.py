@@ -212,7 +212,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([temperature])], names=model_schema.names)
 
     # The sample is bounded, so one task can hold it.
-    learned = map_batches(rows.repartition(1).sortWithinPartitions("order", "language"), train, model_schema).first()
+    learned = map_batches(rows.repartition(1).sortWithinPartitions("order", "language", "buckets", "values"), train, model_schema).first()
     weights = np.frombuffer(learned["weights"], np.float32).reshape(BUCKETS + 1, len(languages))
     return Model(languages, idf, weights, learned["temperature"])
 
