@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylag.catalog import views
@@ -12,9 +13,14 @@ from skylag.catalog.causes_and_rates import RATE
 from skylag.catalog.registry import query
 from skylag.catalog.views import FLIGHT_KEY, NEARBY_SQL, WEATHER_SQL, with_flights
 from skylag.catalog.weather import FILLED_SQL
+from skylag.models import prep
+from skylag.models.evaluate import confusion
+from skylag.models.train import fit_logistic, safe_features, score
 from skylag.operators import history, propagation
+from skylag.operators.sampling import split_by_year
 from skylag.operators.weather import nearby_map
 from skylag.plans.feature_table import propagation_table, strategic_features
+from skylag.session import materialized
 
 no_origin = partial(views.flights, with_origin=False)
 KEY = ", ".join(FLIGHT_KEY)
@@ -128,6 +134,33 @@ def _strategic(spark, sf):
         F.sum("origin_sched_departures").alias("departures"), F.avg("days_to_next_holiday").alias("mean_days_to_next"))
 
 
+_LABELLED_PARTS = {"Train": "f.Year <= 1998", "Validation": "f.Year = 1999", "Test": "f.Year >= 2000"}
+
+
+@query("m09_m16_trained_on_strategic_features", with_flights(
+    " UNION ALL ".join(
+        f"SELECT '{part}' AS part, count(*) AS rows, count(*) FILTER (DepDel15 = 1) AS positives, count(*) AS scored "
+        f"{_JOINED} WHERE DepDel15 IS NOT NULL AND {where}" for part, where in _LABELLED_PARTS.items()),
+    *HOLIDAY_VIEWS, DIMENSION_SQL, TRAFFIC_SQL, _rolling_sql("route", history.HISTORY_KEYS["route"]), WEATHER_SQL, NEARBY_SQL, FILLED_SQL))
+def _trained(spark, sf):
+    """Logistic regression on all usable columns of the day-ahead table, scored on every part."""
+    table = materialized(strategic_features(
+        views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs())), "strategic")
+    parts = split_by_year(table, range(1990, 1999), (1999,), range(2000, 2010))
+    training = parts.filter("split = 'train'")
+    numeric, text = safe_features(table.drop("row_hash", "score"))
+    model = fit_logistic(
+        training, prep.with_known_values(training, numeric), [c for c in text if c != "split"], weighting="cost", max_iter=100)
+    rows = []
+    for part in _LABELLED_PARTS:
+        scored = score(model, parts.filter(F.col("split") == part.lower()))
+        counted = confusion(scored).select(
+            F.lit(part).alias("part"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"), (F.col("tp") + F.col("fn")).alias("positives"))
+        known = scored.agg(F.count_if(F.col("score").between(0, 1) & F.col("prediction").isin(0.0, 1.0)).alias("scored")).scalar()
+        rows.append(counted.withColumn("scored", known))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # Flights doubled by several weather rows also arrive twice, as in the published order of steps.
 _WEATHERED_SQL = (
     "weathered AS (SELECT f.*, w.temp FROM flights_v f LEFT JOIN filled w ON w.airport_code = f.Origin "

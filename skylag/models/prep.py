@@ -37,6 +37,14 @@ def _sql_stage(columns: dict[str, str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__")
 
 
+def with_known_values(train: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that have a value in at least one training row; nothing can be learned from others."""
+    if not columns:
+        return []
+    counts = train.agg(*[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if counts[f"n_{i}"]]
+
+
 def fit_median_imputer(train: DataFrame, columns: Sequence[str], suffix: str = "_imp") -> SQLTransformer:
     """Fill missing numbers with the training median; a column without a known training value is refused."""
     found = {r["column"]: r["median"] for r in medians(train, columns).collect()}
