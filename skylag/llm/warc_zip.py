@@ -302,6 +302,9 @@ def read(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=schema.names)
 
-    found = map_batches(packages.select("path").repartition("path"), places, places_schema)
-    dealt = found.repartition("path", F.floor(F.col("start") / range_bytes)).sortWithinPartitions("path", "start")
+    # Rows are only places, but each stands for a record: tasks are counted by packages, not
+    # by the few bytes that are shuffled.
+    tasks = max(packages.count(), packages.sparkSession.sparkContext.defaultParallelism)
+    found = map_batches(packages.select("path").repartition(tasks, "path"), places, places_schema)
+    dealt = found.repartition(tasks, "path", F.floor(F.col("start") / range_bytes)).sortWithinPartitions("path", "start")
     return map_batches(dealt, records, schema)
