@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def running_before(df: DataFrame, number: str, values: dict[str, Column]) -> DataFrame:
     """The frame with, for each value, the total over all rows of a smaller number.
 
-    `number` is a unique non-negative integer. Totals of blocks of 1024 numbers are summed
+    `number` is a unique non-negative integer. Totals of blocks of 128 numbers are summed
     first and added to the totals inside each block, so a task holds one block, or one row
     per block.
     """
