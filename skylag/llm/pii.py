@@ -239,30 +239,39 @@ def inputs(kind: Column, voted: dict[str, Column], described: dict[str, Column])
     return found
 
 
-def posterior(reliability: dict, prior: dict[str, float]) -> Column:
-    """Probability of being personal data, given the votes."""
-    odds = F.lit(0.0)
-    for kind in reliability:
-        own = F.lit(math.log(prior[kind] / (1 - prior[kind])))
-        for labeler, table in reliability[kind].items():
-            weight = {v: math.log(a / b) for v, (a, b) in table.items()}
-            own = own + F.when(F.col(labeler) == 1, weight[1]).when(F.col(labeler) == -1, weight[-1]).otherwise(weight[0])
-        odds = F.when(F.col("kind") == kind, own).otherwise(odds)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+def _weight(labeler: str, vote: int) -> str:
+    return f"w_{labeler}_{('against', 'none', 'for')[vote + 1]}"
+
+
+def with_belief(counts: DataFrame, reliability: dict, prior: dict[str, float], odds: str) -> DataFrame:
+    """The patterns with `belief`, their probability of being personal data given the votes.
+
+    The weights come as a table of one row per kind, so the plan, and its compiled code, is
+    the same in every round.
+    """
+    names = [_weight(labeler, v) for labeler in LABELERS for v in (-1, 0, 1)]
+    rows = []
+    for kind, tables in reliability.items():
+        weights = [math.log(a / b) for labeler in LABELERS for a, b in (tables[labeler][v] for v in (-1, 0, 1))]
+        rows.append(f"('{kind}', " + ", ".join(f"{w!r}D" for w in [math.log(prior[kind] / (1 - prior[kind])), *weights]) + ")")
+    table = counts.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(kind, w_prior, {', '.join(names)})")
+    joined = counts.join(F.broadcast(table), "kind")  # one row per kind
+    return joined.selectExpr(*counts.columns, f"1D / (1D + exp(-({odds}))) AS belief")
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS) -> Model | None:
     """Learn from all texts; None without candidates."""
     counts = materialized(pattern_counts(docs, text), "vote_patterns")
-    total_votes = reduce(lambda a, b: a + b, [F.col(name) for name in LABELERS])
-    belief: Column = F.lit(1.0) / (F.lit(1.0) + F.exp(-1.5 * total_votes))  # majority vote to begin with
+    # The majority vote to begin with.
+    believed = counts.selectExpr("*", f"1D / (1D + exp(-1.5D * ({' + '.join(LABELERS)}))) AS belief")
+    odds = " + ".join(["w_prior", *[f"CASE {n} WHEN 1 THEN {_weight(n, 1)} WHEN -1 THEN {_weight(n, -1)} ELSE {_weight(n, 0)} END" for n in LABELERS]])
+    sides = {"yes": "n * belief", "no": "n * (1D - belief)"}
+    sums = [F.expr(f"sum({share}) AS {side}") for side, share in sides.items()]
+    sums += [F.expr(f"coalesce(sum({share}) FILTER (WHERE {n} = {v}), 0D) AS `{n}_{v}_{side}`") for n in LABELERS for v in (-1, 0, 1) for side, share in sides.items()]
     reliability: dict = {}
     prior: dict[str, float] = {}
     for _ in range(rounds):
-        weighed = counts.select("*", (F.col("n") * belief).alias("yes"), (F.col("n") * (F.lit(1.0) - belief)).alias("no"))
-        sums = [F.sum(side).alias(side) for side in ("yes", "no")]
-        sums += [F.sum(F.when(F.col(name) == v, F.col(side)).otherwise(0.0)).alias(f"{name}_{v}_{side}") for name in LABELERS for v in (-1, 0, 1) for side in ("yes", "no")]
-        rows = {row["kind"]: row for row in weighed.groupBy("kind").agg(*sums).collect()}  # one row per kind
+        rows = {row["kind"]: row for row in believed.groupBy("kind").agg(*sums).collect()}  # one row per kind
         if not rows:
             return None
         # One pseudo-count each keeps every probability above zero.
@@ -271,9 +280,9 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS) -> Model |
             k: {name: {v: ((r[f"{name}_{v}_yes"] + 1) / (r["yes"] + 3), (r[f"{name}_{v}_no"] + 1) / (r["no"] + 3)) for v in (-1, 0, 1)} for name in LABELERS}
             for k, r in rows.items()
         }
-        belief = posterior(reliability, prior)
+        believed = with_belief(counts, reliability, prior, odds)
     values = inputs(F.col("kind"), {n: F.col(n) for n in LABELERS}, {n: F.col(n) for n in FEATURES})
-    labelled = counts.select(belief.alias("p"), "n", *[v.alias(n) for n, v in values.items()])
+    labelled = believed.select(F.col("belief").alias("p"), "n", *[v.alias(n) for n, v in values.items()])
     both = labelled.withColumn("label", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
     both = both.withColumn("weight", F.col("n") * F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p"))).filter("weight > 1e-9")
     table = VectorAssembler(inputCols=list(values), outputCol="inputs").transform(both)
