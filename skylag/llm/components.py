@@ -40,7 +40,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = _least(stars)
         linked = stars.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = _distinct_edges(linked.unionByName(least.select("u", F.col("m").alias("v"))), "small_star")
-        after = edges.agg(F.count(F.lit(1)), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = edges.agg(F.count(F.lit(1)), F.bit_xor("u"), F.bit_xor("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             break
         before = after

@@ -7,6 +7,7 @@ from test_near_duplicates import plain_fingerprint, union_find
 from test_text_encoding import check_packing
 
 import corpus_pipeline
+from skylag.llm import shingle_copies
 from skylag.llm.queries import vocabulary_path
 from skylag.session import materialized
 
@@ -88,3 +89,30 @@ def test_near_duplicates_keep_rows_without_an_id(spark, sf_dir):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (4, "a b c d e"), (6, np.str_("quite other words are here"))], "doc_id long, text string")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["2", "6", "None", "None"]
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(draw, words, share):
+    return " ".join(f"new{draw.integers(1 << 30)}" if draw.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("nodes_per_share", [7, 2048])
+def test_near_copies_share_four_fifths_of_five_word_shingles(spark, sf_dir, nodes_per_share):
+    draw = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{i}" for i in draw.integers(0, 10_000, int(draw.integers(30, 400)))]
+        texts += [" ".join(words)] + [edited(draw, words, share) for share in (0.01, 0.02, 0.02, 0.03, 0.05)]
+    sets = [five_words(t) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in pairs) > len(pairs) / 2  # loose copies are among them
+    group = union_find(range(len(texts)), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    first = shingle_copies.first_of_groups(docs, nodes_per_share=nodes_per_share)
+    assert {r.key for r in first.collect()} == set(group.values())
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()} == set(group.values())
