@@ -12,7 +12,7 @@ that recur and hold more than one line. A map-side bitmap of fixed size keeps th
 and documents without a dropped line, out of the shuffles.
 
 Defined results: a null text stays null; rows without a key, and lines of fewer than `min_tokens`
-tokens, stay as they are. Rows that share key and text count as one document. Other
+tokens (unless `short` is set), stay as they are. Rows that share key and text count as one document. Other
 columns pass through unchanged.
 """
 
@@ -41,28 +41,35 @@ def token_count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def lines_of(docs: DataFrame, key: str, text: str, min_tokens: int, depth: int) -> DataFrame:
-    """Rows (key, version, number, line, leaf, k1, k2) of every line of enough tokens.
+def lines_of(docs: DataFrame, key: str, text: str, min_tokens: int, depth: int, short: bool = False) -> DataFrame:
+    """Rows (key, version, number, line, tokens, leaf, k1, k2) of every line of enough tokens.
 
     `version` tells texts under one key apart; k1 and k2 together identify a masked line.
+    With `short`, lines of fewer tokens come too, unmasked; blank ones never do.
     """
     each = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("number", "line"))
-    lined = each.select("key", "version", "number", masked(F.col("line")).alias("line")).withColumn("tokens", token_count(F.col("line"))).filter(F.col("tokens") >= min_tokens)
+    lined = each.select("key", "version", "number", masked(F.col("line")).alias("line")).withColumn("tokens", token_count(F.col("line")))
+    if short:
+        bare = F.trim(F.col("raw"))
+        few = token_count(bare) < min_tokens
+        lined = each.select("key", "version", "number", F.col("line").alias("raw")).filter(F.col("raw").rlike(r"\S")).withColumn("line", F.when(few, bare).otherwise(masked(F.col("raw")))).withColumn("tokens", token_count(F.col("line")))
+    else:
+        lined = lined.filter(F.col("tokens") >= min_tokens)
     leaf = F.xxhash64("tokens", F.substring_index("line", " ", depth))
-    return lined.select("key", "version", "number", "line", leaf.alias("leaf"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+    return lined.select("key", "version", "number", "line", "tokens", leaf.alias("leaf"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, key: str, text: str, min_docs: int, min_tokens: int, depth: int, constant_share: float) -> DataFrame:
     """Rows (k1, k2, first): masked lines that follow a recurring template, and its first document."""
-    pairs = lines.select("key", "leaf", "k1", "k2").distinct()
-    variants = materialized(pairs.groupBy("leaf", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last")), "line_variants")
+    pairs = lines.select("key", "leaf", "k1", "k2", "long").distinct()
+    variants = materialized(pairs.groupBy("leaf", "k1", "k2").agg(F.max("long").alias("long"), F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last")), "line_variants")
     leaves = variants.groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("variants")).filter((F.col("variants") > 1) & (F.col("total") >= min_docs))
     leaves = materialized(leaves.select("leaf"), "mixed_leaves")
 
     # Texts of the variants of mixed leaves; every other line is ruled out before the shuffle.
     texts = maybe_member(lines_of(docs, key, text, min_tokens, depth), F.col("leaf"), bitmap(leaves, "leaf")).filter("maybe")
     texts = texts.groupBy("leaf", "k1", "k2").agg(F.min("line").alias("line"))
-    mixed = materialized(texts.join(leaves, "leaf", "left_semi").join(variants.drop("leaf"), ["k1", "k2"]), "mixed_variants")
+    mixed = materialized(texts.join(leaves, "leaf", "left_semi").join(variants.drop("leaf", "long"), ["k1", "k2"]), "mixed_variants")
 
     tokens = mixed.select("leaf", "k1", "k2", "n", F.posexplode(F.split("line", " ", -1)).alias("place", "token")).filter(F.col("place") >= depth)
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
@@ -77,7 +84,7 @@ def recurring(docs: DataFrame, lines: DataFrame, key: str, text: str, min_docs:
     general = strong.drop("first").join(templates, ["leaf", "shape", "shape2"]).select("k1", "k2", "first")
 
     # A line that recurs by itself is its own template, unless a wider one holds it.
-    alone = variants.filter((F.col("n") >= min_docs) & (F.col("first") < F.col("last"))).select("k1", "k2", "first")
+    alone = variants.filter((F.col("n") >= F.when(F.col("long"), min(2, min_docs)).otherwise(min_docs)) & (F.col("first") < F.col("last"))).select("k1", "k2", "first")
     return materialized(general.unionByName(alone).groupBy("k1", "k2").agg(F.min("first").alias("first")), "recurring_lines")
 
 
@@ -90,14 +97,19 @@ def drop_recurring(
     depth: int = DEPTH,
     constant_share: float = CONSTANT_SHARE,
     spare_above: float | None = None,
+    long_tokens: int | None = None,
+    short: bool = False,
     count: str = "lines_dropped",
 ) -> DataFrame:
     """The frame with recurring lines dropped from its text, and how many they were.
 
     With `spare_above`, documents that would lose more than this share of their lines are
     left whole: such a document is a copy, to be judged as a whole by another operator.
+    With `long_tokens`, lines of more tokens recur by themselves from two documents on.
+    With `short`, lines of fewer than `min_tokens` tokens recur by themselves, unmasked.
     """
-    lines = materialized(lines_of(docs, key, text, min_tokens, depth).drop("line"), "lines")
+    long = F.lit(False) if long_tokens is None else F.col("tokens") > long_tokens
+    lines = materialized(lines_of(docs, key, text, min_tokens, depth, short).withColumn("long", long).drop("line", "tokens"), "lines")
     known = recurring(docs, lines, key, text, min_docs, min_tokens, depth, constant_share)
     hits = lines.join(known, ["k1", "k2"]).filter(F.col("key") > F.col("first"))
     dropped = hits.groupBy("key", "version").agg(F.collect_set("number").alias("dropped"))
