@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skylag.llm import bit_sliced, line_templates, warc_zip
 from skylag.llm.bitmap import bitmap, maybe_member
 from skylag.llm.queries import ORACLES, QUERIES
@@ -189,3 +190,22 @@ def test_damaged_payloads_are_found():
 
     with pytest.raises(ValueError, match="does not match"):
         warc_zip.parsed(gzip.compress(gzip.decompress(member).replace(b"payload\r\n\r\n", b"pay1oad\r\n\r\n")))
+
+
+def staged(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+
+
+def test_pipeline_drops_recurring_lines_of_any_share_and_length(spark):
+    one, two = "this line stands in many documents", "and this one stands in many others"
+    passage = " ".join(f"word{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(60))
+    brief = "All rights reserved."
+    rows = [(1, one), (2, f"{one}\n{two}"), (3, f"{two}\n{one}\nonly here are these words"), (4, f"{one}\n{two}\nquite different closing words here")]
+    rows += [(5, f"{passage}\nwith an ending of its own"), (6, f"a start of another kind\n{passage}"), (7, "twice only in two documents"), (8, "twice only in two documents")]
+    rows += [(k, f"{'z' * k} begins this one\n\n{brief}\n{k}") for k in (10, 11, 12)]
+    got = staged(spark, rows)
+    assert (got[1], got[2], got[3], got[4]) == (one, two, "only here are these words", "quite different closing words here")
+    assert (got[5], got[6]) == (rows[4][1], "a start of another kind")
+    assert got[7] == got[8] == "twice only in two documents"
+    assert got[10] == rows[8][1] and all(got[k] == f"{'z' * k} begins this one\n\n{k}" for k in (11, 12))
