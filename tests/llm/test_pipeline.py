@@ -116,3 +116,10 @@ def test_near_copies_share_four_fifths_of_five_word_shingles(spark, sf_dir, node
     first = shingle_copies.first_of_groups(docs, nodes_per_share=nodes_per_share)
     assert {r.key for r in first.collect()} == set(group.values())
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()} == set(group.values())
+
+
+def test_unlike_texts_under_one_id_both_stay(spark, sf_dir):
+    rows = [(1, "first words of the one text"), (1, "and another text has these instead"), (1, "first words of the one text"), (2, "first words of the one text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(set(rows[:2]))
