@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylag.llm import bit_sliced, bpe, flat_graph, language, line_templates, packing, pii, simhash, token_counts, warc_zip
+from skylag.llm import bit_sliced, bpe, cover_tree, edit_embedding, flat_graph, hard_negatives, language, line_templates, packing, pii, simhash, token_counts, warc_zip
 from skylag.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,63 @@ def _warc(spark, sf_dir):
     packages = warc_zip.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     found = warc_zip.read(packages)
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _codes_sql() -> str:
+    """Four rounds of assigning and averaging, then a last assignment; one step is one table."""
+    steps = ["""kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS p FROM kept, range(4) AS r(part)),
+book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, p AS c FROM parts
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256)"""]
+    for n in range(5):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT vec_id, label, part, p, min(distance) AS distance, arg_min(entry, (distance, entry)) AS entry
+  FROM (SELECT *, CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM parts JOIN book{n} USING (part))
+  GROUP BY vec_id, label, part, p)""")
+        if n < 4:
+            steps.append(f"""mean{n} AS (
+  SELECT part, entry, list(m ORDER BY place) AS c FROM (
+    SELECT part, entry, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (
+      SELECT part, entry, unnest(p) AS x, unnest(range(len(p))) AS place FROM near{n}) GROUP BY part, entry, place) GROUP BY part, entry),
+book{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN mean{n} m USING (part, entry))""")
+    return f"""WITH {', '.join(steps)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM near4 GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
+@query("op11_cover_tree_codes", _codes_sql())
+def _cover_tree_codes(spark, sf_dir):
+    codes, _ = cover_tree.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_edit_embedding")
+def _edit_embedding(spark, sf_dir):
+    return edit_embedding.with_following(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS alike, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+found AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10
+""")
+def _hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
