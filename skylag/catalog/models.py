@@ -56,10 +56,24 @@ def _known_slots(spark, sf):
 def _codes(spark, sf):
     df = no_origin(spark, sf)
     columns = ["Dest", "Marketing_Airline_Network"]
-    coded = prep.fit_indexer(df, columns).transform(df)
+    coded = df.select(*columns)
+    for c in columns:
+        coded = prep.encode(coded, prep.label_codes(df, c), c)
     return coded.groupBy(*columns, *[f"{c}_idx" for c in columns]).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m05_codes_of_unbounded_text", with_flights(
+    "SELECT Tail_Number, CAST(coalesce(code, (SELECT count(*) FROM codes)) AS DOUBLE) AS Tail_Number_idx, count(*) AS n "
+    "FROM flights_v LEFT JOIN codes USING (Tail_Number) WHERE Year > 1998 GROUP BY ALL",
+    "codes AS (SELECT Tail_Number, row_number() OVER (ORDER BY Tail_Number) - 1 AS code FROM "
+    "(SELECT DISTINCT Tail_Number FROM flights_v WHERE Year <= 1998 AND DepDel15 = 1 AND Tail_Number IS NOT NULL))"))
+def _tail_codes(spark, sf):
+    """Codes of the tails that were late in the early years, for the later ones: unseen and unknown ones share a code."""
+    df = no_origin(spark, sf)
+    codes = prep.label_codes(df.filter("Year <= 1998 AND DepDel15 = 1"), "Tail_Number")
+    return prep.encode(df.filter("Year > 1998").select("Tail_Number"), codes, "Tail_Number").groupBy("Tail_Number", "Tail_Number_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m06_one_hot", with_flights(
     "SELECT Marketing_Airline_Network, CAST(dense_rank() OVER (ORDER BY Marketing_Airline_Network) - 1 AS INTEGER) AS hot_slot, "
     "CAST(count(*) OVER () AS INTEGER) AS slots, n FROM (SELECT Marketing_Airline_Network, count(*) AS n FROM flights_v GROUP BY 1)"))
@@ -67,8 +81,8 @@ def _hot_slots(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = no_origin(spark, sf).select("Marketing_Airline_Network")
-    indexed = prep.fit_indexer(df, ["Marketing_Airline_Network"]).transform(df)
-    encoded = prep.fit_one_hot(indexed, ["Marketing_Airline_Network_idx"]).transform(indexed)
+    indexed = prep.encode(df, prep.label_codes(df, "Marketing_Airline_Network"), "Marketing_Airline_Network")
+    encoded = prep.fit_one_hot_codes(indexed, ["Marketing_Airline_Network_idx"]).transform(indexed)
     slots = vector_to_array("Marketing_Airline_Network_idx_vec")
     return encoded.groupBy(
         "Marketing_Airline_Network",
@@ -102,6 +116,13 @@ def _hash_scored(spark, sf):
         F.col("DepDel15").alias("label"), "score", (F.col("score") >= 0.5).cast("double").alias("prediction"))
 
 
+def _risk_scored(spark, sf):
+    """Scores that say something: later delays with some noise, in steps of a thousandth."""
+    noisy = (F.col("row_hash") % 400 + F.when(F.col("DepDel15") == 1, 300).otherwise(0)) / 1000
+    return no_origin(spark, sf).filter("DepDel15 IS NOT NULL").select(F.col("DepDel15").alias("label"), noisy.alias("score"))
+
+
+RISK_SQL = "scored AS (SELECT DepDel15 AS label, (row_hash % 400 + CASE WHEN DepDel15 = 1 THEN 300 ELSE 0 END) / CAST(1000 AS DOUBLE) AS score FROM flights_v WHERE DepDel15 IS NOT NULL)"
 SCORED_SQL = "scored AS (SELECT DepDel15 AS label, score, CAST(score >= 0.5 AS DOUBLE) AS prediction FROM flights_v WHERE DepDel15 IS NOT NULL)"
 CONFUSION_SQL = (
     "counts AS (SELECT count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp, "
@@ -134,6 +155,13 @@ query("m18_m19_cost", with_flights(
     "SELECT CAST(5 * fn + fp AS DOUBLE) AS total_cost, CAST(5 * (tp + fn) AS DOUBLE) AS zero_rule_cost, "
     "round((1 - (5 * fn + fp) / CAST(5 * (tp + fn) AS DOUBLE)) * 100, 6) AS cost_reduction_pct FROM counts", SCORED_SQL, CONFUSION_SQL))(
     lambda spark, sf: evaluate.total_cost(evaluate.confusion(_hash_scored(spark, sf))))
+query("m18_operating_point", with_flights(
+    "SELECT threshold, cost AS total_cost, zero_rule_cost, round((1 - cost / zero_rule_cost) * 100, 6) AS cost_reduction_pct FROM costs "
+    "ORDER BY cost, threshold DESC LIMIT 1", RISK_SQL,
+    "ends AS (SELECT CAST(count(*) FILTER (label = 1) AS DOUBLE) * 5 AS zero_rule_cost FROM scored)",
+    "costs AS (SELECT threshold, CAST(5 * count(*) FILTER (label = 1 AND score < threshold) + count(*) FILTER (label = 0 AND score >= threshold) AS DOUBLE) AS cost, zero_rule_cost "
+    "FROM scored, (SELECT DISTINCT score AS threshold FROM scored UNION ALL SELECT CAST('infinity' AS DOUBLE)), ends GROUP BY threshold, zero_rule_cost)"))(
+    lambda spark, sf: evaluate.operating_point(_risk_scored(spark, sf)))
 query("m18_cost_weights", with_flights(
     "SELECT CAST(DepDel15 AS INTEGER) AS DepDel15, CAST(CASE WHEN DepDel15 = 1 THEN 5 ELSE 1 END AS DOUBLE) AS weight, count(*) AS n "
     "FROM flights_v WHERE DepDel15 IS NOT NULL GROUP BY ALL"))(
@@ -195,6 +223,29 @@ def _boosted_scores(spark, sf):
     return scored.groupBy("is_weekend").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.max("prediction").alias("prediction"))
 
 
+# Depth 1 over two 0/1 features: every round each feature's split is judged by the weighted sums
+# of its sides, and the better one adds its two means at a tenth. Weights balance the classes.
+_STUMPS_SQL = (
+    f"flagged AS (SELECT {FLAG_SQL['is_weekend']} AS a, CASE WHEN CRSDepTime // 100 BETWEEN 7 AND 9 OR CRSDepTime // 100 BETWEEN 17 AND 19 THEN 1 ELSE 0 END AS b, DepDel15 FROM flights_v WHERE DepDel15 IS NOT NULL)",
+    "cells AS (SELECT a, b, count(*) AS n, CAST(count(*) FILTER (DepDel15 = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (DepDel15 = 0) AS DOUBLE) AS neg FROM flagged GROUP BY ALL)",
+    "weighed AS (SELECT a, b, n, pos / sum(pos) OVER () AS p, neg / sum(neg) OVER () AS q FROM cells)",
+    "steps AS (SELECT a, b, n, p, q, 0 AS tree, CAST(0 AS DOUBLE) AS f FROM weighed UNION ALL "
+    "SELECT a, b, n, p, q, tree + 1, f + CASE WHEN tree = 0 THEN 1 ELSE 0.1::DOUBLE END * CASE WHEN gain_a >= gain_b THEN sa / wa ELSE sb / wb END FROM ("
+    "SELECT *, sum(sa * s / wa) OVER () AS gain_a, sum(sb * s / wb) OVER () AS gain_b FROM ("
+    "SELECT *, sum(s) OVER (PARTITION BY a) AS sa, sum(p + q) OVER (PARTITION BY a) AS wa, sum(s) OVER (PARTITION BY b) AS sb, sum(p + q) OVER (PARTITION BY b) AS wb FROM ("
+    "SELECT *, CASE WHEN tree = 0 THEN p - q ELSE p * 4 / (1 + exp(2 * f)) - q * 4 / (1 + exp(-2 * f)) END AS s FROM steps WHERE tree < 100))))",
+)
+
+
+@query("m10_boosted_stumps_on_two_features", "WITH RECURSIVE " + with_flights(
+    "SELECT a AS is_weekend, b AS is_peak_hour, n, round(1 / (1 + exp(-2 * f)), 6) AS score, CAST(f > 0 AS DOUBLE) AS prediction FROM steps WHERE tree = 100", *_STUMPS_SQL).removeprefix("WITH "))
+def _stumps(spark, sf):
+    """100 rounds of trees of one split, balanced weights."""
+    rows = prep.labelled(_training_rows(spark, sf))
+    scored = train.score(train.fit_boosted_trees(rows, ["is_weekend", "is_peak_hour"], [], depth=1), rows)
+    return scored.groupBy("is_weekend", "is_peak_hour").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.max("prediction").alias("prediction"))
+
+
 @query("m09_m12_m16_logistic_metrics")
 def _logistic(spark, sf):
     """Trained on the early years with the cost weights, scored on the later ones."""

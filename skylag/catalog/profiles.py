@@ -36,28 +36,31 @@ query("a30_imbalance", with_flights(
     "SELECT count(*) FILTER (DepDel15 = 0) AS neg, count(*) FILTER (DepDel15 = 1) AS pos FROM flights_v)"))(
     lambda spark, sf: quality.imbalance(no_origin(spark, sf)))
 
-CORRELATED = ["Year", "Month", "CRSDepTime", "DepTime", "DepDelay", "DepDelayMinutes", "ArrDelay", "ArrDel15", "CarrierDelay", "Distance"]
+# All numeric columns but the target, as the operator takes them by itself.
+CORRELATED = [
+    *views.FLIGHT_KEY, "Year", "Quarter", "Month", "DayofMonth", "DayOfWeek", "CRSDepTime", "CRSArrTime", "DepTime", "ArrTime", "DepDelay", "DepDelayMinutes", "ArrDelay", "ArrDel15",
+    "CarrierDelay", "LateAircraftDelay", "NASDelay", "WeatherDelay", "SecurityDelay", "Distance", "row_hash", "score",
+]
 CORRELATION_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS column, round(CASE WHEN NOT isnan(corr({c}, DepDel15)) THEN corr({c}, DepDel15) END, 6) AS correlation "
     f"FROM flights_v WHERE {c} IS NOT NULL AND DepDel15 IS NOT NULL"
     for c in CORRELATED
 )
 query("a31_correlations", with_flights(CORRELATION_SQL))(
-    lambda spark, sf: quality.correlations(no_origin(spark, sf), columns=CORRELATED))
+    lambda spark, sf: quality.correlations(no_origin(spark, sf)))
 query("a31_strong_correlations", with_flights(f"SELECT * FROM ({CORRELATION_SQL}) WHERE abs(correlation) >= 0.5"))(
-    lambda spark, sf: quality.strong_correlations(no_origin(spark, sf), threshold=0.5, columns=CORRELATED))
+    lambda spark, sf: quality.strong_correlations(no_origin(spark, sf), threshold=0.5))
 
 MEDIAN_COLUMNS = ["DepDelay", "ArrDelay", "Distance", "CRSDepTime", "row_hash", "DepTime"]
 query("a32_medians", with_flights(" UNION ALL ".join(
     f"SELECT '{c}' AS column, round(CAST(median({c}) AS DOUBLE), 6) AS median FROM flights_v" for c in MEDIAN_COLUMNS)))(
     lambda spark, sf: quality.medians(no_origin(spark, sf), MEDIAN_COLUMNS))
-_MEASURES = ("temp", "dwpt", "rhum", "prcp")
 query("a35_describe", with_views(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, round(min({c}), 6) AS min, "
         f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max "
-        "FROM weather_v" for c in _MEASURES), views.WEATHER_SQL))(
-    lambda spark, sf: quality.describe(views.weather(spark, sf), _MEASURES))
+        "FROM weather_v" for c in fixed.WEATHER_MEASURES), views.WEATHER_SQL))(
+    lambda spark, sf: quality.describe(views.weather(spark, sf), fixed.WEATHER_MEASURES))
 
 
 def _audit_sql(check: str, keywords) -> str:
@@ -74,7 +77,7 @@ query("q03_health_report", with_flights(
     "UNION ALL SELECT 'imbalance_ratio', 'DepDel15', round(least(a, b) / CAST(greatest(a, b) AS DOUBLE), 6) "
     "FROM (SELECT count(*) FILTER (DepDel15 = 0) AS a, count(*) FILTER (DepDel15 = 1) AS b FROM flights_v) "
     f"UNION ALL SELECT 'strong_correlation', \"column\", correlation FROM ({CORRELATION_SQL}) WHERE abs(correlation) >= 0.9", NAMED_SQL))(
-    lambda spark, sf: quality.health_report(no_origin(spark, sf), columns=CORRELATED))
+    lambda spark, sf: quality.health_report(no_origin(spark, sf)))
 query("q04_weather_missing_fractions", with_flights(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, CAST(round_even((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 3) AS DOUBLE) AS missing_fraction FROM joined"

@@ -15,12 +15,12 @@ from skylag.catalog.views import FLIGHT_KEY, NEARBY_SQL, WEATHER_SQL, with_fligh
 from skylag.catalog.weather import FILLED_SQL
 from skylag.models import prep
 from skylag.models.evaluate import confusion
-from skylag.models.train import fit_logistic, safe_features, score
+from skylag.models.train import converged, fit_boosted_trees, fit_logistic, safe_features, score
 from skylag.operators import history, propagation
 from skylag.operators.sampling import split_by_year
 from skylag.operators.weather import nearby_map
 from skylag.plans.feature_table import propagation_table, strategic_features
-from skylag.session import materialized
+from skylag.session import materialized, scratch_path
 
 no_origin = partial(views.flights, with_origin=False)
 KEY = ", ".join(FLIGHT_KEY)
@@ -108,6 +108,25 @@ query("w08_rolling_history", with_flights(
     *[_rolling_sql(p, k) for p, k in history.HISTORY_KEYS.items()]))(
     lambda spark, sf: history.add_history(views.flights(spark, sf)).select(*FLIGHT_KEY, *HISTORY_COLUMNS))
 
+LAST_YEAR = "SELECT max(Year) FROM flights_v"
+
+
+@query("w08_history_of_an_appended_year", with_flights(
+    f"SELECT {', '.join('f.' + k for k in FLIGHT_KEY)}, " + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE round({c}, 6) END AS {c}" for c in HISTORY_COLUMNS)
+    + " FROM flights_v f LEFT JOIN origin_history o ON o.Origin = f.Origin AND o.FlightDate = f.FlightDate "
+    "LEFT JOIN airline_history a ON a.Marketing_Airline_Network = f.Marketing_Airline_Network AND a.FlightDate = f.FlightDate "
+    "LEFT JOIN route_history r ON r.Origin = f.Origin AND r.Dest = f.Dest AND r.FlightDate = f.FlightDate "
+    f"WHERE f.Year = ({LAST_YEAR})",
+    *[_rolling_sql(p, k) for p, k in history.HISTORY_KEYS.items()]))
+def _appended_year(spark, sf):
+    """The daily sums of all earlier years are kept; the last year is added to them, and only its own days are worked out."""
+    flights = materialized(views.flights(spark, sf), "flights")
+    last = flights.agg(F.max("Year")).first()[0]
+    kept, new = scratch_path(spark, "daily-sums"), flights.filter(F.col("Year") == last)
+    history.keep_daily_sums(flights.filter(F.col("Year") < last), kept)
+    history.keep_daily_sums(new, kept)
+    return history.add_history_from(new, kept).select(*FLIGHT_KEY, *HISTORY_COLUMNS)
+
 
 STRATEGIC_COLUMNS = ["days_to_next_holiday", "origin_sched_departures", "route_delay_rate_30d", "temp"]
 _JOINED = (
@@ -137,30 +156,54 @@ def _strategic(spark, sf):
 _LABELLED_PARTS = {"Train": "f.Year <= 1998", "Validation": "f.Year = 1999", "Test": "f.Year >= 2000"}
 
 
-@query("m09_m16_trained_on_strategic_features", with_flights(
-    " UNION ALL ".join(
-        f"SELECT '{part}' AS part, count(*) AS rows, count(*) FILTER (DepDel15 = 1) AS positives, count(*) AS scored "
-        f"{_JOINED} WHERE DepDel15 IS NOT NULL AND {where}" for part, where in _LABELLED_PARTS.items()),
-    *HOLIDAY_VIEWS, DIMENSION_SQL, TRAFFIC_SQL, _rolling_sql("route", history.HISTORY_KEYS["route"]), WEATHER_SQL, NEARBY_SQL, FILLED_SQL))
-def _trained(spark, sf):
-    """Logistic regression on all usable columns of the day-ahead table, scored on every part."""
+_FEATURE_TABLE_SQL = (*HOLIDAY_VIEWS, DIMENSION_SQL, TRAFFIC_SQL, _rolling_sql("route", history.HISTORY_KEYS["route"]), WEATHER_SQL, NEARBY_SQL, FILLED_SQL)
+
+
+def _parts_sql(*more: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{part}' AS part, count(*) AS rows, count(*) FILTER (DepDel15 = 1) AS positives, count(*) FILTER (DepDel15 = 0) AS negatives, "
+        f"count(*) AS scored{''.join(', ' + m for m in more)} {_JOINED} WHERE DepDel15 IS NOT NULL AND {where}" for part, where in _LABELLED_PARTS.items())
+
+
+def _training_parts(spark, sf):
+    """The written feature table by parts, its usable columns, and those that are unbounded text."""
     table = materialized(strategic_features(
         views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs())), "strategic")
     parts = split_by_year(table, range(1990, 1999), (1999,), range(2000, 2010))
     training = parts.filter("split = 'train'")
     numeric, text = safe_features(table.drop("row_hash", "score"))
-    model = fit_logistic(
-        training, prep.with_known_values(training, numeric), [c for c in text if c != "split"], weighting="cost", max_iter=100)
+    few, many = prep.split_by_variety(training, [c for c in text if c not in ("split", "Tail_Number")])
+    return parts, training, prep.with_known_values(training, numeric), few, [*many, "Tail_Number"]
+
+
+def _per_part(parts, model) -> DataFrame:
+    """Rows per part as the confusion counts and the scores add them up."""
     rows = []
     for part in _LABELLED_PARTS:
         scored = score(model, parts.filter(F.col("split") == part.lower()))
         counted = confusion(scored).select(
-            F.lit(part).alias("part"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"), (F.col("tp") + F.col("fn")).alias("positives"))
+            F.lit(part).alias("part"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"),
+            (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
         known = scored.agg(F.count_if(F.col("score").between(0, 1) & F.col("prediction").isin(0.0, 1.0)).alias("scored")).scalar()
         rows.append(counted.withColumn("scored", known))
     return reduce(DataFrame.unionByName, rows)
 
 
+@query("m09_m16_trained_on_strategic_features", with_flights(_parts_sql("true AS converged"), *_FEATURE_TABLE_SQL))
+def _trained(spark, sf):
+    """Logistic regression on all usable columns of the day-ahead table, scored on every part; text without a bound is hashed."""
+    parts, training, numeric, few, many = _training_parts(spark, sf)
+    model = fit_logistic(training, numeric, few, weighting="cost", hashed=many)
+    return _per_part(parts, model).withColumn("converged", F.lit(converged(model)))
+
+
+@query("m10_m17_trees_on_strategic_features", with_flights(_parts_sql(), *_FEATURE_TABLE_SQL))
+def _boosted(spark, sf):
+    """Boosted trees on all usable columns of the day-ahead table, scored on every part; text without a bound is hashed."""
+    parts, training, numeric, few, many = _training_parts(spark, sf)
+    return _per_part(parts, fit_boosted_trees(training, numeric, few, hashed=many))
+
+
 # Flights doubled by several weather rows also arrive twice, as in the published order of steps.
 _WEATHERED_SQL = (
     "weathered AS (SELECT f.*, w.temp FROM flights_v f LEFT JOIN filled w ON w.airport_code = f.Origin "

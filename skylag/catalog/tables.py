@@ -83,6 +83,17 @@ def _year_folders(spark, sf):
     return census(flights.read_parquet(spark, path).filter("Year = 1999"))
 
 
+@query("s08_one_year_replaced", with_flights(CENSUS.format("WHERE Year <> 1999 OR NOT Cancelled")))
+def _year_replaced(spark, sf):
+    """All years written, one of them replaced in place, twice."""
+    path = scratch_path(spark, "by-year")
+    table = no_origin(spark, sf)
+    sinks.write_by_year(table, path)
+    for _ in range(2):
+        sinks.replace_years(table.filter("Year = 1999 AND NOT Cancelled"), path)
+    return census(flights.read_parquet(spark, path))
+
+
 @query("s09_s14_counted_write", with_flights("SELECT count(*) AS written, 32 AS columns, count(*) AS read_back FROM flights_v"))
 def _counted(spark, sf):
     path = scratch_path(spark, "whole")

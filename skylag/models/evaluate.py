@@ -103,6 +103,23 @@ def total_cost(counts: DataFrame, miss_cost: float = 5.0, false_alarm_cost: floa
     )
 
 
+def operating_point(scored: DataFrame, miss_cost: float = 5.0, false_alarm_cost: float = 1.0, label: str = "label", score: str = "score") -> DataFrame:
+    """The threshold of least cost, ties to the larger: (threshold, total_cost, zero_rule_cost, cost_reduction_pct).
+
+    A delay is predicted from the threshold on; infinity predicts none. Costs follow from the
+    running totals of the distinct scores, so no task sorts them all. No rows, no threshold.
+    """
+    ranked = _ranked_scores(_score_counts(scored, label, score))
+    cost = F.col("pos_before") * miss_cost + (F.col("all_neg") - F.col("neg_before")) * false_alarm_cost
+    never = F.col("all_pos") * miss_cost
+    choice = F.struct(cost.cast("double").alias("cost"), (-F.col("score")).alias("low"))
+    best = ranked.agg(F.min(choice).alias("best"), F.max(never).cast("double").alias("zero_rule_cost")).filter("best IS NOT NULL")
+    none = F.col("zero_rule_cost") <= F.col("best.cost")
+    named = best.select(
+        F.when(none, float("inf")).otherwise(-F.col("best.low")).alias("threshold"), F.least("best.cost", "zero_rule_cost").alias("total_cost"), "zero_rule_cost")
+    return named.withColumn("cost_reduction_pct", (1 - ratio(F.col("total_cost"), F.col("zero_rule_cost"))) * 100)
+
+
 def metrics_table(parts: Mapping[str, DataFrame], label: str = "label", prediction: str = "prediction", score: str = "score") -> DataFrame:
     """One row per named part with accuracy, precision, recall, F1 and AUC; the model scores each row once."""
     rows = []

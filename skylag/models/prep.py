@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylag.operators.ordered import range_bucketed, running_totals
 from skylag.operators.quality import medians
+from skylag.session import materialized
 
 
 def labelled(df: DataFrame, target: str = "DepDel15") -> DataFrame:
@@ -84,11 +86,50 @@ def fit_indexer(train: DataFrame, columns: Sequence[str], suffix: str = "_idx")
 
 
 def label_codes(train: DataFrame, column: str, alias: str = "code") -> DataFrame:
-    """Alphabetical codes 0.. of the training values as a table."""
-    model = fit_indexer(train, [column])
-    return train.sparkSession.createDataFrame(
-        [(v, i) for i, v in enumerate(model.labelsArray[0])], f"`{column}` string, `{alias}` int"
-    )
+    """Alphabetical codes 0.. of the known training values as a table, for any number of values.
+
+    Distinct values are dealt out by ranges; a code is the number of values in earlier ranges
+    and earlier in its own. No vocabulary passes through the driver.
+    """
+    known = train.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("__value")).distinct()
+    dealt = range_bucketed(known.withColumn("__one", F.lit(1)), ["__value"])
+    ranked = running_totals(dealt, "__value", "__bucket", ["__one"])
+    return materialized(ranked.select(F.col("__value").alias(column), F.col("__one_before").cast("bigint").alias(alias)), "label-codes")
+
+
+def encode(df: DataFrame, codes: DataFrame, column: str, suffix: str = "_idx", alias: str = "code") -> DataFrame:
+    """The frame with the code of a column; unseen and unknown values share the code after the last one."""
+    others = codes.agg(F.coalesce(F.max(alias) + 1, F.lit(0)).alias("n")).scalar()
+    named = codes.select(F.col(column).alias("__seen"), F.col(alias).alias("__code"))
+    joined = df.join(named, F.col(column).cast("string") == F.col("__seen"), "left")
+    return joined.withColumn(f"{column}{suffix}", F.coalesce("__code", others).cast("double")).drop("__seen", "__code")
+
+
+def fit_one_hot_codes(train: DataFrame, columns: Sequence[str], suffix: str = "_vec"):
+    """One slot per code of `encode`, fitted on training rows: rows with the code after the last one get all zeros.
+
+    Only the largest code of each column reaches the driver.
+    """
+    return OneHotEncoder(inputCols=list(columns), outputCols=[f"{c}{suffix}" for c in columns], dropLast=True, handleInvalid="keep").fit(train)
+
+
+def split_by_variety(train: DataFrame, columns: Sequence[str], most: int = 1000) -> tuple[list[str], list[str]]:
+    """Columns of about `most` different values or fewer, and all others, in one scan."""
+    if not columns:
+        return [], []
+    counts = train.agg(*[F.approx_count_distinct(F.col(c)).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
+    few = [c for i, c in enumerate(columns) if counts[f"n_{i}"] <= most]
+    return few, [c for c in columns if c not in few]
+
+
+def hasher(columns: Sequence[str], slots: int, output: str = "hashed") -> FeatureHasher:
+    """All columns' values dealt to a fixed number of slots by hash: nothing is learned, so any number of values will do."""
+    return FeatureHasher(inputCols=list(columns), categoricalCols=list(columns), numFeatures=slots, outputCol=output)
+
+
+def hash_codes(columns: Sequence[str], slots: int, suffix: str = "_hash") -> SQLTransformer:
+    """Each column's values dealt to so many numbers by hash."""
+    return _sql_stage({f"{c}{suffix}": f"cast(pmod(xxhash64(cast(`{c}` as string)), {slots}L) as double)" for c in columns})
 
 
 def unseen_as_missing(model: StringIndexerModel, placeholder: str = "missing", suffix: str = "_known") -> SQLTransformer:

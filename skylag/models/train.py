@@ -72,10 +72,16 @@ def fit_logistic(
     max_iter: int = 1000,
     inverse_regularization: float = 1.0,
     allow: Sequence[str] = (),
+    hashed: Sequence[str] = (),
+    slots: int = 4096,
 ) -> PipelineModel:
-    """Median and placeholder imputation, one-hot, standard scaling, L2 logistic regression."""
-    check_features([*numeric, *categorical], allow)
-    rows = _prepared(train, numeric, categorical, target, weighting, miss_cost)
+    """Median and placeholder imputation, one-hot, standard scaling, L2 logistic regression.
+
+    The vocabularies of `categorical` columns pass through the driver; `hashed` ones are text
+    without a bound, whose values share a fixed number of slots.
+    """
+    check_features([*numeric, *categorical, *hashed], allow)
+    rows = _prepared(train, numeric, [*categorical, *hashed], target, weighting, miss_cost)
     steps = _Steps(rows)
     vectors: list[str] = []
     if numeric:
@@ -94,6 +100,10 @@ def fit_logistic(
         recoded = [f"{c}_known" for c in indexer.getOutputCols()]
         steps.add(encoder.setInputCols(recoded))
         vectors += encoder.getOutputCols()
+    if hashed:
+        steps.add(prep.category_filler(hashed, "missing", "_text"))
+        steps.add(prep.hasher([f"{c}_text" for c in hashed], slots))
+        vectors.append("hashed")
     steps.add(prep.assembler(vectors))
     total_weight = rows.agg(F.sum("weight")).first()[0]
     learner = LogisticRegression(
@@ -119,11 +129,17 @@ def fit_boosted_trees(
     rounds: int = 100,
     seed: int = 42,
     allow: Sequence[str] = (),
+    depth: int = 5,
+    hashed: Sequence[str] = (),
+    slots: int = 1024,
 ) -> PipelineModel:
-    """Median and placeholder imputation, alphabetical codes, gradient-boosted trees."""
-    check_features([*numeric, *categorical], allow)
+    """Median and placeholder imputation, alphabetical codes, gradient-boosted trees.
+
+    `hashed` columns are text without a bound: their codes come from a hash, not from a vocabulary.
+    """
+    check_features([*numeric, *categorical, *hashed], allow)
     ensure_checkpoint_dir(train.sparkSession)
-    steps = _Steps(_prepared(train, numeric, categorical, target, weighting, miss_cost))
+    steps = _Steps(_prepared(train, numeric, [*categorical, *hashed], target, weighting, miss_cost))
     inputs: list[str] = []
     if numeric:
         steps.add(prep.fit_median_imputer(steps.rows, numeric))
@@ -134,9 +150,12 @@ def fit_boosted_trees(
         steps.add(indexer)
         steps.add(prep.plain_numbers(indexer.getOutputCols()))
         inputs += [f"{c}_num" for c in indexer.getOutputCols()]
+    if hashed:
+        steps.add(prep.hash_codes(hashed, slots))
+        inputs += [f"{c}_hash" for c in hashed]
     steps.add(prep.assembler(inputs))
     learner = GBTClassifier(
-        featuresCol="features", labelCol=target, weightCol="weight", maxIter=rounds, seed=seed, checkpointInterval=10
+        featuresCol="features", labelCol=target, weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed, checkpointInterval=10
     )
     steps.add(learner.fit(steps.rows))
     return PipelineModel(steps.stages)
@@ -150,6 +169,12 @@ def score(model: Transformer, df: DataFrame, target: str = "DepDel15") -> DataFr
     )
 
 
+def converged(model: PipelineModel) -> bool:
+    """Whether the logistic regression just fitted ended by its tolerance, below its limit of iterations."""
+    learned = model.stages[-1]
+    return learned.summary.totalIterations < learned.getMaxIter()
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from skylag.functions.clock import clock_hour, with_departure_hour
 from skylag.functions.numeric import ratio
 from skylag.session import materialized
+from skylag.sources.sinks import replace_years
 
 # History keys: name of the feature group and the columns that form its key.
 HISTORY_KEYS = {
@@ -76,6 +78,25 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe:
     return left.join(other, condition, "left").drop(*[f"__{k}" for k in keys])
 
 
+def daily_sums(flights: DataFrame, keys: Mapping[str, Sequence[str]] = HISTORY_KEYS, label: str = "DepDel15", cancelled: str = "Cancelled", date: str = "FlightDate") -> DataFrame:
+    """Flown and late flights per day and value of all keys; flights without a date have no history."""
+    grain = list(dict.fromkeys([c for k in keys.values() for c in k]))
+    flown = ~F.col(cancelled).cast("boolean")
+    return flights.filter(F.col(date).isNotNull()).groupBy(*grain, date).agg(
+        F.count_if(flown).alias("__flights"),
+        F.coalesce(F.sum(F.when(flown, F.col(label).cast("double"))), F.lit(0.0)).alias("__late"),
+    )
+
+
+def _features(daily: DataFrame, keys: Mapping[str, Sequence[str]], spans: Sequence[int], date: str) -> DataFrame:
+    grain = list(dict.fromkeys([c for k in keys.values() for c in k]))
+    features = daily.select(*grain, date)
+    for prefix, columns in keys.items():
+        rates = rolling_rates(daily, columns, prefix, spans, date)
+        features = _join_on(features, rates, [*columns, date], null_safe=False)
+    return features
+
+
 def add_history(
     flights: DataFrame,
     keys: Mapping[str, Sequence[str]] = HISTORY_KEYS,
@@ -94,14 +115,35 @@ def add_history(
     so the flights themselves are joined, and shuffled, once.
     """
     grain = list(dict.fromkeys([c for k in keys.values() for c in k]))
-    flown = ~F.col(cancelled).cast("boolean")
-    daily = flights.filter(F.col(date).isNotNull()).groupBy(*grain, date).agg(
-        F.count_if(flown).alias("__flights"),
-        F.coalesce(F.sum(F.when(flown, F.col(label).cast("double"))), F.lit(0.0)).alias("__late"),
-    )
-    daily = materialized(daily, "daily-history")
-    features = daily.select(*grain, date)
-    for prefix, columns in keys.items():
-        rates = rolling_rates(daily, columns, prefix, spans, date)
-        features = _join_on(features, rates, [*columns, date], null_safe=False)
+    daily = materialized(daily_sums(flights, keys, label, cancelled, date), "daily-history")
+    return _join_on(flights, _features(daily, keys, spans, date), [*grain, date], null_safe=True)
+
+
+def keep_daily_sums(flights: DataFrame, path: str, keys: Mapping[str, Sequence[str]] = HISTORY_KEYS, label: str = "DepDel15", cancelled: str = "Cancelled", date: str = "FlightDate") -> None:
+    """Put the daily sums of whole years of flights into the kept table, in place of the same years' earlier ones."""
+    sums = daily_sums(flights, keys, label, cancelled, date)
+    replace_years(sums.withColumn("year_of_day", F.year(date)), path, "year_of_day")
+
+
+def add_history_from(
+    flights: DataFrame,
+    path: str,
+    keys: Mapping[str, Sequence[str]] = HISTORY_KEYS,
+    spans: Sequence[int] = (7, 30),
+    date: str = "FlightDate",
+) -> DataFrame:
+    """What `add_history` gives for these flights among all flights of the kept table, their own years included.
+
+    Only the days of the flights and the longest span before them are read: older years are
+    folders that the scan leaves out.
+    """
+    grain = list(dict.fromkeys([c for k in keys.values() for c in k]))
+    ends = flights.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
+    daily = flights.sparkSession.read.parquet(path)
+    if ends["first"] is None:
+        daily = daily.limit(0)
+    else:
+        start = ends["first"] - dt.timedelta(days=max(spans))
+        daily = daily.filter(F.col("year_of_day").between(start.year, ends["last"].year) & F.col(date).between(start, ends["last"]))
+    features = _features(daily.drop("year_of_day"), keys, spans, date)
     return _join_on(flights, features, [*grain, date], null_safe=True)

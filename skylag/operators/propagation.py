@@ -29,13 +29,17 @@ def previous_leg(
     """Active flights with the arrival delay of the same aircraft's flight before.
 
     Ordered by date, scheduled departure and `tie_break` (a column set that makes
-    the order total). Every tail number is cut by date and hour; flights without one,
-    which chain to each other unless they are dropped, would otherwise be one task.
+    the order total). Every tail number is cut by month, so that few of its rows carry a value
+    over; flights without one, which chain to each other unless they are dropped, are cut by
+    date and hour, as their number has no bound.
     """
     rows = active(flights)
+    known = F.col(tail).isNotNull()
     if drop_unknown_tails:
-        rows = rows.filter(F.col(tail).isNotNull())
-    bucket = {"__day": F.col("FlightDate"), "__hour": clock_hour("CRSDepTime")}
+        rows = rows.filter(known)
+        bucket = {"__period": F.trunc("FlightDate", "month")}
+    else:
+        bucket = {"__period": F.when(known, F.trunc("FlightDate", "month")).otherwise(F.col("FlightDate")), "__hour": F.when(~known, clock_hour("CRSDepTime"))}
     order = ["FlightDate", "CRSDepTime", *tie_break]
     return previous_value(rows, [tail], bucket, order, delay, alias)
 

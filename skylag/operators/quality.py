@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylag import fixed_values as fixed
 from skylag.functions.numeric import percent
-from skylag.operators.ordered import range_bucketed, running_totals
 from skylag.operators.rates import share_of_total
 from skylag.schemas import columns_named_like, numeric_columns
 from skylag.session import materialized
@@ -135,42 +136,86 @@ def health_report(df: DataFrame, target: str = "DepDel15", columns: Sequence[str
     return audit.unionByName(share).unionByName(ratio_row).unionByName(strong)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, __bucket) of the known values of numeric columns, written once."""
-    names = list(columns)
-    # Read under neutral names, so that any column name works.
-    numeric = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value")) for i, c in enumerate(names)]
-    counts = (
-        numeric.select(F.inline(F.array(*cells)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return range_bucketed(counts, ["column", "value"])
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles v0, v1, ...: neutral names, so that any column name works; not-a-number is unknown."""
+    return df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median per column, interpolated between the two middle values.
+DIGITS = 65_536  # counts a column, range and pass
+LOG_ENDS = 710.0  # logarithms of doubles lie between
+
+
+def _log_digit(value: Column) -> Column:
+    """The first digit: equal shares of the logarithm, which covers all doubles."""
+    size = F.least(F.log1p(F.abs(value)), F.lit(LOG_ENDS))
+    return F.floor((F.signum(value) * size + LOG_ENDS) / (2 * LOG_ENDS) * (DIGITS - 1)).cast("bigint")
+
+
+def _places(total: int, shares: Sequence[float]) -> list[int]:
+    """The ranks, from 0, on both sides of each share of so many values."""
+    return sorted({f((total - 1) * q) for q in shares for f in (math.floor, math.ceil)})
+
 
-    Values are counted first and the counts dealt out by value ranges; the middle ranks
-    are then found from range totals, so no column is sorted in one task and the source
-    is read once.
+def ranked_values(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, tuple[int, dict[int, float]]]:
+    """Per column the number of its known values, and the values on both sides of each share of them by rank from 0.
+
+    Radix selection: a pass counts the rows of at most 65,536 digits, of all values at first
+    and then only of the ranges that hold a wanted rank; a range whose values are all the same
+    is done. Digits rise with the values, first by their logarithm and then in equal shares of
+    the range between its own least and largest value. Only counts are moved and sorted; a few
+    passes resolve all doubles.
     """
-    counts = value_counts(df, columns)
-    ranked = running_totals(counts, "value", "__bucket", ["n"], ["column"])
-    totals = counts.groupBy("column").agg(F.sum("n").alias("__total"))
-    ranked = ranked.join(F.broadcast(totals), "column")
-    # Ranks of the two middle values, counted from 0; equal where the count is odd.
-    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
-
-    def holds(rank):
-        return (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-
-    middle = ranked.groupBy("column").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("__low"), F.max(F.when(holds(high), F.col("value"))).alias("__high")
-    )
-    return middle.select("column", ((F.col("__low") + F.col("__high")) / 2).alias("median"))
+    numbers = _numbers(df, columns)
+    found: dict[str, tuple[int, dict[int, float]]] = {c: (0, {}) for c in columns}
+    # Ranges looked at: column, least and largest value, and the wanted ranks with their place inside.
+    ranges: list[tuple[int, float, float, dict[int, int] | None]] = [(i, -math.inf, math.inf, None) for i in range(len(columns))]
+    while ranges:
+        cells = []
+        for number, (i, low, high, wanted) in enumerate(ranges):
+            v = F.col(f"v{i}")
+            digit = _log_digit(v) if wanted is None else F.floor((v - low) / (high - low) * (DIGITS - 1)).cast("bigint")
+            cells.append(F.when(v.between(low, high), F.struct(F.lit(number).alias("range"), digit.alias("digit"), v.alias("value"))))
+        each = numbers.select(F.explode(F.array(*cells)).alias("cell")).filter("cell IS NOT NULL").select("cell.*")
+        counts = each.groupBy("range", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        rising = Window.partitionBy("range").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(rising), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("range"))})
+
+        def holds(rank: Column) -> Column:
+            return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+
+        asked = []
+        for number, (_, _, _, wanted) in enumerate(ranges):
+            inner = [f((F.col("total") - 1) * q) for q in shares for f in (F.floor, F.ceil)] if wanted is None else [F.lit(r) for r in sorted(set(wanted.values()))]
+            asked.append((F.col("range") == number) & reduce(lambda x, y: x | y, map(holds, inner)))
+        following = []
+        for row in placed.filter(reduce(lambda x, y: x | y, asked)).collect():  # at most a row for each wanted rank
+            i, _, _, wanted = ranges[row["range"]]
+            if wanted is None:
+                wanted = {r: r for r in _places(row["total"], shares)}
+                found[columns[i]] = (row["total"], found[columns[i]][1])
+            own = {rank: inner - row["before"] for rank, inner in wanted.items() if row["before"] <= inner < row["before"] + row["n"]}
+            if row["low"] == row["high"]:
+                found[columns[i]][1].update(dict.fromkeys(own, row["low"]))
+            else:
+                following.append((i, row["low"], row["high"], own))
+        ranges = following
+    return found
+
+
+def _between(total: int, values: dict[int, float], share: float) -> float | None:
+    """The quantile, interpolated between the two nearest values."""
+    if not total:
+        return None
+    place = (total - 1) * share
+    low, high = values[math.floor(place)], values[math.ceil(place)]
+    return low + (high - low) * (place - math.floor(place)) if low != high else low
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact median per column that has a known value, interpolated between the two middle values."""
+    found = ranked_values(df, columns, [0.5])
+    rows = [(c, _between(*found[c], 0.5)) for c in columns if found[c][0]]
+    return df.sparkSession.createDataFrame(rows, "column string, median double")
 
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -182,31 +227,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Quartiles are interpolated between the two nearest values. A column without a known
     value has a count of 0 and nulls.
     """
-    counts = value_counts(df, columns)
-    weighed = counts.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # One row per column of the table.
-    ranked = running_totals(counts, "value", "__bucket", ["n"], ["column"]).join(F.broadcast(weighed), "column")
-    parts = {"squares": F.sum(F.col("n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))}
-    for name, share in QUARTILES.items():
-        place = (F.col("count") - 1) * share
-        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-            parts[f"{name}_{side}"] = F.max(F.when(here, F.col("value")))
-    found = ranked.groupBy("column", "count", "mean", "min", "max").agg(*[v.alias(n) for n, v in parts.items()])
-
-    def quartile(name: str, share: float) -> Column:
-        place = (F.col("count") - 1) * share
-        return F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place - F.floor(place))
-
-    named = found.select(
-        "column", "count", "mean",
-        F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("stddev"),
-        "min", *[quartile(n, q).alias(n) for n, q in QUARTILES.items()], "max",
-    )
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return every.join(named, "column", "left").fillna(0, ["count"])
+    found = ranked_values(df, columns, list(QUARTILES.values()))
+    quartiles = [(c, *[_between(*found[c], q) for q in QUARTILES.values()]) for c in columns]
+    table = df.sparkSession.createDataFrame(quartiles, "column string, " + ", ".join(f"{n} double" for n in QUARTILES))
+    measures = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    row = _numbers(df, columns).agg(*[f(f"v{i}").alias(f"{n}_{i}") for i in range(len(columns)) for n, f in measures.items()])
+    entries = [F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in measures]) for i, c in enumerate(columns)]
+    return _one_row_to_long(row, entries).join(table, "column").select("column", "count", "mean", "stddev", "min", *QUARTILES, "max")

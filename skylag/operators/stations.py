@@ -1,12 +1,15 @@
 """Nearest weather stations without comparing every airport with every station.
 
 Points are put on the unit sphere, where straight-line distance orders points like
-great-circle distance and there is no date line. Space is cut into cubes, from one of
-side 2 around each octant down to less than two metres of ground. Level by level an
-airport keeps only cubes that may hold one of its k nearest stations: cubes whose nearest
-corner is not farther than the farthest corner of the closest cubes that together hold k
-stations. Only the stations in the cubes of the last level are measured. Of stations at
-the very same place only k need to be looked at.
+great-circle distance and there is no date line. Space is cut into cubes of 22 nested sizes,
+from one octant down to less than two metres of ground, and a station's Morton code
+interleaves the binary digits of its three places on the finest grid: the codes of all
+stations in a cube of any size are one range. An index of the ranges of LEVELS sizes, with
+the number of stations in each, is written once. Level by level an airport looks up the
+ranges inside those it kept, and keeps only cubes that may hold one of its k nearest stations:
+cubes whose nearest corner is not farther than the farthest corner of the closest cubes
+that together hold k stations. Only the stations in the cubes of the last level are
+measured. Of stations at the very same place only k need to be looked at.
 """
 
 from __future__ import annotations
@@ -19,15 +22,40 @@ from pyspark.sql import functions as F
 from skylag.functions.geo import haversine_km, unit_vector
 from skylag.session import materialized
 
-# Exponents of the cube sides; each step splits a cube into at most 16^3.
-LEVELS = (1, -3, -7, -11, -15, -19, -22)
+BITS = 20  # binary digits a place; the finest cubes have sides of 2^-19
+# Digits that tell the cubes of a level apart; the first has at most 64 cubes, a step splits one into at most 32^3.
+LEVELS = (2, 7, 12, 16, 20)
 AXES = "xyz"
-CUBE = [f"__c{a}" for a in AXES]
 SLACK = 1e-9  # for rounding; half a centimetre of ground
 
 
-def _cube(axis: str, level: int) -> Column:
-    return F.floor(F.col(f"__{axis}") / 2.0**level)
+def _place(axis: str) -> Column:
+    """Where -1 to 1 lies on the finest grid."""
+    cell = F.floor((F.col(f"__{axis}") + 1) * 2.0 ** (BITS - 1)).cast("bigint")
+    return F.greatest(F.lit(0), F.least(cell, F.lit((1 << BITS) - 1)))
+
+
+# Shifts and masks that move the binary digits of a number three places apart.
+_SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
+def _spread(place: Column) -> Column:
+    for shift, mask in _SPREAD:
+        place = place.bitwiseOR(F.shiftleft(place, shift)).bitwiseAND(F.lit(mask))
+    return place
+
+
+def _gathered(code: Column) -> Column:
+    """Every third binary digit of a code, side by side."""
+    code = code.bitwiseAND(F.lit(_SPREAD[-1][1]))
+    for (shift, _), (_, mask) in zip(_SPREAD[::-1], [*_SPREAD[-2::-1], (0, 0x1FFFFF)]):
+        code = code.bitwiseOR(F.shiftright(code, shift)).bitwiseAND(F.lit(mask))
+    return code
+
+
+def _morton() -> Column:
+    parts = [F.shiftleft(_spread(_place(axis)), i) for i, axis in enumerate(AXES)]
+    return reduce(lambda p, q: p.bitwiseOR(q), parts)
 
 
 def _on_sphere(points: DataFrame) -> DataFrame:
@@ -35,13 +63,17 @@ def _on_sphere(points: DataFrame) -> DataFrame:
     return points.withColumns({"__x": x, "__y": y, "__z": z})
 
 
+def _corners(level: int) -> dict[str, Column]:
+    """The least place of the cube `__code` on each axis."""
+    return {f"__low_{axis}": _gathered(F.shiftright("__code", i)) * 2.0 ** (1 - level) - 1 for i, axis in enumerate(AXES)}
+
+
 def _corner_distance(level: int, farthest: bool) -> Column:
     """Straight-line distance from the airport to the nearest or farthest point of a cube."""
-    side = 2.0**level
+    side = 2.0 ** (1 - level)
 
     def along(axis: str) -> Column:
-        low = F.col(f"__c{axis}") * side
-        a, b = low - F.col(f"__{axis}"), F.col(f"__{axis}") - low - side
+        a, b = F.col(f"__low_{axis}") - F.col(f"__{axis}"), F.col(f"__{axis}") - F.col(f"__low_{axis}") - side
         return F.greatest(-a, -b) if farthest else F.greatest(a, b, F.lit(0.0))
 
     return F.sqrt(reduce(lambda p, q: p + q, [along(a) * along(a) for a in AXES]))
@@ -50,7 +82,7 @@ def _corner_distance(level: int, farthest: bool) -> Column:
 def _possible(reached: DataFrame, level: int, k: int) -> DataFrame:
     """Of the occupied cubes reached by each airport, those that may hold one of its k nearest."""
     measured = reached.withColumns({"__near": _corner_distance(level, False), "__far": _corner_distance(level, True)})
-    by_far = Window.partitionBy("airport_code").orderBy("__far", *CUBE).rowsBetween(Window.unboundedPreceding, -1)
+    by_far = Window.partitionBy("airport_code").orderBy("__far", "__code").rowsBetween(Window.unboundedPreceding, -1)
     # The first cube with which k stations are together; fewer stations than k: no bound.
     together = measured.withColumn("__before", F.coalesce(F.sum("__n").over(by_far), F.lit(0)))
     enough = F.min(F.when(F.col("__before") + F.col("__n") >= k, F.col("__far"))).over(Window.partitionBy("airport_code"))
@@ -61,37 +93,30 @@ def nearest_stations(airports: DataFrame, stations: DataFrame, k: int = 1) -> Da
     """The k nearest stations per airport: (airport_code, station_id, distance_km, rank).
 
     `airports` has (airport_code, latitude, longitude), `stations` (station_id,
-    latitude, longitude). Equal distances are ordered by station_id. Every level is
-    written, as the next one needs it twice.
+    latitude, longitude). Equal distances are ordered by station_id. Two tables are written:
+    the stations with their codes, and the index.
     """
     places = _on_sphere(airports.select("airport_code", "latitude", "longitude"))
     places = places.filter(reduce(lambda p, q: p & q, [F.col(f"__{a}").isNotNull() for a in AXES]))
     same_place = Window.partitionBy("latitude", "longitude").orderBy("station_id")
     sites = stations.select("station_id", "latitude", "longitude").withColumn("__copy", F.row_number().over(same_place))
-    sites = materialized(_on_sphere(sites.filter(F.col("__copy") <= k).drop("__copy")), "stations")
-
-    def occupied(level: int) -> DataFrame:
-        return sites.groupBy(*[_cube(a, level).alias(f"__c{a}") for a in AXES]).agg(F.count(F.lit(1)).alias("__n"))
+    coded = _on_sphere(sites.filter(F.col("__copy") <= k)).withColumn("__code", _morton())
+    sites = materialized(coded.select("station_id", "latitude", "longitude", "__code").sort("__code"), "stations")
 
+    each = sites.select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright("__code", 3 * (BITS - level)).alias("__code")) for level in LEVELS])).alias("cube"))
+    counted = each.groupBy("cube.level", "cube.__code").agg(F.count(F.lit(1)).alias("__n"))
+    levels = [counted.filter(F.col("level") == level).withColumns(_corners(level)) for level in LEVELS]
+    index = materialized(reduce(DataFrame.unionByName, levels), "station-index")
     point = ["airport_code", "latitude", "longitude", *[f"__{a}" for a in AXES]]
-    kept = None
-    for above, level in zip((None, *LEVELS), LEVELS):
-        if above is None:
-            # At most eight cubes, one per octant.
-            octants = F.explode(F.sequence(F.lit(0), F.lit(7)))
-            start = places.withColumn("__octant", octants).withColumns({f"__c{a}": F.shiftright("__octant", i).bitwiseAND(F.lit(1)).cast("bigint") - 1 for i, a in enumerate(AXES)})
-            reached = start.drop("__octant").join(occupied(level), CUBE)
-        else:
-            ratio = 2 ** (above - level)
-            children = occupied(level).withColumns({f"__p{a}": F.floor(F.col(f"__c{a}") / ratio) for a in AXES})
-            parents = kept.select(*point, *[F.col(f"__c{a}").alias(f"__p{a}") for a in AXES])
-            reached = parents.join(children, [f"__p{a}" for a in AXES])
-        kept = materialized(_possible(reached, level, k).select(*point, *CUBE), "cubes")
-
-    near = kept.select("airport_code", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), *CUBE)
-    last = sites.select("station_id", "latitude", "longitude", *[_cube(a, LEVELS[-1]).alias(f"__c{a}") for a in AXES])
+    kept = places.withColumn("__parent", F.lit(0).cast("bigint"))
+    for above, level in zip((0, *LEVELS), LEVELS):
+        cubes = index.filter(F.col("level") == level).select("__code", "__n", *[f"__low_{a}" for a in AXES], F.shiftright("__code", 3 * (level - above)).alias("__parent"))
+        reached = kept.join(cubes, "__parent").drop("__parent")
+        kept = _possible(reached, level, k).select(*point, F.col("__code").alias("__parent"))
+
+    near = kept.select("airport_code", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), F.col("__parent").alias("__code"))
     distance = haversine_km("__lat", "__lon", "latitude", "longitude")
-    measured = near.join(last, CUBE).select("airport_code", "station_id", distance.alias("distance_km"))
+    measured = near.join(sites, "__code").select("airport_code", "station_id", distance.alias("distance_km"))
     # Rank <= k is applied on each side of the shuffle, so an airport ships k rows per task.
     order = Window.partitionBy("airport_code").orderBy("distance_km", "station_id")
     return measured.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -25,11 +25,8 @@ def missing_hours(candidates: DataFrame, weather: DataFrame) -> DataFrame:
 
 
 def nearby_rows(weather: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Source rows relabelled for each mapped airport, with their provenance.
-
-    The mapping is a hand-written list of airports, hence the broadcast.
-    """
-    copied = weather.join(F.broadcast(mapping), F.col("airport_code") == F.col("source"))
+    """Source rows relabelled for each mapped airport, with their provenance."""
+    copied = weather.join(mapping, F.col("airport_code") == F.col("source"))
     return copied.select(
         *[F.col("missing").alias(c) if c == "airport_code" else F.col(c) for c in weather.columns],
         F.concat(F.lit("from_"), F.col("source")).alias("data_source"),

@@ -14,6 +14,16 @@ def write_by_year(df: DataFrame, path: str, year: str = "Year") -> None:
     df.hint("rebalance", year).write.mode("overwrite").partitionBy(year).parquet(path)
 
 
+def replace_years(df: DataFrame, path: str, year: str = "Year") -> None:
+    """Replace the years that occur in the frame, in a table written by `write_by_year`; all others stay as they are.
+
+    Safe to repeat: a year's folder is exchanged when its new files are complete. Rows without a year replace
+    those without a year. An empty frame changes nothing. The frame must not be read from the same table.
+    """
+    dealt = df.hint("rebalance", year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dealt.partitionBy(year).parquet(path)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
