@@ -1,33 +1,38 @@
 """Personal data by weak supervision, in built-in functions only.
 
-Four fixed patterns give the base spans. Wider patterns propose candidates; labelers (strict
-shapes and checksums, gazetteers, words around the candidate) vote for or against each, or
-abstain. Expectation-maximisation over the counts of vote patterns of the whole corpus
-estimates how reliable each labeler is for each kind, and with that how likely each pattern
-is personal data. A logistic classifier trained on these probabilities decides on every
-candidate; accepted ones that touch no base span are added to it.
-
-The tables that learning sees are counts of patterns: their size is bounded by the number
-of possible votes and features, not by the corpus. A null text counts as empty; a text
-without candidates has no spans. With no candidates at all nothing is learned or added.
-Repeated rows are labelled one by one. The key and other columns pass through unchanged;
-columns called like a result are replaced.
+Four fixed patterns give the base spans. Wider patterns propose candidates of these kinds, and
+of two more: secrets (keys, tokens, quoted passwords) and names of persons. Labelers
+(strict shapes, checksums and the variety of characters, gazetteers, words around the
+candidate in four languages) vote for or against each, or abstain. Expectation-maximisation
+over the counts of vote patterns of the whole corpus estimates how reliable each labeler is for
+each kind, and with that how likely each pattern is personal data. A logistic classifier
+trained on these probabilities decides on every candidate; accepted ones that touch no base
+span are added to it.
+
+Learning sees one table: how often each pattern of kind, votes and features occurs. It has at
+most 6 * 3^5 * 2^5 = 46,656 rows, whatever the corpus; it is collected once, and the rounds are a
+few sums over it on the driver. A candidate is described once, and its score is a sum of numbers
+looked up by its votes.
+
+Defined results: a null text counts as empty; a text without candidates has no spans; with no candidates
+at all nothing is learned or added. Very long texts are labelled whole, in linear time. Repeated rows are labelled one
+by one. An empty table gives no rows. The key and other columns pass through unchanged; columns called like
+a result are replaced, also those that start with `__pii_`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylag.session import materialized
-
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret", "name")
 
 # The base patterns, written so that a match never starts inside a run that has failed
 # already and never backtracks into one: same matches, linear time.
@@ -40,19 +45,39 @@ BASE_PATTERNS = {
 }
 # Wider shapes for candidates; the kind of a numeric one follows from its shape.
 WIDE_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]++)*+"
-WIDE_NUMBER = r"(?<![0-9])[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9]){6,29}+"
+WIDE_NUMBER = r"(?<![0-9])[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
+# A long run, with a digit, of the characters that keys are written in, or a quoted value that something is set to.
+WIDE_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}|(?<=[=:][\x20]?[\x22'])[^\x22'\s]{8,200}+(?=[\x22'])"
 
 # Gazetteers and context words.
 TOP_LEVEL_DOMAINS = ["com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "ch", "at", "be", "pl", "se", "jp", "cn", "in", "br", "au", "ru", "mx"]
 CALLING_CODES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91"]
 CARD_PREFIXES = "^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4))"
+SECRET_PREFIXES = "^(?:AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|pk[-_]|AIza|eyJ|ya29)"
+FIRST_NAMES = [
+    "James", "John", "Robert", "Michael", "William", "David", "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan",
+    "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Andreas", "Ursula", "Sabine", "Petra", "Heike", "Katrin", "Anke",
+    "José", "Juan", "Carlos", "Manuel", "Javier", "Miguel", "María", "Carmen", "Lucía", "Pilar", "Dolores", "Isabel",
+    "Jean", "Pierre", "Michel", "Philippe", "Jacques", "François", "Marie", "Nathalie", "Isabelle", "Monique", "Camille", "Sylvie",
+]
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Herrn", "Frau", "Señor", "Señora", "Señorita", "Sr", "Sra", "Don", "Doña", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle"]
 WORDS_FOR = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|write to|reach)\W{0,8}$",
-    "ip": r"(?i)\b(?:ip|address|host|server|login from|client)\W{0,8}$",
-    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment)\W{0,8}$",
-    "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp)\W{0,8}$",
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write to|reach|kontakt|correo|courriel)\W{0,8}$",
+    "ip": r"(?i)\b(?:ip|address|host|server|login from|client|adresse|dirección)\W{0,8}$",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|karte|tarjeta|carte)\W{0,8}$",
+    "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|teléfono|téléphone)\W{0,8}$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|authorization|bearer|passwort|kennwort|contraseña|mot de passe)\W{0,6}$",
+    "name": r"(?i)\b(?:name is|named|signed by|sincerely|regards|i am|ich heiße|mein name ist|gezeichnet|me llamo|mi nombre es|firmado por|je m.appelle|mon nom est|signé par)\W{0,8}$",
 }
 WORDS_AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|order|invoice|part|serial|section|chapter|id|token|key|hash|sha|no|nr|number|pages?)\W{0,8}$"
+# Long runs that stand after these are names of contents, not secrets.
+SECRET_AGAINST = r"(?i)\b(?:sha-?[0-9]{0,3}|md5|commit|checksum|digest|revision|etag|hash|blob|tree|version|build|isbn|doi|uuid|https?)\W{0,8}$"
+CAPITALISED = r"\p{Lu}[\p{L}'-]{1,30}+"
+WIDE_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.?\x20)?(?:{CAPITALISED}\x20{CAPITALISED}(?:\x20{CAPITALISED})?)"
+# Texts that may hold a candidate: all titles and first names start with a plain capital.
+MAYBE_NAME = rf"(?=[A-Z])(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}|(?:{'|'.join(FIRST_NAMES)})\x20\p{{Lu}})"
+# What they may hold instead, without the first letter, which may be a capital.
+NAME_WORDS = ["ame is ", "amed ", "igned by ", "incerely", "egards", "ch heiße ", "ein name ist ", "ezeichnet", "e llamo ", "i nombre es ", "irmado por ", "e m'appelle ", "e m’appelle ", "on nom est ", "igné par "]
 CONTEXT_CHARS = 40
 
 LABELERS = ("shape", "check", "gazetteer", "context", "warning")
@@ -90,11 +115,15 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def luhn(number: Column) -> Column:
-    """Whether up to 20 digits pass the Luhn check."""
-    filled = F.lpad(number, 20, "0")
-    doubled = F.translate(filled, "0123456789", "0246813579")
-    total = reduce(lambda a, b: a + b, [F.substring(doubled if place % 2 == 1 else filled, place, 1).cast("int") for place in range(1, 21)])
+def doubled(number: Column) -> tuple[Column, Column]:
+    """The last 19 digits filled to 20, and the same with each digit doubled (its digits added)."""
+    filled = F.lpad(F.right(number, F.lit(19)), 20, "0")
+    return filled, F.translate(filled, "0123456789", "0246813579")
+
+
+def luhn(filled: Column, twice: Column) -> Column:
+    """Whether digits pass the Luhn check, given as `doubled` gives them."""
+    total = reduce(lambda a, b: a + b, [F.substring(twice if place % 2 == 1 else filled, place, 1).cast("int") for place in range(1, 21)])
     return total % 10 == 0
 
 
@@ -111,23 +140,24 @@ def base_spans(text: Column) -> dict[str, Column]:
         "card": located(text, BASE_PATTERNS["card"], text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]")),
         "phone": located(text, BASE_PATTERNS["phone"], text.contains("+")),
     }
-    size = lambda x: F.length(digits(x["text"]))
-    checks = {
-        "ip": lambda x: octets(x["text"]),
-        "card": lambda x: luhn(digits(x["text"])),
-        "phone": lambda x: (size(x) >= 10) & (size(x) <= 15),
+    numbered = F.transform(found["card"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.struct(*[c.alias(n) for n, c in zip(("filled", "twice"), doubled(digits(x["text"])))]).alias("d")))
+    cards = F.filter(numbered, lambda x: luhn(x["d"]["filled"], x["d"]["twice"]))
+    return {
+        "email": found["email"],
+        "ip": F.filter(found["ip"], lambda x: octets(x["text"])),
+        "card": cards,
+        "phone": F.filter(found["phone"], lambda x: F.length(digits(x["text"])).between(10, 15)),
     }
-    return {kind: F.filter(spans, checks[kind]) if kind in checks else spans for kind, spans in found.items()}
 
 
 def tagged(spans: Column, kind: str) -> Column:
-    rank = KINDS.index(kind)
+    rank = ALL_KINDS.index(kind)
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
 
 
 def span_list(spans: Column) -> Column:
     """kind:start:end of sorted spans, comma-joined."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["rank"]), x["start"], x["end"])), ",")
 
 
@@ -136,8 +166,12 @@ def span_list(spans: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<start, end, text, kind, before, after>> of everything that may be personal data."""
-    emails = located(text, WIDE_EMAIL, text.rlike(r"@|[(\[](?:at|AT)[)\]]"))
-    numbers = located(text, WIDE_NUMBER, text.rlike("[0-9]"))
+    found = {
+        "email": located(text, WIDE_EMAIL, text.rlike(r"@|[(\[](?:at|AT)[)\]]")),
+        "number": located(text, WIDE_NUMBER, text.rlike("[0-9]")),
+        "secret": located(text, WIDE_SECRET, (text.rlike("[0-9]") & text.rlike(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}")) | text.rlike(r"[=:][\x20]?[\x22']")),
+        "name": located(text, WIDE_NAME, text.rlike(MAYBE_NAME) | reduce(lambda a, b: a | b, [text.contains(w) for w in NAME_WORDS])),
+    }
 
     def described(x: Column, kind: Column) -> Column:
         first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
@@ -149,7 +183,25 @@ def candidates(text: Column) -> Column:
         quad = x["text"].rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
         return F.when(quad, "ip").when(F.length(digits(x["text"])) >= 13, F.when(x["text"].startswith("+"), "phone").otherwise("card")).otherwise("phone")
 
-    return F.concat(F.transform(emails, lambda x: described(x, F.lit("email"))), F.transform(numbers, lambda x: described(x, number_kind(x))))
+    def of_kind(spans: Column, kind: str) -> Column:
+        return F.transform(spans, lambda x: described(x, number_kind(x) if kind == "number" else F.lit(kind)))
+
+    return F.concat(*[of_kind(spans, kind) for kind, spans in found.items()])
+
+
+def measured(found: Column) -> Column:
+    """The candidates with what several labelers look at, worked out once."""
+
+    def more(c: Column) -> Column:
+        number = digits(c["text"])
+        filled, twice = doubled(number)
+        return F.struct(
+            *[c[n].alias(n) for n in ("start", "end", "text", "kind", "before", "after")],
+            number.alias("number"), F.length(number).alias("size"), filled.alias("filled"), twice.alias("twice"),
+            F.when(c["kind"] == "secret", F.size(F.array_distinct(F.split(c["text"], "")))).otherwise(0).alias("variety"),
+        )
+
+    return F.transform(found, more)
 
 
 def vote(yes: Column, no: Column) -> Column:
@@ -157,36 +209,44 @@ def vote(yes: Column, no: Column) -> Column:
 
 
 def votes(c: Column) -> dict[str, Column]:
-    """Per labeler 1 (personal data), -1 (not) or 0 (abstains) for a candidate."""
-    text, kind = c["text"], c["kind"]
-    number = digits(text)
-    size = F.length(number)
-    by_kind = lambda **cases: reduce(lambda done, k: done.when(kind == k, cases[k]), list(cases)[1:], F.when(kind == list(cases)[0], cases[list(cases)[0]]))
-    top = F.lower(F.regexp_extract(text, r"([A-Za-z]+)$", 1))
+    """Per labeler 1 (personal data), -1 (not) or 0 (abstains) for a measured candidate."""
+    text, kind, number, size = c["text"], c["kind"], c["number"], c["size"]
+
+    def by_kind(**cases: Column) -> Column:
+        first, *others = cases
+        return reduce(lambda done, k: done.when(kind == k, cases[k]), others, F.when(kind == first, cases[first])).otherwise(0)
+
     no = F.lit(False)
-    calling = reduce(lambda a, b: a | b, [text.startswith("+" + code) for code in CALLING_CODES])
-    context = reduce(lambda done, k: done.when(kind == k, c["before"].rlike(WORDS_FOR[k])), KINDS[1:], F.when(kind == KINDS[0], c["before"].rlike(WORDS_FOR[KINDS[0]])))
+    mixed = text.rlike("[0-9]") & text.rlike("[A-Za-z]")
     return {
         "shape": by_kind(
             email=vote(text.rlike(r"(?:\.|dot[)\]]\x20?)[A-Za-z]{2,12}$"), ~text.rlike(r"(?i)\.|dot")),
             ip=vote(octets(text), ~octets(text)),
             card=vote(text.rlike(r"^[0-9]{15,16}$|^[0-9]{4}(?:[\x20-][0-9]{4}){3}$|^[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}$"), size > 19),
             phone=vote(text.rlike(r"^\+[0-9]|^\([0-9]{3}\)|^[0-9]{3}[.\x20-][0-9]{3}[.\x20-][0-9]{4}$") & (size >= 10), (size < 8) | (size > 15)),
+            # Whole hexadecimal digests, or runs of mixed case and digits; words with hyphens and paths are neither.
+            secret=vote(text.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") | (mixed & text.rlike("[a-z]") & text.rlike("[A-Z]") & ~text.rlike("[/-].*[/-].*[/-]")), text.rlike(r"^[A-Za-z/_-]+$|^[0-9_/+-]+$")),
+            name=vote(text.rlike(rf"^(?:{'|'.join(TITLES)})\b"), text.rlike(r"\p{Lu}{3}")),
         ),
         "check": by_kind(
             email=vote(no, text.rlike(r"\.\.|^\.|--")),
             ip=vote(no, text.rlike(r"(?:^|\.)0[0-9]")),
-            card=vote(luhn(F.right(number, F.lit(19))), ~luhn(F.right(number, F.lit(19)))),
+            card=vote(luhn(c["filled"], c["twice"]), ~luhn(c["filled"], c["twice"])),
             phone=vote((size >= 10) & (size <= 15) & text.rlike(r"[\x20().-]"), text.rlike("^[0-9]+$")),
+            # Random keys use many characters.
+            secret=vote(mixed & (c["variety"] >= 10), c["variety"] < 6),
+            name=vote(no, text.rlike(r"(\p{L}+)\x20\1$")),
         ),
         "gazetteer": by_kind(
-            email=vote(top.isin(TOP_LEVEL_DOMAINS), no),
+            email=vote(F.lower(F.regexp_extract(text, r"([A-Za-z]+)$", 1)).isin(TOP_LEVEL_DOMAINS), no),
             ip=vote(~text.rlike(r"^(?:0|22[4-9]|2[3-5][0-9])\."), text.rlike(r"^(?:0|22[4-9]|2[3-5][0-9])\.")),
             card=vote(number.rlike(CARD_PREFIXES), ~number.rlike(CARD_PREFIXES)),
-            phone=vote(calling, no),
+            phone=vote(text.rlike(rf"^\+(?:{'|'.join(CALLING_CODES)})"), no),
+            secret=vote(text.rlike(SECRET_PREFIXES), no),
+            name=vote(text.rlike(rf"(?<!\p{{L}})(?:{'|'.join(FIRST_NAMES)})\x20"), no),
         ),
-        "context": vote(context, no),
-        "warning": vote(no, c["before"].rlike(WORDS_AGAINST)),
+        "context": by_kind(**{k: vote(c["before"].rlike(WORDS_FOR[k]), no) for k in ALL_KINDS}),
+        "warning": by_kind(**{k: vote(no, c["before"].rlike(SECRET_AGAINST if k == "secret" else WORDS_AGAINST)) for k in ALL_KINDS}),
     }
 
 
@@ -202,11 +262,21 @@ def features(c: Column) -> dict[str, Column]:
     return {name: value.cast("int") for name, value in found.items()}
 
 
+def judged(found: Column) -> Column:
+    """array<struct<start, end, kind, votes..., features...>> of measured candidates: kind as its place among ALL_KINDS."""
+    place = F.array(*[F.lit(k) for k in ALL_KINDS])
+
+    def struct(c: Column) -> Column:
+        kind = F.array_position(place, c["kind"]).cast("int") - 1
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), kind.alias("kind"), *[v.alias(n) for n, v in {**votes(c), **features(c)}.items()])
+
+    return F.transform(found, struct)
+
+
 def pattern_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often each combination of kind, votes and features occurs in all texts."""
-    each = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-    described = each.select(F.col("c.kind").alias("kind"), *[v.alias(n) for n, v in {**votes(F.col("c")), **features(F.col("c"))}.items()])
-    return described.groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+    each = docs.select(F.explode(judged(measured(candidates(F.coalesce(F.col(text), F.lit(""))))))).select("col.*")
+    return each.groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- learning --------------------------------------------------------------
@@ -214,81 +284,82 @@ def pattern_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """Reliabilities by kind and labeler, and the coefficients of the span classifier."""
+    """Reliabilities by kind and labeler, P(vote | personal) and P(vote | not), and the weights of the span classifier."""
 
-    reliability: dict[str, dict[str, dict[int, tuple[float, float]]]]  # P(vote | personal), P(vote | not)
+    reliability: dict[str, dict[str, dict[int, tuple[float, float]]]]
     prior: dict[str, float]
-    coefficients: dict[str, float]
-    intercept: float
+    bias: dict[str, float]
+    weights: dict[str, dict[str, float]]  # by kind: <labeler>_for, <labeler>_against, <feature>
 
     def score(self, c: Column) -> Column:
-        """Probability that a candidate is personal data."""
-        values = inputs(c["kind"], votes(c), features(c))
-        total = reduce(lambda a, b: a + b, [values[name] * F.lit(weight) for name, weight in self.coefficients.items()], F.lit(self.intercept))
+        """Probability that a judged candidate is personal data; kinds without candidates in training get none."""
+        kind = c["kind"]
+
+        def of_kind(value: Callable[[str], float]) -> Column:
+            return F.array(*[F.lit(float(value(k))) for k in ALL_KINDS])
+
+        total = F.get(of_kind(lambda k: self.bias.get(k, -1e9)), kind)
+        for name in LABELERS:
+            table = [self.weights.get(k, {}).get(f"{name}_{side}", 0.0) if side else 0.0 for k in ALL_KINDS for side in ("against", None, "for")]
+            total = total + F.get(F.array(*[F.lit(w) for w in table]), kind * 3 + c[name] + 1)
+        for name in FEATURES:
+            total = total + c[name] * F.get(of_kind(lambda k, name=name: self.weights.get(k, {}).get(name, 0.0)), kind)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def inputs(kind: Column, voted: dict[str, Column], described: dict[str, Column]) -> dict[str, Column]:
-    """Numeric inputs of the classifier: kind, and votes and features for each kind."""
-    found = {}
-    for k in KINDS:
-        own = (kind == k).cast("double")
-        found[f"is_{k}"] = own
-        found |= {f"{k}_{n}_{s}": own * (v == F.lit(sign)).cast("double") for n, v in voted.items() for s, sign in (("for", 1), ("against", -1))}
-        found |= {f"{k}_{n}": own * v.cast("double") for n, v in described.items()}
-    return found
-
-
-def _weight(labeler: str, vote: int) -> str:
-    return f"w_{labeler}_{('against', 'none', 'for')[vote + 1]}"
-
-
-def with_belief(counts: DataFrame, reliability: dict, prior: dict[str, float], odds: str) -> DataFrame:
-    """The patterns with `belief`, their probability of being personal data given the votes.
-
-    The weights come as a table of one row per kind, so the plan, and its compiled code, is
-    the same in every round.
-    """
-    names = [_weight(labeler, v) for labeler in LABELERS for v in (-1, 0, 1)]
-    rows = []
-    for kind, tables in reliability.items():
-        weights = [math.log(a / b) for labeler in LABELERS for a, b in (tables[labeler][v] for v in (-1, 0, 1))]
-        rows.append(f"('{kind}', " + ", ".join(f"{w!r}D" for w in [math.log(prior[kind] / (1 - prior[kind])), *weights]) + ")")
-    table = counts.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(kind, w_prior, {', '.join(names)})")
-    joined = counts.join(F.broadcast(table), "kind")  # one row per kind
-    return joined.selectExpr(*counts.columns, f"1D / (1D + exp(-({odds}))) AS belief")
+def beliefs(votes_of: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float, dict[str, dict[int, tuple[float, float]]]]:
+    """Expectation-maximisation for one kind: the probability of each vote pattern, the prior, and the labelers' reliabilities."""
+    belief = 1 / (1 + np.exp(-1.5 * votes_of.sum(axis=1)))  # the majority vote to begin with
+    prior, reliability = 0.5, {}
+    for _ in range(rounds):
+        yes, no = n * belief, n * (1 - belief)
+        # One pseudo-count each keeps every probability above zero.
+        prior = (yes.sum() + 1) / (n.sum() + 2)
+        odds = np.full(len(n), math.log(prior / (1 - prior)))
+        for i, name in enumerate(LABELERS):
+            shares = {v: tuple(float((side[votes_of[:, i] == v].sum() + 1) / (side.sum() + 3)) for side in (yes, no)) for v in (-1, 0, 1)}
+            reliability[name] = shares
+            for v, (a, b) in shares.items():
+                odds[votes_of[:, i] == v] += math.log(a / b)
+        belief = 1 / (1 + np.exp(-odds))
+    return belief, float(prior), reliability
+
+
+def logistic(inputs: np.ndarray, p: np.ndarray, n: np.ndarray, penalty: float = 0.001, rounds: int = 50) -> np.ndarray:
+    """Bias and weights of a logistic regression on soft labels, by Newton's method; the bias bears no penalty."""
+    design = np.column_stack([np.ones(len(inputs)), inputs])
+    share = n / n.sum()
+    ridge = np.full(design.shape[1], penalty)
+    ridge[0] = 1e-9
+    weights = np.zeros(design.shape[1])
+    for _ in range(rounds):
+        guess = 1 / (1 + np.exp(-(design @ weights)))
+        slope = design.T @ (share * (guess - p)) + ridge * weights
+        curve = (design * (share * guess * (1 - guess))[:, None]).T @ design + np.diag(ridge)
+        step = np.linalg.solve(curve, slope)
+        weights = weights - step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return weights
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS) -> Model | None:
-    """Learn from all texts; None without candidates."""
-    counts = materialized(pattern_counts(docs, text), "vote_patterns")
-    # The majority vote to begin with.
-    believed = counts.selectExpr("*", f"1D / (1D + exp(-1.5D * ({' + '.join(LABELERS)}))) AS belief")
-    odds = " + ".join(["w_prior", *[f"CASE {n} WHEN 1 THEN {_weight(n, 1)} WHEN -1 THEN {_weight(n, -1)} ELSE {_weight(n, 0)} END" for n in LABELERS]])
-    sides = {"yes": "n * belief", "no": "n * (1D - belief)"}
-    sums = [F.expr(f"sum({share}) AS {side}") for side, share in sides.items()]
-    sums += [F.expr(f"coalesce(sum({share}) FILTER (WHERE {n} = {v}), 0D) AS `{n}_{v}_{side}`") for n in LABELERS for v in (-1, 0, 1) for side, share in sides.items()]
-    reliability: dict = {}
-    prior: dict[str, float] = {}
-    for _ in range(rounds):
-        rows = {row["kind"]: row for row in believed.groupBy("kind").agg(*sums).collect()}  # one row per kind
-        if not rows:
-            return None
-        # One pseudo-count each keeps every probability above zero.
-        prior = {k: (r["yes"] + 1) / (r["yes"] + r["no"] + 2) for k, r in rows.items()}
-        reliability = {
-            k: {name: {v: ((r[f"{name}_{v}_yes"] + 1) / (r["yes"] + 3), (r[f"{name}_{v}_no"] + 1) / (r["no"] + 3)) for v in (-1, 0, 1)} for name in LABELERS}
-            for k, r in rows.items()
-        }
-        believed = with_belief(counts, reliability, prior, odds)
-    values = inputs(F.col("kind"), {n: F.col(n) for n in LABELERS}, {n: F.col(n) for n in FEATURES})
-    labelled = believed.select(F.col("belief").alias("p"), "n", *[v.alias(n) for n, v in values.items()])
-    both = labelled.withColumn("label", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
-    both = both.withColumn("weight", F.col("n") * F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p"))).filter("weight > 1e-9")
-    table = VectorAssembler(inputCols=list(values), outputCol="inputs").transform(both)
-    learner = LogisticRegression(featuresCol="inputs", labelCol="label", weightCol="weight", regParam=0.001, maxIter=30, standardization=False)
-    learned = learner.fit(table.select("inputs", "label", "weight"))
-    return Model(reliability, prior, dict(zip(values, learned.coefficients.toArray().tolist())), float(learned.intercept))
+    """Learn from all texts; None without candidates. One job; what it collects is bounded by the number of patterns."""
+    rows = pattern_counts(docs, text).collect()
+    if not rows:
+        return None
+    model = Model({}, {}, {}, {})
+    for place, kind in enumerate(ALL_KINDS):
+        own = sorted((r for r in rows if r["kind"] == place), key=tuple)
+        if not own:
+            continue
+        votes_of, described, n = (np.array([[r[c] for c in names] for r in own], float) for names in (LABELERS, FEATURES, ["n"]))
+        belief, model.prior[kind], model.reliability[kind] = beliefs(votes_of, n[:, 0], rounds)
+        sides = {f"{name}_{side}": votes_of[:, i] == sign for i, name in enumerate(LABELERS) for side, sign in (("for", 1), ("against", -1))}
+        found = logistic(np.column_stack([*sides.values(), described]).astype(float), belief, n[:, 0])
+        model.bias[kind] = float(found[0])
+        model.weights[kind] = dict(zip([*sides, *FEATURES], found[1:].tolist()))
+    return model
 
 
 # -- results ---------------------------------------------------------------
@@ -303,19 +374,16 @@ def label(docs: DataFrame, model: Model | None, text: str = "text", accepted: fl
     if model is None:
         return found.withColumn(spans, F.col(base)).drop(*kinds)
     free = F.filter("__pii_wide", lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    good = F.filter("__pii_free", lambda c: model.score(c) >= accepted)
-
-    def rank(c: Column) -> Column:
-        return F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int") - 1
-
-    more = F.transform(good, lambda c: F.struct(c["start"].alias("start"), rank(c).alias("rank"), c["end"].alias("end")))
-    found = found.withColumn("__pii_free", free).withColumn(spans, F.array_sort(F.concat(base, more)))
-    return found.drop(*kinds, "__pii_wide", "__pii_free")
+    found = found.withColumn("__pii_wide", judged(measured(free)))
+    good = F.filter("__pii_wide", lambda c: model.score(c) >= accepted)
+    more = F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("rank"), c["end"].alias("end")))
+    found = found.withColumn(spans, F.array_sort(F.concat(base, more)))
+    return found.drop(*kinds, "__pii_wide")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in ALL_KINDS])
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])

@@ -68,9 +68,9 @@ def _simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _count_of(kind: str):
-    rank = pii.KINDS.index(kind)
-    return F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
+def _count_of(kind: str, spans: str = "base"):
+    rank = pii.ALL_KINDS.index(kind)
+    return F.size(F.filter(spans, lambda x: x["rank"] == rank)).cast("long")
 
 
 @query("op1_pii")
@@ -79,9 +79,9 @@ def _pii(spark, sf_dir):
     found = pii.label(docs, pii.fit(docs))
     kept = found.select("doc_id", "base", "spans")
     counts = [_count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return kept.select(
-        "doc_id", *counts, F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans")
-    )
+    added = [_count_of(kind, "spans").alias(f"n_{kind}") for kind in pii.ALL_KINDS[len(pii.KINDS) :]]
+    listed = F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans")
+    return kept.select("doc_id", *counts, *listed, F.size("spans").cast("long").alias("n_spans"), *added)
 
 
 @query("op3_language")

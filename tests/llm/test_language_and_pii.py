@@ -140,6 +140,49 @@ def test_labelers_teach_the_classifier(spark):
     assert all(got[i] == 0 for i in range(len(texts)) if i % 4 >= 2)
 
 
+def planted(draw):
+    """(text, spans of personal data beyond the base patterns) in four languages, with look-alikes."""
+    word = lambda: "".join(draw.choices("etaoinshrdlu", k=draw.randint(3, 9)))
+    digits = lambda n: "".join(draw.choices("0123456789", k=n))
+    hexes = lambda n: "".join(draw.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "aZ9" + "".join(draw.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    found = {
+        "secret": [("token = \"", hexes(40), "\""), ("api key: ", mixed(29), ""), ("password = '", mixed(20), "'"), ("Authorization: Bearer ", mixed(40), "")],
+        "email": [("mail ", f"{word()}.{word()} (at) {word()} (dot) org", ""), ("Kontakt: ", f"{word()}(at){word()}.de", "")],
+        "name": [("my name is ", f"{draw.choice(['Mary', 'John'])} {word().title()}", ""), ("gezeichnet ", f"Herr {draw.choice(['Klaus', 'Stefan'])} {word().title()}", ""), ("firmado por ", f"Señora {draw.choice(['Carmen', 'Pilar'])} {word().title()}", ""), ("signé par ", f"Madame {draw.choice(['Camille', 'Sylvie'])} {word().title()}", "")],
+    }
+    decoys = [f"commit {hexes(40)}", f"sha256 {hexes(64)}", f"order no {digits(9)}", f"version {digits(8)}", f"{word()}-{word()}-{word()}-{word()}", f"{word().title()} {word().title()}", "-" * 30, f"{word()}/{word()}/{word()}/{word()}"]
+    text, spans = word() + " ", []
+    for kind in draw.sample(sorted(found), draw.randint(0, 3)):
+        before, hit, after = draw.choice(found[kind])
+        text += before
+        spans.append(f"{kind}:{len(text)}:{len(text) + len(hit)}")
+        text += f"{hit}{after} {word()} "
+    for decoy in draw.sample(decoys, 2):
+        text += f"{decoy}, {word()} "
+    return text, spans
+
+
+def test_planted_examples_are_found_at_the_default_threshold(spark):
+    draw = random.Random(12)
+    rows = [planted(draw) for _ in range(1200)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = pii.label(df, pii.fit(df)).select("doc_id", pii.span_list(F.col("spans")).alias("s")).collect()
+    got = {(r.doc_id, s) for r in found for s in r.s.split(",") if s}
+    want = {(i, s) for i, (_, spans) in enumerate(rows) for s in spans}
+    assert len(got & want) > 0.97 * len(got), [rows[i][0][int(s.split(":")[1]) - 12 : int(s.split(":")[2])] for i, s in sorted(got - want)[:5]]
+    for kind in ("secret", "email", "name"):
+        own = {x for x in want if x[1].startswith(kind)}
+        assert len(got & own) > 0.9 * len(own), (kind, [rows[i][0][int(s.split(":")[1]) - 12 : int(s.split(":")[2])] for i, s in sorted(own - got)[:5]])
+
+
+def test_tokens_of_the_documents_are_secrets(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.spans.split(",") for r in QUERIES["op1_pii"](spark, sf_dir).collect()}
+    want = {(i, f"secret:{m.start(1)}:{m.end(1)}") for i, t in texts.items() for m in re.finditer('token = "([0-9a-f]{40})"', t)}
+    assert {(i, s) for i in got for s in got[i] if s.startswith("secret")} == want
+
+
 def test_pii_without_candidates_and_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "nothing here", "x", 1), (None, None, None, None)], "doc_id long, text string, base string, spans int")
     assert pii.fit(df) is None and pii.fit(df.limit(0)) is None
