@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylag.llm.names import unused
 from skylag.session import materialized
 
 BITS = 24  # 2^24 bits are 2 MB, whatever the number of keys
@@ -31,8 +32,10 @@ def bitmap(members: DataFrame, key: str) -> DataFrame:
 
 def maybe_member(df: DataFrame, key: Column, members: DataFrame, name: str = "maybe") -> DataFrame:
     """The frame with a column that is false only for rows whose key is not among `members`."""
+    columns = dict(zip(("block", "word", "bit", "words"), unused(df, "_block", "_word", "_bit", "_words")))
     block, word, bit = _place(key)
-    placed = df.withColumns({"_block": block, "_word": word, "_bit": bit})
-    joined = placed.join(F.broadcast(members.withColumnRenamed("block", "_block")), "_block", "left")
-    hit = F.coalesce(F.getbit(F.get("words", F.col("_word")), F.col("_bit")) == 1, F.lit(False))
+    placed = df.withColumns({columns["block"]: block, columns["word"]: word, columns["bit"]: bit})
+    own = members.select(F.col("block").alias(columns["block"]), F.col("words").alias(columns["words"]))
+    joined = placed.join(F.broadcast(own), columns["block"], "left")
+    hit = F.coalesce(F.getbit(F.get(columns["words"], F.col(columns["word"])), F.col(columns["bit"])) == 1, F.lit(False))
     return joined.select(*df.columns, hit.alias(name))

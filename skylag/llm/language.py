@@ -176,9 +176,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
     idf = np.log((1 + total) / (1 + frequencies)) + 1
 
     share = max(1, sample_docs // len(languages))
-    order = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30))
+    # By key and text: neither many texts under one key nor one row many times over comes whole into the sample.
+    order = F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 30))
     rates = F.create_map(*[x for name, n in per_language.items() for x in (F.lit(name), F.lit(int(min(1.0, share / n) * (1 << 30))))])
-    sampled = known.withColumn("order", order).filter(F.col("order") < rates[F.col("language")])
+    sampled = known.withColumn("order", order).filter(F.col("order") < rates[F.col("language")]).dropDuplicates(["key", "order", "language"])
     spread = spark.sparkContext.broadcast(idf)
     row_schema = T.StructType([
         T.StructField("order", T.LongType()),

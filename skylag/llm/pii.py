@@ -17,7 +17,7 @@ looked up by its votes.
 Defined results: a null text counts as empty; a text without candidates has no spans; with no candidates
 at all nothing is learned or added. Very long texts are labelled whole, in linear time. Repeated rows are labelled one
 by one. An empty table gives no rows. The key and other columns pass through unchanged; columns called like
-a result are replaced, also those that start with `__pii_`.
+a result are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylag.llm.names import unused
+
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret", "name")
 
@@ -367,18 +369,20 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS) -> Model |
 
 def label(docs: DataFrame, model: Model | None, text: str = "text", accepted: float = ACCEPTED, base: str = "base", spans: str = "spans") -> DataFrame:
     """The frame with base and all spans: arrays of (start, rank of kind, end), sorted."""
+    columns = [c for c in docs.columns if c not in (base, spans)]
+    *names, wide, own, all_spans = unused(docs, *[f"_{k}" for k in KINDS], "_wide", "_own", "_all")
     whole = F.coalesce(F.col(text), F.lit(""))
-    kinds = {f"__pii_{kind}": found for kind, found in base_spans(whole).items()}
-    found = docs.withColumns(kinds | ({"__pii_wide": candidates(whole)} if model else {}))
-    found = found.withColumn(base, F.array_sort(F.concat(*[tagged(F.col(f"__pii_{kind}"), kind) for kind in KINDS])))
+    found_by_kind = dict(zip(names, base_spans(whole).values()))
+    found = docs.withColumns(found_by_kind | ({wide: candidates(whole)} if model else {}))
+    found = found.withColumn(own, F.array_sort(F.concat(*[tagged(F.col(name), kind) for name, kind in zip(names, KINDS)])))
     if model is None:
-        return found.withColumn(spans, F.col(base)).drop(*kinds)
-    free = F.filter("__pii_wide", lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    found = found.withColumn("__pii_wide", judged(measured(free)))
-    good = F.filter("__pii_wide", lambda c: model.score(c) >= accepted)
+        return found.select(*columns, F.col(own).alias(base), F.col(own).alias(spans))
+    free = F.filter(wide, lambda c: ~F.exists(own, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
+    found = found.withColumn(wide, judged(measured(free)))
+    good = F.filter(wide, lambda c: model.score(c) >= accepted)
     more = F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("rank"), c["end"].alias("end")))
-    found = found.withColumn(spans, F.array_sort(F.concat(base, more)))
-    return found.drop(*kinds, "__pii_wide")
+    found = found.withColumn(all_spans, F.array_sort(F.concat(own, more)))
+    return found.select(*columns, F.col(own).alias(base), F.col(all_spans).alias(spans))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -93,29 +93,29 @@ def _language(spark, sf_dir):
 
 @query("op7_line_templates", """
 WITH lines AS (
-  SELECT DISTINCT doc_id, line FROM (
-    SELECT doc_id, regexp_replace(trim(unnest(string_split(text, chr(10))), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM documents WHERE doc_id IS NOT NULL)
-  WHERE len(string_split(line, ' ')) >= 4),
+  SELECT DISTINCT doc_id, CASE WHEN len(string_split(trim(raw, ' '), ' ')) < 4 THEN trim(raw, ' ') ELSE regexp_replace(trim(raw, ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE doc_id IS NOT NULL)
+  WHERE regexp_matches(raw, '\\S')),
 variants AS (
-  SELECT line, len(string_split(line, ' ')) AS tokens, string_split(line, ' ')[1:3] AS lead, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last
+  SELECT line, len(string_split(line, ' ')) AS tokens, CASE WHEN len(string_split(line, ' ')) > 50 THEN 2 ELSE 3 END AS enough,
+    string_split(line, ' ')[1:3] AS lead, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last
   FROM lines GROUP BY line),
-mixed AS (SELECT * FROM variants WHERE (tokens, lead) IN (SELECT (tokens, lead) FROM variants GROUP BY tokens, lead HAVING count(*) > 1 AND sum(n) >= 3)),
-places AS (SELECT line, tokens, lead, n, unnest(generate_series(4, tokens)) AS place FROM mixed),
+mixed AS (SELECT * FROM variants WHERE tokens >= 4 AND (tokens, lead) IN (SELECT (tokens, lead) FROM variants GROUP BY tokens, lead, enough HAVING count(*) > 1 AND sum(n) >= enough)),
+places AS (SELECT line, tokens, enough, lead, n, unnest(generate_series(4, tokens)) AS place FROM mixed),
 words AS (SELECT *, string_split(line, ' ')[place] AS word FROM places),
-support AS (SELECT tokens, lead, place, word FROM words GROUP BY ALL HAVING sum(n) >= 3),
+support AS (SELECT tokens, lead, place, word FROM words GROUP BY tokens, lead, place, word, enough HAVING sum(n) >= enough),
 shapes AS (
   SELECT line, tokens, lead, list((place, word) ORDER BY place) AS shape, count(*) FILTER (word <> '<*>') + len(list_filter(lead, lambda x: x <> '<*>')) AS fixed
   FROM words JOIN support USING (tokens, lead, place, word) GROUP BY line, tokens, lead),
 strong AS (SELECT * FROM shapes JOIN variants USING (line, tokens, lead) WHERE fixed >= 4 AND fixed >= 0.6 * tokens),
-templates AS (SELECT tokens, lead, shape, min(first) AS first FROM strong GROUP BY ALL HAVING sum(n) >= 3 AND min(first) < max(last)),
+templates AS (SELECT tokens, lead, shape, min(first) AS first FROM strong GROUP BY tokens, lead, shape, enough HAVING sum(n) >= enough AND min(first) < max(last)),
 recurring AS (
   SELECT line, min(first) AS first FROM (
     SELECT line, t.first FROM strong s JOIN templates t USING (tokens, lead, shape)
-    UNION ALL SELECT line, first FROM variants WHERE n >= 3 AND first < last) GROUP BY line),
+    UNION ALL SELECT line, first FROM variants WHERE n >= enough AND first < last) GROUP BY line),
 numbered AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts, unnest(generate_series(1, len(string_split(text, chr(10))))) AS number FROM documents),
 judged AS (
   SELECT d.doc_id, number, parts[number] AS line, coalesce(d.doc_id > r.first, false) AS dropped
-  FROM numbered d LEFT JOIN recurring r ON r.line = regexp_replace(trim(parts[number], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'))
+  FROM numbered d LEFT JOIN recurring r ON r.line = CASE WHEN len(string_split(trim(parts[number], ' '), ' ')) < 4 THEN trim(parts[number], ' ') ELSE regexp_replace(trim(parts[number], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') END)
 SELECT doc_id, CAST(count(*) FILTER (dropped) AS INTEGER) AS lines_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (NOT dropped), '')) AS text_sha256
 FROM judged GROUP BY doc_id
 """)

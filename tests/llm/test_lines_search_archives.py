@@ -47,18 +47,44 @@ def test_lines_that_stay(spark):
     ]
     got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in drop(spark, rows).collect()), key=str)
     want = [
-        (1, f"first here\n{same}", 0), (2, "", 2), (3, "last", 1), (3, "last", 1), (4, None, 0), (5, "", 0), (None, same, 0), (6, "All rights reserved.", 0), (7, "All rights reserved.", 0),
-        (8, "All rights reserved.", 0), (9, "twice only in two documents", 0), (10, "twice only in two documents", 0), (3, "another text of three", 0),
+        (1, f"first here\n{same}", 0), (2, "", 2), (3, "last", 1), (3, "last", 1), (4, None, 0), (5, "", 0), (None, same, 0), (6, "All rights reserved.", 0), (7, "", 1),
+        (8, "", 1), (9, "twice only in two documents", 0), (10, "twice only in two documents", 0), (3, "another text of three", 0),
     ]
     assert got == sorted(want, key=str)
     assert drop(spark, rows).limit(0).count() == 0
     assert line_templates.drop_recurring(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_copies_can_be_spared(spark):
-    rows = [(i, "one line that all have got\ntwo lines that all have got") for i in range(4)] + [(9, "own words of this one only\nmore words of this one only\none line that all have got")]
-    got = {r.doc_id: r.lines_dropped for r in drop(spark, rows, spare_above=0.5).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1}
+def test_long_lines_recur_from_two_documents_on(spark):
+    words = [f"w{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(60)]
+    other = [w if i % 7 else w + "q" for i, w in enumerate(words)]
+    rows = [(1, "own first\n" + " ".join(words)), (2, " ".join(words) + "\nown second"), (3, "own\nthird"), (4, " ".join(other[:51]) + "\nfourth")]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in drop(spark, rows).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own second", 1), 3: (rows[2][1], 0), 4: (rows[3][1], 0)}
+    # Lines of one shape in two documents, some words apart.
+    rows = [(1, " ".join(words)), (2, " ".join(w if i % 9 != 5 else "own" for i, w in enumerate(words)))]
+    assert {r.doc_id: r.lines_dropped for r in drop(spark, rows).collect()} == {1: 0, 2: 1}
+
+
+def test_many_lines_of_one_document(spark):
+    """Dropped lines at the ends of words of the bitmap, and long runs of kept ones between them."""
+    gone = {0, 1, 62, 63, 64, 127, 128, 5000, 9999}
+    same = "this line stands in three documents"
+    rows = [(k, "\n".join(same if i in gone else f"{'q' * k} z{'x' * (i % 97)} {chr(97 + i % 26)} own" if i % 2 else "" for i in range(10_000))) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_templates.drop_recurring(df, depth=1, constant_share=2.0).collect()}
+    assert got[1].lines_dropped == 0
+    for k in (2, 3):
+        assert got[k].text == "\n".join(line for i, line in enumerate(rows[k - 1][1].split("\n")) if i not in gone)
+        assert got[k].lines_dropped == len(gone)
+
+
+def test_columns_called_like_helpers_pass_through(spark):
+    same = "All of this line comes back again"
+    df = spark.createDataFrame([(k, same, "v", k, [1]) for k in (1, 2, 3)], "doc_id long, text string, _version string, _maybe long, words array<int>")
+    got = line_templates.drop_recurring(df)
+    assert got.columns == [*df.columns, "lines_dropped"]
+    assert sorted(map(tuple, got.collect())) == [(1, same, "v", 1, [1], 0), (2, "", "v", 2, [1], 1), (3, "", "v", 3, [1], 1)]
 
 
 def test_bitmap_never_rules_out_a_member(spark):

@@ -46,6 +46,14 @@ def test_same_ids_as_the_library(library, coder, texts):
         assert coder.decode(got[i]) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_as_in_the_library(library, coder):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{x}b 1{x} {x}'s" for x in map(chr, points[i : i + 64])) for i in range(0, len(points), 64)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    differ = [hex(points[64 * i]) for i, ids in coder.encode_texts(texts) if ids.tolist() != want[i].ids]
+    assert not differ
+
+
 def test_long_texts_are_encoded_in_pieces(library, coder, texts, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
     got = dict(coder.encode_texts(texts))
