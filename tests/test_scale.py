@@ -8,9 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylag.catalog import views
-from skylag.models import evaluate
+from skylag.models import evaluate, prep
 from skylag.operators import history, ordered, propagation, quality, rates, sampling, stations
 from skylag.plans import eda
+from skylag.session import scratch_path
+from skylag.sources import sinks
 
 
 def rows_of(df):
@@ -249,3 +251,93 @@ def test_totals_agree(spark, sf_dir):
         sums = report.agg(F.sum("total_flights"), F.sum("delayed_flights")).first()
         assert tuple(sums) == (total["total_flights"], total["delayed_flights"])
     assert rates.severity_histogram(flights).agg(F.sum("percentage")).first()[0] == pytest.approx(100)
+
+
+def test_few_rows_carry_a_previous_leg_over(spark, sf_dir, monkeypatch):
+    """Buckets, each of which hands one row on, are under a third of the flights, and rows without a tail are cut finely."""
+    seen = {}
+    monkeypatch.setattr(propagation, "previous_value", lambda df, keys, bucket, *rest: seen.update(df=df, keys=keys, bucket=bucket) or df)
+    for drop in (True, False):
+        propagation.previous_leg(views.flights(spark, sf_dir, with_origin=False), views.FLIGHT_KEY, drop_unknown_tails=drop)
+        cut = seen["df"].withColumns(seen["bucket"]).groupBy(*seen["keys"], *seen["bucket"]).agg(F.count(F.lit(1)).alias("n"))
+        known = cut.filter("Tail_Number IS NOT NULL").agg(F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("rows")).first()
+        assert 3 * known.buckets < known.rows
+    unknown = cut.filter("Tail_Number IS NULL").agg(F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("rows")).first()
+    assert 2 * unknown.buckets > unknown.rows
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-300, 1e300])
+def test_ranked_values_resolve_all_doubles(spark, scale):
+    rng = random.Random(int(scale > 1))
+    inf = float("inf")
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1) ** 21, 1.0, -1.0, 0.0, -0.0, 1 + rng.randrange(9) * 2**-52]) * scale for _ in range(3000)] + [inf, -inf, 5e-324, -5e-324]
+    nothing = [None, float("nan")]
+    df = spark.createDataFrame([(v, 7.0, None) for v in values + nothing], "`a b` double, same double, none double").repartition(5)
+    shares = [0.0, 0.013, 0.25, 0.5, 0.9, 1.0]
+    found = quality.ranked_values(df, ["a b", "same", "none"], shares)
+    total, got = found["a b"]
+    ranked = sorted(values)
+    assert total == len(values) and found["same"] == (len(values) + 2, dict.fromkeys(quality._places(len(values) + 2, shares), 7.0)) and found["none"] == (0, {})
+    assert got == {r: ranked[r] for r in quality._places(total, shares)}
+    described = {r["column"]: r for r in quality.describe(df.filter("abs(`a b`) < 1e308"), ["a b", "none"]).collect()}
+    finite = [v for v in ranked if abs(v) < 1e308]
+    assert described["a b"]["count"] == len(finite) and (described["a b"]["min"], described["a b"]["max"]) == (finite[0], finite[-1])
+    assert tuple(described["none"])[1:] == (0, *[None] * 7)
+
+
+def test_history_of_appended_years_is_that_of_all(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(2500):
+        day = dt.date(2019, 11, 1) + dt.timedelta(days=rng.choice([*range(0, 160, 3), 61, 62, 420, 430]))
+        rows.append((i, day if i % 50 else None, rng.choice(["A", "B", None]), rng.choice(["x", "y"]), rng.choice(["C", "D"]), rng.choice([0.0, 1.0, None]), rng.random() < 0.1))
+    df = spark.createDataFrame(rows, "id int, FlightDate date, Origin string, Dest string, Marketing_Airline_Network string, DepDel15 double, Cancelled boolean")
+    path = scratch_path(spark, "daily-sums")
+    years = sorted({r[1].year for r in rows if r[1]})
+    got = []
+    for year in years:
+        own = df.filter(F.year("FlightDate") == year)
+        for _ in range(2):  # safe to repeat
+            history.keep_daily_sums(own, path)
+        got += rows_of(history.add_history_from(own, path))
+    want = history.add_history(df).filter("FlightDate IS NOT NULL")
+    assert len(years) == 3 and sorted(got, key=str) == rows_of(want.select(history.add_history_from(df, path).columns))
+    assert history.add_history_from(df.limit(0), path).count() == 0
+    undated = history.add_history_from(df.filter("FlightDate IS NULL"), path)
+    assert undated.count() == 50 and undated.filter("origin_delay_rate_7d IS NOT NULL").count() == 0
+
+
+def test_replacing_years_leaves_the_others(spark):
+    path = scratch_path(spark, "years")
+    sinks.write_by_year(spark.createDataFrame([(1, 2000), (2, 2001), (3, 2001), (4, None)], "v int, Year int"), path)
+    fresh = spark.createDataFrame([(5, 2001), (6, 2002)], "v int, Year int")
+    sinks.replace_years(fresh, path)
+    sinks.replace_years(fresh, path)
+    sinks.replace_years(fresh.limit(0), path)
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 4, 5, 6]
+
+
+def test_codes_of_any_number_of_values(spark):
+    train = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("v"), (F.col("id") % 5000).cast("string"))).alias("c"))
+    codes = prep.label_codes(train, "c")
+    got = {r.c: r.code for r in codes.collect()}
+    assert got == {v: i for i, v in enumerate(sorted(got))} and len(got) > 4000
+    others = spark.createDataFrame([("hot",), ("never seen",), (None,)], "c string")
+    assert {r.c: r.c_idx for r in prep.encode(others, codes, "c").collect()} == {"hot": got["hot"], "never seen": len(got), None: len(got)}
+    none = prep.label_codes(train.limit(0), "c")
+    assert none.count() == 0 and {r.c_idx for r in prep.encode(others, none, "c").collect()} == {0.0}
+    few = prep.label_codes(others, "c")
+    coded = prep.encode(others, few, "c")
+    encoded = prep.fit_one_hot_codes(prep.encode(others.filter("c IS NOT NULL"), few, "c"), ["c_idx"]).transform(coded)
+    assert {r.c: r.c_idx_vec.toArray().tolist() for r in encoded.collect()} == {"hot": [1.0, 0.0], "never seen": [0.0, 1.0], None: [0.0, 0.0]}
+    assert prep.split_by_variety(train.withColumn("few", F.lit("x")), ["c", "few"]) == (["few"], ["c"])
+
+
+def test_operating_point_is_the_cheapest(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), rng.randrange(40) / 40) for _ in range(500)]
+    for own in (rows, [(0, 0.5)] * 3, [(1, 0.5)] * 3, rows[:1]):
+        costs = [(sum(5 if label and s < t else 1 if not label and s >= t else 0 for label, s in own), -t) for t in {s for _, s in own} | {float("inf")}]
+        got = evaluate.operating_point(spark.createDataFrame(own, "label int, score double")).first()
+        assert (got.total_cost, -got.threshold) == min(costs)
+    assert evaluate.operating_point(spark.createDataFrame([], "label int, score double")).count() == 0
