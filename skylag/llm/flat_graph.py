@@ -6,8 +6,10 @@ and a few far ones, pruned robustly (a candidate goes when a chosen neighbour is
 it by the factor ALPHA). Adjacency lists of a node from all its shards are united. Every vector then
 searches its home shard: greedy from the medoid with a beam, then expanding over all nodes
 in range. What is found is verified by cosine in double precision. An audit compares a
-bounded sample of vectors with brute force over all rows; if its recall is too low, the
-overlap is doubled and the search repeated.
+bounded sample of vectors with brute force over all rows: the share of pairs of different vectors that
+were found, on average over the sampled vectors that have such a pair. The sample grows until
+AUDITED of them have one, or it reaches MOST_AUDITED vectors. If the recall is too low, the overlap is
+doubled and the search repeated.
 
 Equal vectors of one label are one node with a count. Links are counted where they are
 found, and a spanning forest per shard goes on to the components: pairs are never written
@@ -15,7 +17,8 @@ out. A cell near enough to a tight clump of vectors holds all of the clump.
 
 Vectors that are null, zero or empty, hold a null or non-finite component or have no label link with
 nothing; neither do vectors of different lengths. Repeated rows are other vectors. Rows
-without an id count as linked vectors but name no component.
+without an id count as linked vectors but name no component. An empty table gives no rows; columns
+other than key, vector and label are left out.
 """
 
 from __future__ import annotations
@@ -42,7 +45,8 @@ POOL, NEAR, FAR = 48, 16, 8  # candidates looked at, neighbours kept of the near
 ALPHA = 1.2
 BEAM = 16
 BLOCK = 512
-AUDITED = 256
+AUDITED = 64  # audited vectors that are linked to another one
+MOST_AUDITED = 4096
 LEAST_RECALL = 0.95
 SHARD = ("label", "length", "cell")
 
@@ -288,7 +292,7 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def search(shards: DataFrame, threshold: float) -> DataFrame:
-    """Rows (node, links, root): what each node found at home, and its root in the shard's forest."""
+    """Rows (node, links, found, root): the vectors and the other nodes that each node found at home, and its root in the shard's forest."""
     find_package(shards)
     graph_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("neighbours", T.ArrayType(T.LongType()))])
 
@@ -302,7 +306,7 @@ def search(shards: DataFrame, threshold: float) -> DataFrame:
     adjacency = shards.groupBy(*SHARD).applyInArrow(build, graph_schema)
     united = adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     united = materialized(united, "united_graph")
-    found_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("links", T.LongType()), T.StructField("root", T.LongType())])
+    found_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "links", "found", "root")])
 
     def look(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
@@ -314,7 +318,7 @@ def search(shards: DataFrame, threshold: float) -> DataFrame:
             neighbours[i, : len(own)] = own
         starts = entries(neighbours, medoid(units))
         forest = Forest(len(names))
-        links = np.zeros(len(names), np.int64)
+        links, others = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         for first in range(0, len(names), BLOCK):
             queries = np.flatnonzero(home[first : first + BLOCK]) + first
             if not len(queries):
@@ -323,32 +327,28 @@ def search(shards: DataFrame, threshold: float) -> DataFrame:
                 near = in_range(units, neighbours, query, beam, threshold - 1e-9)
                 near = near[cosines(vectors, norms, query, near) >= threshold]
                 links[query] = copies[query] - 1 + copies[near].sum()
+                others[query] = len(near)
                 if len(near):
                     forest.link(np.append(near, query))
         roots = forest.find(np.arange(len(names)))
         told = home | (roots != np.arange(len(names)))
-        return pa.table({"node": names[told], "links": pa.array(links[told], mask=~home[told]), "root": names[roots[told]]})
+        return pa.table({"node": names[told], "links": pa.array(links[told], mask=~home[told]), "found": pa.array(others[told], mask=~home[told]), "root": names[roots[told]]})
 
     # Each node has its lists once; shards are gathered with them.
     return shards.join(united, "node").groupBy(*SHARD).applyInArrow(look, found_schema)
 
 
-def recall(nodes: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the links of a bounded sample of nodes that were counted, against brute force over all rows."""
-    total = nodes.count()
-    limit = int(min(1.0, audited / max(1, total)) * (1 << 30))
+def linked_nodes(nodes: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Rows (node, others): by brute force over all rows, to how many other nodes each node of a sample is linked, if to any."""
     asked = nodes.filter(F.pmod(F.xxhash64("vector", F.lit("audit")), F.lit(1 << 30)) < limit).select("node", "label", "vector").collect()
-    if not asked:
-        return 1.0
     spread = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["label"], np.array(r["vector"])) for r in asked])
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("links", T.LongType())])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("others", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
         for batch in batches:
             lengths = batch.column("vector").value_lengths().to_numpy()
             labels = np.array(batch.column("label").to_pylist(), object)
-            copies = batch.column("copies").to_numpy()
             names = batch.column("node").to_numpy()
             for length in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == length)
@@ -356,14 +356,29 @@ def recall(nodes: DataFrame, found: DataFrame, threshold: float, audited: int =
                 norms = np.linalg.norm(matrix, axis=1)
                 for node, label, vector in spread.value:
                     if len(vector) == length:
-                        hit = (matrix @ vector >= threshold * norms * np.linalg.norm(vector)) & (labels[own] == label)
-                        sums[node] = sums.get(node, 0) + int((copies[own] - (names[own] == node))[hit].sum())
+                        hit = (matrix @ vector >= threshold * norms * np.linalg.norm(vector)) & (labels[own] == label) & (names[own] != node)
+                        sums[node] = sums.get(node, 0) + int(hit.sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=schema.names)
 
-    true = map_batches(nodes.select("node", "label", "vector", "copies"), run, schema).groupBy("node").agg(F.sum("links").alias("links"))
-    got = found.select("node", F.col("links").alias("counted"))
-    both = true.join(got, "node").agg(F.sum("links"), F.sum(F.least("links", "counted"))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    true = map_batches(nodes.select("node", "label", "vector"), run, schema).groupBy("node").agg(F.sum("others").alias("others"))
+    return materialized(true.filter("others > 0"), "audited_links")
+
+
+def recall(nodes: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED, most: int = MOST_AUDITED) -> float:
+    """Mean share of a sampled node's links to other nodes that were found, over sampled nodes that have any; 1 if none has.
+
+    Exact copies are one node, so that they count for nothing here.
+    """
+    total = nodes.count()
+    drawn = 4 * audited
+    while True:
+        true = linked_nodes(nodes, threshold, int(min(1.0, drawn / max(1, total)) * (1 << 30)))
+        if drawn >= min(most, total) or true.count() >= audited:
+            break
+        drawn *= 4
+    both = true.join(found.select("node", "found"), "node", "left")
+    share = both.agg(F.avg(F.least(F.coalesce("found", F.lit(0)), "others") / F.col("others"))).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, overlap: int = OVERLAP, least_recall: float = LEAST_RECALL) -> DataFrame:
@@ -375,13 +390,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     while True:
         shards = materialized(sharded(nodes, centres, overlap, threshold), "vector_shards")
         told = materialized(search(shards, threshold), "vector_links")
-        found = materialized(told.groupBy("node").agg(F.max("links").alias("links")), "link_counts")
+        found = materialized(told.groupBy("node").agg(F.max("links").alias("links"), F.max("found").alias("found")), "link_counts")
         share = recall(nodes, found, threshold)
         if share >= least_recall or overlap >= max([1, *map(len, centres.values())]):
             break
         overlap *= 2
     joined = components(told.filter("root <> node"), "node", "root").withColumnRenamed("vertex", "node")
-    named = nodes.join(found, "node", "left").join(joined, "node", "left")
+    named = nodes.join(found.drop("found"), "node", "left").join(joined, "node", "left")
     named = materialized(named.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), "links", F.coalesce("component", "rep").alias("component")), "named_vectors")
     alike = (F.col(label) == F.col("_label")) & (F.col(vector).cast("array<double>") == F.col("_vector"))
     out = rows.select(key, label, vector).join(named, alike, "left")

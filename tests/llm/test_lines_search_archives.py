@@ -171,6 +171,17 @@ def test_records_come_back(spark):
         assert {warc_zip.ARCHIVE, warc_zip.INDEX} <= set(package.namelist()) and package.testzip() is None
 
 
+def test_warc_query_is_brute_force(spark, sf_dir):
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    first = {}
+    for k in sorted(pages):
+        first.setdefault(pages[k], k)
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = sorted((k, len(b), digest(b), "response" if first[b] == k else "revisit", None if first[b] == k else first[b]) for k, b in pages.items())
+    got = QUERIES["op10_warc"](spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_small_payloads_can_stay_responses(spark):
     _, found = archived(spark, [(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], least_bytes=5)
     assert {r.key: r.refers_to for r in found.collect()} == {1: None, 2: None, 3: None, 4: 3}

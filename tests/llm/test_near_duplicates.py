@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skylag.llm import flat_graph, simhash
 from skylag.llm.components import components
@@ -167,3 +168,24 @@ def test_flat_graph_without_rows_or_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (None, [0.0, 1.0], 2)], "vec_id long, embedding array<float>, label int")
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in flat_graph.near_duplicates(df).collect()), key=str)
     assert got == sorted([(4, 1, 4, True), (None, 0, None, False), (None, 1, 4, False)], key=str)
+
+
+def test_flat_graph_query_is_brute_force(spark, sf_dir):
+    rows = [(r.vec_id, [float(x) for x in r.embedding], r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = {r.vec_id: r for r in QUERIES["op9_embedding_duplicates"](spark, sf_dir).collect()}
+    links = plain_links(rows)
+    want = union_find([r[0] for r in rows], [(rows[i][0], rows[j][0]) for i, own in enumerate(links) for j in own])
+    assert {k: r.component_id for k, r in got.items()} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert all(got[r[0]].n_links <= len(own) for r, own in zip(rows, links))
+    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(map(len, links))
+
+
+def test_audit_sees_missed_pairs_beside_copies(spark):
+    near = [[1.0, 0.01 * i, 0.0] for i in range(4)]
+    nodes = spark.createDataFrame([(i, 0, v, 1000 if i == 0 else 1) for i, v in enumerate(near)] + [(9, 0, [0.0, 0.0, 1.0], 5000)], "node long, label int, vector array<double>, copies long")
+    all_found = spark.createDataFrame([(i, 999 if i == 0 else 0, 3) for i in range(4)] + [(9, 4999, 0)], "node long, links long, found long")
+    assert flat_graph.recall(nodes, all_found, 0.98) == 1.0
+    assert flat_graph.recall(nodes, all_found.withColumn("found", F.lit(0)), 0.98) == 0.0
+    assert flat_graph.recall(nodes, all_found.withColumn("found", F.when(F.col("node") < 2, 3).otherwise(0)), 0.98) == 0.5
+    assert flat_graph.recall(nodes.filter("node = 9"), all_found, 0.98) == 1.0
