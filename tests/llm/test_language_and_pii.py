@@ -63,6 +63,47 @@ def test_long_texts_count_every_gram(monkeypatch):
     assert np.abs(whole - parts).sum() <= 6 * (len(text) // 97 + 1)
 
 
+def test_training_is_follow_the_regularised_leader(monkeypatch):
+    """One weight at a time, as the method is written down."""
+    monkeypatch.setattr(language, "BUCKETS", 12)
+    monkeypatch.setattr(language, "L1", 0.6)
+    draw = np.random.default_rng(6)
+    rows = [(draw.choice(12, 4, replace=False), draw.random(4), int(draw.integers(0, 3))) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(i, c):
+        gathered = z.get((i, c), 0.0)
+        if abs(gathered) <= language.L1:
+            return 0.0
+        return -(gathered - np.copysign(language.L1, gathered)) / ((language.BETA + np.sqrt(n.get((i, c), 0.0))) / language.ALPHA + language.L2)
+
+    for _ in range(2):
+        for at, values, label in rows:
+            inputs = [*zip(at.tolist(), values.tolist()), (12, 1.0)]
+            now = {(i, c): weight(i, c) for i, _ in inputs for c in range(3)}
+            raised = [np.exp(sum(v * now[i, c] for i, v in inputs)) for c in range(3)]
+            for c in range(3):
+                wrong = raised[c] / sum(raised) - (c == label)
+                for i, v in inputs:
+                    slope, before = v * wrong, n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + slope - (np.sqrt(before + slope**2) - np.sqrt(before)) / language.ALPHA * now[i, c]
+                    n[i, c] = before + slope**2
+    got = language.follow_the_leader(rows, 3, epochs=2)
+    assert got == pytest.approx(np.array([[weight(i, c) for c in range(3)] for i in range(13)]))
+    assert 0 < np.count_nonzero(got) < got.size
+
+
+def test_repeated_rows_enter_the_sample_once(spark, monkeypatch):
+    trained = []
+    inner = language.map_batches
+    monkeypatch.setattr(language, "map_batches", lambda df, run, schema: trained.append(df) or inner(df, run, schema))
+    rows = [(1, "one and the same english text", "en")] * 3000 + [(i, f"noch ein deutscher satz {i}", "de") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    assert language.fit(docs, sample_docs=100) is not None
+    sample = next(df for df in trained if "order" in df.columns and "text" in df.columns)
+    assert sample.filter("language = 'en'").count() <= 1 and 10 < sample.count() < 120
+
+
 def test_temperature_is_the_likeliest():
     draw = np.random.default_rng(0)
     scores = draw.normal(size=(2000, 3)) * 4
