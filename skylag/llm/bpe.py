@@ -6,7 +6,7 @@ such a place. The fragments between cuts are encoded independently, every distin
 fragment once, and their ids are concatenated. Results equal those of the `tokenizers`
 library on the same file.
 
-Null and empty texts give no ids. The vocabulary file is read on the driver; its bytes
+Null and empty texts give no ids, an empty table no rows; repeated rows are encoded one by one; very long texts whole, piece by piece. The vocabulary file is read on the driver; its bytes
 (a few MB, whatever the corpus) are broadcast.
 """
 

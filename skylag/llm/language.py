@@ -8,7 +8,8 @@ text is read whole.
 
 Training rows have a language and are not held out. Predictions look at the text only. A
 null text, and one without a letter, is `und` with score 0. Without training rows every
-text is `und`. Of equal scores the first language in order wins.
+text is `und`. Of equal scores the first language in order wins. Repeated rows are predicted one by one, count
+one by one in the frequencies, and enter the sample once. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ of every task. Second pass: a document's global start gives the windows it lies
 every window it touches gets one boundary record (a piece). Only the last sequence has
 padding.
 
-Null and empty texts are a lone end id. Rows that repeat are packed as often as they occur.
+Null and empty texts are a lone end id. Rows that repeat are packed as often as they occur. A very long text fills
+as many windows as it takes. An empty table gives no rows. Columns other than key and text are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ are compared once each, whatever the number of documents that have them. Anchors
 homes are dealt to several tasks.
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and are linked like any
-other; repeated rows count once each; no documents give no rows.
+other; repeated rows count once each; very long texts are read whole; no documents give no rows.
 """
 
 from __future__ import annotations

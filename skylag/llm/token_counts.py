@@ -4,7 +4,8 @@ Documents are aggregated by encoded length; suffix sums over the lengths answer
 documents are longer than a limit, how many tokens remain when every document is truncated
 to it, and every quantile. The histogram has one row per distinct length.
 
-Null and empty texts have length 0. No documents: no rows.
+Null and empty texts have length 0. No documents: no rows. Repeated rows are counted one by one; very long texts
+are encoded whole, in pieces. Other columns are left out.
 """
 
 from __future__ import annotations

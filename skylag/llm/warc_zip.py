@@ -9,7 +9,8 @@ Of records with equal payloads that with the smallest key is a response, the oth
 revisits of it; payloads below `least_bytes` are always responses.
 
 Defined results: null payloads are empty. Rows without a key are responses, with a null
-key when read back; rows that repeat are records of their own. Packages are written under names of
+key when read back; rows that repeat are records of their own. An empty table gives no packages and no rows. A payload of any
+length is one record. Columns other than key, address and payload are left out, whatever their names. Packages are written under names of
 their task attempt; only those of finished tasks are in the list that the reader gets. The
 folder can be any that pyarrow's file systems reach from every executor.
 """

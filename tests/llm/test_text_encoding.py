@@ -176,3 +176,12 @@ def test_running_totals_over_several_blocks(spark):
     for i in range(0, 5000, 7):
         assert got[i] == total
         total += i % 11
+
+
+def test_empty_tables_and_columns_called_like_results(spark, library):
+    docs = spark.createDataFrame([(1, "some text", 5, "b", 7), (None, None, 6, "c", 8)], "doc_id long, text string, start int, ids string, part int")
+    check_packing(packing.pack(docs, vocabulary_path()).collect(), [(1, "some text"), (None, None)], library, 2048)
+    none = docs.limit(0)
+    assert packing.pack(none, vocabulary_path()).count() == 0
+    assert bpe.encode(none, vocabulary_path()).count() == 0
+    assert token_counts.histogram(token_counts.lengths(none, vocabulary_path())).count() == 0
