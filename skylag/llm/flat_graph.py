@@ -11,9 +11,15 @@ were found, on average over the sampled vectors that have such a pair. The sampl
 AUDITED of them have one, or it reaches MOST_AUDITED vectors. If the recall is too low, the overlap is
 doubled and the search repeated.
 
+Crowded shards are split again by centroids of their own, level by level, while that at
+least halves the work. What stays crowded is a clump whose vectors are all near each other:
+it is cut into shares, and every pair of shares is a graph of its own in which vectors look
+for those of the other share. So no group of a task grows with the input; the number of
+links that are counted in a clump does, with its square.
+
 Equal vectors of one label are one node with a count. Links are counted where they are
 found, and a spanning forest per shard goes on to the components: pairs are never written
-out. A cell near enough to a tight clump of vectors holds all of the clump.
+out.
 
 Vectors that are null, zero or empty, hold a null or non-finite component or have no label link with
 nothing; neither do vectors of different lengths. Repeated rows are other vectors. Rows
@@ -38,8 +44,11 @@ from skylag.session import materialized
 
 THRESHOLD = 0.98
 SAMPLE_ROWS = 16_384  # vectors that the centroids are fitted on
-MOST_CELLS = 4_096
+MOST_CELLS = 4_096  # cells of the first level
 ROWS_PER_CELL = 4_096
+ROWS_PER_SHARD = 16_384  # more rows are split again, or cut into shares
+SPLIT_SAMPLE = 4_096  # rows of a crowded shard that its centroids are fitted on
+BRANCHES = 16  # parts of a crowded shard, times the overlap
 OVERLAP = 3  # nearest cells that get a copy of a vector
 POOL, NEAR, FAR = 48, 16, 8  # candidates looked at, neighbours kept of the near ones and of the far ones
 ALPHA = 1.2
@@ -49,6 +58,7 @@ AUDITED = 64  # audited vectors that are linked to another one
 MOST_AUDITED = 4096
 LEAST_RECALL = 0.95
 SHARD = ("label", "length", "cell")
+PART = (*SHARD, "i", "j")
 
 
 # -- cells -----------------------------------------------------------------
@@ -66,6 +76,15 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray
     return centres
 
 
+def apart(centres: np.ndarray, least: float) -> np.ndarray:
+    """The centres without those nearer than `least` to an earlier one that stays: a tight clump keeps one."""
+    kept = centres[:1]
+    for centre in centres[1:]:
+        if ((kept - centre) ** 2).sum(axis=1).min() >= least**2:
+            kept = np.vstack([kept, centre])
+    return kept
+
+
 def cells_of(units: np.ndarray, centres: np.ndarray, overlap: int, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, cells, is home): the nearest cells, and all whose centre is within twice the reach.
 
@@ -253,13 +272,13 @@ def centroids(nodes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def sharded(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int, threshold: float) -> DataFrame:
-    """Rows (label, length, cell, home, rep, copies, vector) with the vector as binary doubles."""
+    """Rows (label, length, cell, home, node, copies, vector) with the vector as binary doubles."""
     spread = nodes.sparkSession.sparkContext.broadcast(centres)
     reach = float(np.sqrt(2 - 2 * threshold))
     schema = T.StructType([
         T.StructField("label", nodes.schema["label"].dataType),
         T.StructField("length", T.IntegerType()),
-        T.StructField("cell", T.IntegerType()),
+        T.StructField("cell", T.LongType()),
         T.StructField("home", T.BooleanType()),
         T.StructField("node", T.LongType()),
         T.StructField("copies", T.LongType()),
@@ -278,7 +297,7 @@ def sharded(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int, thre
                 for rows, cells, home in cells_of(units, spread.value.get(length, np.zeros((1, length))), overlap, reach):
                     at = pa.array(own[rows])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("label").take(at), pa.array(np.full(len(rows), length, np.int32)), pa.array(cells.astype(np.int32)), pa.array(home), batch.column("node").take(at), batch.column("copies").take(at), pa.array([matrix[i].tobytes() for i in rows], pa.binary())],
+                        [batch.column("label").take(at), pa.array(np.full(len(rows), length, np.int32)), pa.array(cells.astype(np.int64)), pa.array(home), batch.column("node").take(at), batch.column("copies").take(at), pa.array([matrix[i].tobytes() for i in rows], pa.binary())],
                         names=schema.names,
                     )
 
@@ -291,27 +310,90 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return vectors, norms, vectors / norms[:, None]
 
 
+def split(shards: DataFrame, overlap: int, threshold: float) -> DataFrame:
+    """The shards with a column `shares`: no shard of one share has more than ROWS_PER_SHARD rows.
+
+    Whether centroids at least halve the work of a crowded shard is told by the sample that they
+    are fitted on; if they do not, it gets as many shares as make two of them ROWS_PER_SHARD rows.
+    """
+    find_package(shards)
+    reach = float(np.sqrt(2 - 2 * threshold))
+    branches = BRANCHES * max(1, overlap)
+    row_schema = shards.schema
+    centre_schema = T.StructType([*(row_schema[c] for c in SHARD), T.StructField("centres", T.BinaryType())])
+
+    def fit(table: pa.Table) -> pa.Table:
+        units = _matrix(table.sort_by("node"))[2]
+        centres = apart(fit_centroids(units, min(branches, len(units))), 2 * reach)
+        counts = np.bincount(np.concatenate([cells for _, cells, _ in cells_of(units, centres, overlap, reach)]))
+        useful = 2 * (counts.astype(float) ** 2).sum() <= len(units) ** 2
+        own = table.select(list(SHARD)).slice(0, 1)
+        return own.append_column("centres", pa.array([centres.tobytes() if useful else None], pa.binary()))
+
+    def deal(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+        units = _matrix(rows)[2]
+        centres = np.frombuffer(fitted.column("centres")[0].as_py(), np.float64).reshape(-1, units.shape[1])
+        taken, cells, nearest = (np.concatenate(x) for x in zip(*cells_of(units, centres, overlap, reach)))
+        # Children are named by their shard and their number there.
+        named = np.uint64(rows.column("cell")[0].as_py() % (1 << 64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1) + cells.astype(np.uint64)
+        named = (named ^ (named >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = rows.select(row_schema.names).take(pa.array(taken))
+        out = out.set_column(out.schema.get_field_index("cell"), "cell", pa.array(named.view(np.int64)))
+        home = out.column("home").to_numpy() & nearest
+        return out.set_column(out.schema.get_field_index("home"), "home", pa.array(home))
+
+    finished = shards.limit(0).withColumn("shares", F.lit(1))
+    while True:
+        sizes = materialized(shards.groupBy(*SHARD).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROWS_PER_SHARD), "crowded_shards")
+        if sizes.isEmpty():
+            return finished.unionByName(shards.withColumn("shares", F.lit(1)))
+        chosen = F.pmod(F.xxhash64("node", F.lit("split")), F.lit(1 << 30)) < F.lit(SPLIT_SAMPLE) / F.col("n") * (1 << 30)
+        sample = shards.join(sizes, list(SHARD)).filter(chosen).select(*SHARD, "node", "vector")
+        fitted = sample.groupBy(*SHARD).applyInArrow(fit, centre_schema).filter("centres IS NOT NULL")
+        chunks = F.ceil(F.col("n") / ROWS_PER_SHARD).cast("int")
+        fitted = materialized(fitted.join(sizes, list(SHARD)).withColumn("chunks", chunks), "split_centres")
+        verdict = sizes.join(fitted.select(*SHARD, "chunks"), list(SHARD), "left")
+        told = shards.join(verdict, list(SHARD), "left")
+        small = told.filter("n IS NULL").select(*row_schema.names)
+        clumps = told.filter("n IS NOT NULL AND chunks IS NULL")
+        clumps = clumps.withColumn("shares", F.ceil(2 * F.col("n") / ROWS_PER_SHARD).cast("int")).select(*row_schema.names, "shares")
+        rows = told.filter("chunks IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        centres = fitted.select(*SHARD, "centres", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        dealt = rows.groupBy(*SHARD, "chunk").cogroup(centres.groupBy(*SHARD, "chunk")).applyInArrow(lambda a, b: deal(a, b) if a.num_rows else a.select(row_schema.names), row_schema)
+        finished = materialized(finished.unionByName(clumps).unionByName(small.withColumn("shares", F.lit(1))), "finished_shards")
+        shards = materialized(dealt, "split_shards")
+
+
+def dealt_to_parts(shards: DataFrame) -> DataFrame:
+    """Every row once for each pair (i, j) of shares that its share, `side`, is one of."""
+    placed = shards.withColumn("side", F.pmod(F.xxhash64("node", F.lit("share")), F.col("shares")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return placed.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "shares")
+
+
 def search(shards: DataFrame, threshold: float) -> DataFrame:
-    """Rows (node, links, found, root): the vectors and the other nodes that each node found at home, and its root in the shard's forest."""
+    """Rows (node, links, found, root): how many vectors and other nodes each node found in a part of its home, and its root in the part's forest."""
     find_package(shards)
-    graph_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("neighbours", T.ArrayType(T.LongType()))])
+    graph_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("neighbours", T.ArrayType(T.LongType()))])
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         units = _matrix(table)[2]
         names = table.column("node").to_numpy()
         lists = build_graph(units)
-        return pa.table({"node": names, "neighbours": pa.array([names[x[x >= 0]] for x in lists], pa.list_(pa.int64()))})
+        return pa.table({"node": names, "i": table.column("i"), "j": table.column("j"), "neighbours": pa.array([names[x[x >= 0]] for x in lists], pa.list_(pa.int64()))})
 
-    adjacency = shards.groupBy(*SHARD).applyInArrow(build, graph_schema)
-    united = adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
+    adjacency = shards.groupBy(*PART).applyInArrow(build, graph_schema)
+    # Lists of different pairs of shares have few nodes in common and stay apart.
+    united = adjacency.groupBy("node", "i", "j").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     united = materialized(united, "united_graph")
     found_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "links", "found", "root")])
 
     def look(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         vectors, norms, units = _matrix(table)
-        names, copies, home = (table.column(c).to_numpy() for c in ("node", "copies", "home"))
+        names, copies, home, side = (table.column(c).to_numpy() for c in ("node", "copies", "home", "side"))
+        one_share = table.column("i")[0] == table.column("j")[0]
         lists = [np.searchsorted(names, x[np.isin(x, names)]) for x in table.column("neighbours").to_numpy()]
         neighbours = np.full((len(names), max(1, max(map(len, lists)))), -1, np.int64)
         for i, own in enumerate(lists):
@@ -326,7 +408,9 @@ def search(shards: DataFrame, threshold: float) -> DataFrame:
             for query, beam in zip(queries.tolist(), greedy(units, neighbours, queries, starts)):
                 near = in_range(units, neighbours, query, beam, threshold - 1e-9)
                 near = near[cosines(vectors, norms, query, near) >= threshold]
-                links[query] = copies[query] - 1 + copies[near].sum()
+                if not one_share:
+                    near = near[side[near] != side[query]]
+                links[query] = (copies[query] - 1 if one_share else 0) + copies[near].sum()
                 others[query] = len(near)
                 if len(near):
                     forest.link(np.append(near, query))
@@ -334,8 +418,8 @@ def search(shards: DataFrame, threshold: float) -> DataFrame:
         told = home | (roots != np.arange(len(names)))
         return pa.table({"node": names[told], "links": pa.array(links[told], mask=~home[told]), "found": pa.array(others[told], mask=~home[told]), "root": names[roots[told]]})
 
-    # Each node has its lists once; shards are gathered with them.
-    return shards.join(united, "node").groupBy(*SHARD).applyInArrow(look, found_schema)
+    # Each node has its lists once; parts are gathered with them.
+    return shards.join(united, ["node", "i", "j"]).groupBy(*PART).applyInArrow(look, found_schema)
 
 
 def linked_nodes(nodes: DataFrame, threshold: float, limit: int) -> DataFrame:
@@ -389,8 +473,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     centres = centroids(nodes)
     while True:
         shards = materialized(sharded(nodes, centres, overlap, threshold), "vector_shards")
-        told = materialized(search(shards, threshold), "vector_links")
-        found = materialized(told.groupBy("node").agg(F.max("links").alias("links"), F.max("found").alias("found")), "link_counts")
+        parts = dealt_to_parts(materialized(split(shards, overlap, threshold), "parted_shards"))
+        told = materialized(search(parts, threshold), "vector_links")
+        found = materialized(told.groupBy("node").agg(F.sum("links").alias("links"), F.sum("found").alias("found")), "link_counts")
         share = recall(nodes, found, threshold)
         if share >= least_recall or overlap >= max([1, *map(len, centres.values())]):
             break

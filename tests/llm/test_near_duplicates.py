@@ -148,6 +148,30 @@ def test_flat_graph_finds_the_links(spark, monkeypatch, rows_per_cell):
         assert sorted((r.vec_id, r.n_links) for r in got) == sorted((r[0], len(own)) for r, own in zip(rows, links))
 
 
+def test_crowded_shards_are_split_and_clumps_cut_into_shares(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "ROWS_PER_SHARD", 120)
+    draw = np.random.default_rng(8)
+    centre = draw.normal(size=16)
+    # A third of the rows in one clump, and a cell of far more rows than a shard may have.
+    found = [centre + draw.normal(size=16) * 0.02 for _ in range(400)] + vectors(9, 500, 60, 5)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(found)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = flat_graph.nodes_of(df, "vec_id", "embedding", "label").withColumn("node", F.col("rep"))
+    shards = flat_graph.sharded(nodes, flat_graph.centroids(nodes), 3, 0.98)
+    parted = flat_graph.split(shards, 3, 0.98)
+    homes = parted.filter("home").groupBy("node").count()
+    assert homes.count() == len(rows) and homes.filter("count > 1").isEmpty()
+    assert parted.agg(F.max("shares")).first()[0] > 1 and parted.select("cell").distinct().count() > 3
+    assert parted.filter("shares = 1").groupBy(*flat_graph.SHARD).count().filter("count > 120").isEmpty()
+    # Shares are dealt by hash, so that pairs of them vary around the limit.
+    assert flat_graph.dealt_to_parts(parted).groupBy(*flat_graph.PART).count().agg(F.max("count")).first()[0] <= 180
+    got = flat_graph.near_duplicates(df).collect()
+    links = plain_links(rows)
+    assert {r.vec_id: r.component_id for r in got} == union_find(range(len(rows)), [(i, j) for i, own in enumerate(links) for j in own])
+    assert all(r.n_links <= len(links[r.vec_id]) for r in got)
+    assert sum(r.n_links for r in got) >= 0.95 * sum(map(len, links))
+
+
 def test_flat_graph_reaches_every_node():
     units = np.array(vectors(4, 30, 3, 100))
     units /= np.linalg.norm(units, axis=1, keepdims=True)
