@@ -77,19 +77,20 @@ def _imbalance(per_target: DataFrame, warn_below: float) -> DataFrame:
 
 
 def correlations(df: DataFrame, target: str = "DepDel15", columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every numeric column with the target over rows where both are known."""
+    """Pearson correlation of every numeric column with the target over rows where both are known.
+
+    Rows are laid out by column, so that one small aggregate serves any number of columns.
+    """
     names = [c for c in (numeric_columns(df) if columns is None else columns) if c != target]
     y = F.col(target).cast("double")
 
-    def pearson(name: str):
-        # Not the built-in corr: in ANSI mode it raises on a constant column.
-        x = F.col(name).cast("double")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    row = df.agg(*[pearson(c).alias(f"r_{i}") for i, c in enumerate(names)])
+    values = F.array(*[F.col(c).cast("double") for c in names]) if names else F.array().cast("array<double>")
+    known = df.filter(y.isNotNull()).select(y.alias("y"), F.posexplode(values).alias("i", "x")).filter("x IS NOT NULL")
+    # Not the built-in corr: in ANSI mode it raises on a constant column.
+    pearson = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    found = known.groupBy("i").agg(pearson.alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("by_column"))
     return _one_row_to_long(
-        row, [F.struct(F.lit(c).alias("column"), F.col(f"r_{i}").alias("correlation")) for i, c in enumerate(names)]
+        found, [F.struct(F.lit(c).alias("column"), F.try_element_at("by_column", F.lit(i)).alias("correlation")) for i, c in enumerate(names)]
     )
 
 

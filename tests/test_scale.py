@@ -341,3 +341,20 @@ def test_operating_point_is_the_cheapest(spark):
         got = evaluate.operating_point(spark.createDataFrame(own, "label int, score double")).first()
         assert (got.total_cost, -got.threshold) == min(costs)
     assert evaluate.operating_point(spark.createDataFrame([], "label int, score double")).count() == 0
+
+
+def test_correlations_are_one_small_aggregate(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 1, None]), *[rng.choice([None, rng.random()]) for _ in range(12)], None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y int, " + ", ".join(f"c{i} double" for i in range(12)) + ", none double")
+    found = quality.correlations(df, "y")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("covar_pop") <= 1
+    got = {r["column"]: r["correlation"] for r in found.collect()}
+    assert set(got) == {*df.columns} - {"y"} and got["none"] is None
+    for i in range(12):
+        known = [(r[0], r[i + 1]) for r in rows if r[0] is not None and r[i + 1] is not None]
+        ys, xs = zip(*known)
+        my, mx = sum(ys) / len(ys), sum(xs) / len(xs)
+        both = sum((a - my) * (b - mx) for a, b in known)
+        assert got[f"c{i}"] == pytest.approx(both / (sum((a - my) ** 2 for a in ys) * sum((b - mx) ** 2 for b in xs)) ** 0.5)
+    assert {r["correlation"] for r in quality.correlations(df.limit(0), "y").collect()} == {None}
