@@ -13,13 +13,14 @@ from skylag.catalog.causes_and_rates import RATE
 from skylag.catalog.registry import query
 from skylag.catalog.views import FLIGHT_KEY, NEARBY_SQL, WEATHER_SQL, with_flights
 from skylag.catalog.weather import FILLED_SQL
+from skylag.functions.numeric import ratio
 from skylag.models import prep
-from skylag.models.evaluate import confusion
+from skylag.models.evaluate import confusion, count_rows
 from skylag.models.train import converged, fit_boosted_trees, fit_logistic, safe_features, score
 from skylag.operators import history, propagation
 from skylag.operators.sampling import split_by_year
 from skylag.operators.weather import nearby_map
-from skylag.plans.feature_table import propagation_table, strategic_features
+from skylag.plans.feature_table import known_only, measures_in, propagation_table, strategic_features
 from skylag.session import materialized, scratch_path
 
 no_origin = partial(views.flights, with_origin=False)
@@ -147,10 +148,12 @@ _JOINED = (
 def _strategic(spark, sf):
     """The day-ahead feature table, summed up per year."""
     table = strategic_features(
-        views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs()))
+        views.flights(spark, sf), known_only(views.weather(spark, sf), ["temp"]), nearby_map(spark, views.nearby_pairs()), measures=["temp"], copies="copies")
+    days = F.col("days_to_next_holiday")
     return table.groupBy("Year").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"known_{c}") for c in STRATEGIC_COLUMNS],
-        F.sum("origin_sched_departures").alias("departures"), F.avg("days_to_next_holiday").alias("mean_days_to_next"))
+        F.sum("copies").alias("n"), *[count_rows(F.col(c).isNotNull(), "copies").alias(f"known_{c}") for c in STRATEGIC_COLUMNS],
+        F.sum(F.col("origin_sched_departures") * F.col("copies")).alias("departures"),
+        ratio(F.sum(days * F.col("copies")), F.sum(F.when(days.isNotNull(), F.col("copies")))).alias("mean_days_to_next"))
 
 
 _LABELLED_PARTS = {"Train": "f.Year <= 1998", "Validation": "f.Year = 1999", "Test": "f.Year >= 2000"}
@@ -166,12 +169,17 @@ def _parts_sql(*more: str) -> str:
 
 
 def _training_parts(spark, sf):
-    """The written feature table by parts, its usable columns, and those that are unbounded text."""
-    table = materialized(strategic_features(
-        views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs())), "strategic")
-    parts = split_by_year(table, range(1990, 1999), (1999,), range(2000, 2010))
-    training = parts.filter("split = 'train'")
-    numeric, text = safe_features(table.drop("row_hash", "score"))
+    """The written feature table by parts, its usable columns, and those that are unbounded text.
+
+    Measures that no training row knows are not joined, and equal rows are written once with the number of their `copies`.
+    """
+    years = (range(1990, 1999), (1999,), range(2000, 2010))
+    flights, weather, mapping = views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs())
+    measures = measures_in(split_by_year(flights, *years).filter("split = 'train'"), weather, mapping)
+    table = materialized(strategic_features(flights, weather, mapping, measures=measures, copies="copies"), "strategic")
+    parts = split_by_year(table, *years)
+    training = parts.filter("split = 'train'").withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    numeric, text = safe_features(table.drop("row_hash", "score", "copies"))
     few, many = prep.split_by_variety(training, [c for c in text if c not in ("split", "Tail_Number")])
     return parts, training, prep.with_known_values(training, numeric), few, [*many, "Tail_Number"]
 
@@ -181,11 +189,10 @@ def _per_part(parts, model) -> DataFrame:
     rows = []
     for part in _LABELLED_PARTS:
         scored = score(model, parts.filter(F.col("split") == part.lower()))
-        counted = confusion(scored).select(
+        known = count_rows(F.col("score").between(0, 1) & F.col("prediction").isin(0.0, 1.0), "copies")
+        rows.append(confusion(scored, copies="copies", known=known).select(
             F.lit(part).alias("part"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"),
-            (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
-        known = scored.agg(F.count_if(F.col("score").between(0, 1) & F.col("prediction").isin(0.0, 1.0)).alias("scored")).scalar()
-        rows.append(counted.withColumn("scored", known))
+            (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"), F.col("known").alias("scored")))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -214,7 +221,8 @@ query("t12_propagation_table_by_month", with_flights(
     "CAST(sum(coalesce(late, 0)) AS DOUBLE) AS late FROM timed LEFT JOIN recent ON y = Year AND a = Origin AND t = dep_t GROUP BY ALL",
     WEATHER_SQL, NEARBY_SQL, FILLED_SQL, _WEATHERED_SQL, TIMED_SQL.replace("FROM flights_v", "FROM weathered")))(
     lambda spark, sf: propagation_table(
-        views.flights(spark, sf), views.weather(spark, sf), nearby_map(spark, views.nearby_pairs())
+        views.flights(spark, sf), known_only(views.weather(spark, sf), ["temp"]), nearby_map(spark, views.nearby_pairs()), ["temp"], "copies"
     ).groupBy("Year", "Month").agg(
-        F.count(F.lit(1)).alias("n"), F.count("temp").alias("with_temp"),
-        F.avg("origin_delay_rate_past2h").alias("mean_rate"), F.sum("origin_late_arrivals_past2h").alias("late")))
+        F.sum("copies").alias("n"), count_rows(F.col("temp").isNotNull(), "copies").alias("with_temp"),
+        ratio(F.sum(F.col("origin_delay_rate_past2h") * F.col("copies")), F.sum("copies")).alias("mean_rate"),
+        F.sum(F.col("origin_late_arrivals_past2h") * F.col("copies")).alias("late")))

@@ -70,29 +70,31 @@ def add_timestamps(flights: DataFrame, roll_midnight: bool = False) -> DataFrame
     )
 
 
-def _airport_minutes(flights: DataFrame, scope: Sequence[str]) -> DataFrame:
+def _airport_minutes(flights: DataFrame, scope: Sequence[str], copies: str | None = None) -> DataFrame:
     """One row per airport and minute with a departure or an arrival: whether flights
     leave, how many arrive, how many of them late, and their summed delay.
 
     Summed before the shuffle, so its size is bounded by airports times minutes
-    however many flights an airport has.
+    however many flights an airport has. `copies` names a column that says how many equal
+    flights a row stands for.
     """
     zero = F.lit(0)
+    times = F.lit(1) if copies is None else F.col(copies)
     departure = F.struct(
         F.col("Origin").alias("airport"),
         F.col("DepTimestamp").cast("bigint").alias("minute"),
         F.lit(1).alias("departs"),
-        zero.alias("arrives"),
-        zero.alias("late"),
+        (times * 0).alias("arrives"),
+        (times * 0).alias("late"),
         F.lit(0.0).cast("double").alias("delay"),
     )
     arrival = F.struct(
         F.col("Dest").alias("airport"),
         F.col("ArrTimestamp").cast("bigint").alias("minute"),
         zero.alias("departs"),
-        F.lit(1).alias("arrives"),
-        F.coalesce(to_number("ArrDel15").cast("int"), zero).alias("late"),
-        F.coalesce(to_number("ArrDelay"), F.lit(0.0)).alias("delay"),
+        times.alias("arrives"),
+        (F.coalesce(to_number("ArrDel15").cast("int"), zero) * times).alias("late"),
+        (F.coalesce(to_number("ArrDelay"), F.lit(0.0)) * times).alias("delay"),
     )
     events = flights.select(*scope, F.inline(F.array(departure, arrival)))
     return (
@@ -107,9 +109,9 @@ def _airport_minutes(flights: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
-def recent_arrivals(flights: DataFrame, window_minutes: int = 120, scope: Sequence[str] = ("Year",)) -> DataFrame:
+def recent_arrivals(flights: DataFrame, window_minutes: int = 120, scope: Sequence[str] = ("Year",), copies: str | None = None) -> DataFrame:
     """Per airport and departure minute t: arrivals, late arrivals and summed arrival
-    delay within [t - window, t).
+    delay within [t - window, t). Rows count as often as `copies` says, if it is given.
 
     An airport is cut into days. Arrivals in the last `window` minutes of a day are
     also handed to the next day, the only other one that can see them, so each
@@ -117,7 +119,7 @@ def recent_arrivals(flights: DataFrame, window_minutes: int = 120, scope: Sequen
     """
     if not 0 < window_minutes <= MINUTES_PER_DAY:
         raise ValueError("window_minutes must be between 1 and 1440")
-    minutes = _airport_minutes(flights, scope)
+    minutes = _airport_minutes(flights, scope, copies)
     day = F.floor(F.col("minute") / MINUTES_PER_DAY).cast("bigint")
     near_midnight = F.pmod(F.col("minute"), F.lit(MINUTES_PER_DAY)) >= MINUTES_PER_DAY - window_minutes
     days = F.when(near_midnight & (F.col("arrives") > 0), F.array(day, day + 1)).otherwise(F.array(day))
@@ -142,6 +144,7 @@ def add_recent_arrival_features(
     scope: Sequence[str] = ("Year",),
     roll_midnight: bool = False,
     fill_delays: bool = True,
+    copies: str | None = None,
 ) -> DataFrame:
     """Flights with late share, mean delay and number of late arrivals at the origin in
     the `window_minutes` before the actual departure.
@@ -149,10 +152,10 @@ def add_recent_arrival_features(
     0 where nothing arrived or the departure time is unknown, null where the origin
     is unknown. `scope` limits what a flight can see to its own year by default.
     `fill_delays` also replaces unknown arrival delays by 0 in the output, as the
-    published table has them.
+    published table has them. A row arrives as often as its column `copies` says.
     """
     timed = add_timestamps(flights, roll_midnight)
-    recent = recent_arrivals(timed, window_minutes, scope).withColumnsRenamed(
+    recent = recent_arrivals(timed, window_minutes, scope, copies).withColumnsRenamed(
         {c: f"__{c}" for c in [*scope, "airport", "minute"]}
     )
     # Flights without a departure time match nothing; spread over many impossible minutes,

@@ -60,6 +60,7 @@ def join_weather(
     measures: Sequence[str] = tuple(fixed.WEATHER_MEASURES),
     null_safe: bool = False,
     keep_keys: bool = False,
+    copies: str | None = None,
 ) -> DataFrame:
     """Flights with the weather at their origin in the scheduled local departure hour.
 
@@ -67,8 +68,15 @@ def join_weather(
     several flight rows. The key has airport, date and hour, so a busy airport is
     spread over all its hours; runtime skew splitting handles what is left.
     `null_safe` also matches unknown keys to unknown keys.
+
+    With `copies`, weather rows of one hour with equal measures give one flight row, and the
+    column of that name counts them (1 without weather): flights times weather rows of an hour
+    are then written out only as far as the measures differ.
     """
-    hourly = weather_by_hour(weather, measures).withColumnRenamed("Origin", "__airport")
+    hourly = weather_by_hour(weather, measures)
+    if copies is not None:
+        hourly = hourly.groupBy("Origin", "date", "hour", *measures).agg(F.count(F.lit(1)).alias(copies))
+    hourly = hourly.withColumnRenamed("Origin", "__airport")
     keyed = with_departure_hour(flights)
     pairs = [("Origin", "__airport"), ("FlightDate", "date"), ("dep_hour", "hour")]
     condition = None
@@ -76,6 +84,8 @@ def join_weather(
         equal = F.col(left).eqNullSafe(F.col(right)) if null_safe else F.col(left) == F.col(right)
         condition = equal if condition is None else condition & equal
     joined = keyed.join(hourly, condition, "left").drop("__airport")
+    if copies is not None:
+        joined = joined.withColumn(copies, F.coalesce(F.col(copies), F.lit(1)).cast("bigint"))
     return joined if keep_keys else joined.drop("date", "hour")
 
 

@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skylag import fixed_values as fixed
+from skylag.catalog import propagation as catalog_propagation
 from skylag.catalog import views
 from skylag.models import evaluate, prep
-from skylag.operators import history, ordered, propagation, quality, rates, sampling, stations
-from skylag.plans import eda
+from skylag.operators import history, ordered, propagation, quality, rates, sampling, stations, weather
+from skylag.plans import eda, feature_table
 from skylag.session import scratch_path
 from skylag.sources import sinks
 
@@ -343,6 +345,55 @@ def test_operating_point_is_the_cheapest(spark):
     assert evaluate.operating_point(spark.createDataFrame([], "label int, score double")).count() == 0
 
 
+def weather_copies(spark):
+    """Four flights of one airport, two of them in the same hour; weather rows of that hour, some alike, and of another airport."""
+    day = dt.date(2020, 1, 1)
+    flights = spark.createDataFrame(
+        [(1, 2020, day, "A", "B", 900, 905.0, 1000.0, 1.0, 20.0), (2, 2020, day, "A", "B", 930, 940.0, 1030.0, 0.0, 3.0),
+         (3, 2020, day, "B", "A", 1100, 1100.0, 1200.0, 1.0, 30.0), (4, 2020, day, "A", "B", 1300, 1300.0, None, None, None)],
+        "id int, Year int, FlightDate date, Origin string, Dest string, CRSDepTime int, DepTime double, ArrTime double, ArrDel15 double, ArrDelay double")
+    nine, eleven = dt.datetime(2020, 1, 1, 9), dt.datetime(2020, 1, 1, 11)
+    rows = spark.createDataFrame(
+        [("A", nine, 1.0, 5.0), ("A", nine, 1.0, 5.0), ("A", nine, 1.0, 6.0), ("A", nine, None, 6.0), ("B", eleven, 2.0, 2.0)],
+        "airport_code string, time timestamp_ntz, temp double, pres double")
+    return flights, rows
+
+
+@pytest.mark.parametrize("measures", [[], ["temp"], ["temp", "pres"]])
+def test_equal_weather_rows_of_an_hour_are_one_row_with_their_number(spark, measures):
+    flights, rows = weather_copies(spark)
+    plain = weather.join_weather(flights, rows, measures)
+    counted = weather.join_weather(flights, rows, measures, copies="copies")
+    assert plain.count() == 10
+    assert counted.count() == {0: 4, 1: 6, 2: 8}[len(measures)]
+    assert rows_of(counted.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies")) == rows_of(plain)
+
+
+def test_copies_arrive_as_often_as_the_rows_they_stand_for(spark):
+    flights, rows = weather_copies(spark)
+    mapping = spark.createDataFrame([], "missing string, source string")
+    names = ["id", "temp", "origin_delay_rate_past2h", "origin_arr_delay_avg_past2h", "origin_late_arrivals_past2h"]
+    plain = feature_table.propagation_table(flights, rows, mapping, ["temp"]).select(names)
+    counted = feature_table.propagation_table(flights, rows, mapping, ["temp"], "copies")
+    assert plain.filter("id = 3").first()["origin_late_arrivals_past2h"] == 4.0
+    assert rows_of(counted.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(names)) == rows_of(plain)
+
+
+def test_training_table_does_not_grow_with_weather_rows_of_an_hour(spark, sf_dir, monkeypatch):
+    """Weather for every test flight's hour, so many rows an hour; none in the years trained on."""
+    hours = views.flights(spark, sf_dir).filter("Year >= 2000").selectExpr(
+        "Origin AS airport_code", "CAST(FlightDate AS TIMESTAMP_NTZ) + make_interval(0, 0, 0, 0, CRSDepTime DIV 100) AS time").distinct()
+    sizes = []
+    for many in (1, 3):
+        rows = hours.crossJoin(spark.range(many)).selectExpr("airport_code", "time", *[f"CAST(id AS DOUBLE) AS {c}" for c in fixed.WEATHER_MEASURES])
+        monkeypatch.setattr(views, "weather", lambda *_: rows)
+        parts, _, numeric, _, _ = catalog_propagation._training_parts(spark, sf_dir)
+        assert "copies" not in numeric and not set(numeric) & set(fixed.WEATHER_MEASURES)
+        sizes.append((parts.count(), parts.agg(F.sum("copies")).first()[0]))
+    flights, late = views.flights(spark, sf_dir).count(), views.flights(spark, sf_dir).filter("Year >= 2000").count()
+    assert sizes == [(flights, flights), (flights, flights + 2 * late)]
+
+
 def test_correlations_are_one_small_aggregate(spark):
     rng = random.Random(5)
     rows = [(rng.choice([0, 1, None]), *[rng.choice([None, rng.random()]) for _ in range(12)], None) for _ in range(300)]
