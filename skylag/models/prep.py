@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, FeatureHasher, OneHotEncoder, QuantileDiscretizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,5 +163,11 @@ def plain_numbers(columns: Sequence[str], suffix: str = "_num") -> SQLTransforme
     return _sql_stage({f"{c}{suffix}": f"cast(`{c}` as double) + 0D" for c in columns})
 
 
+def fit_bins(train: DataFrame, columns: Sequence[str], bins: int, suffix: str = "_bin") -> Bucketizer:
+    """Each column's values dealt to so many bins of about equal numbers of training rows; not-a-number has a bin of its own."""
+    return QuantileDiscretizer(
+        inputCols=list(columns), outputCols=[f"{c}{suffix}" for c in columns], numBuckets=bins, relativeError=0.001, handleInvalid="keep").fit(train)
+
+
 def assembler(columns: Sequence[str], output: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol=output)

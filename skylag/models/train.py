@@ -119,6 +119,25 @@ def fit_logistic(
     return PipelineModel(steps.stages)
 
 
+TREE_BINS = 32  # what the tree learner cuts a number into, as it does by default
+
+
+def _mergeable(rows: DataFrame, inputs: Sequence[str]) -> list[str] | None:
+    """The inputs of more than TREE_BINS values if rows that are equal, these inputs cut into bins, are at most half of all; else None.
+
+    A tree sees a number only by its bin. Every pass of the learner then reads the merged rows,
+    whose number is bounded by the values and not by the rows. Two scans of approximate counts decide.
+    """
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c, 0.02).alias(f"n_{i}") for i, c in enumerate(inputs)]).first()
+    wide = [c for i, c in enumerate(inputs) if counts[f"n_{i}"] > TREE_BINS]
+    most = 2 * TREE_BINS ** len(wide)  # merged rows for each combination of the other inputs, with the label
+    if not inputs or 2 * most > counts["rows"]:
+        return None
+    narrow = [c for c in inputs if c not in wide]
+    cells = rows.agg(F.approx_count_distinct(F.xxhash64(*narrow), 0.02)).first()[0] if narrow else 1
+    return wide if 2 * cells * most <= counts["rows"] else None
+
+
 def fit_boosted_trees(
     train: DataFrame,
     numeric: Sequence[str],
@@ -135,6 +154,8 @@ def fit_boosted_trees(
 ) -> PipelineModel:
     """Median and placeholder imputation, alphabetical codes, gradient-boosted trees.
 
+    Where equal rows are many, they are merged first, their weights added up; see `_mergeable`.
+
     `hashed` columns are text without a bound: their codes come from a hash, not from a vocabulary.
     """
     check_features([*numeric, *categorical, *hashed], allow)
@@ -153,9 +174,16 @@ def fit_boosted_trees(
     if hashed:
         steps.add(prep.hash_codes(hashed, slots))
         inputs += [f"{c}_hash" for c in hashed]
+    wide = _mergeable(steps.rows, inputs)
+    if wide is not None:
+        if wide:
+            steps.add(prep.fit_bins(steps.rows, wide, TREE_BINS))
+            inputs = [f"{c}_bin" if c in wide else c for c in inputs]
+        merged = steps.rows.groupBy(target, *inputs).agg(F.sum("weight").alias("weight"))
+        steps.rows = materialized(merged, "merged-rows")
     steps.add(prep.assembler(inputs))
     learner = GBTClassifier(
-        featuresCol="features", labelCol=target, weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed, checkpointInterval=10
+        featuresCol="features", labelCol=target, weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed, maxBins=TREE_BINS, checkpointInterval=10
     )
     steps.add(learner.fit(steps.rows))
     return PipelineModel(steps.stages)

@@ -1,5 +1,7 @@
 """Feature preparation and classifiers."""
 
+import glob
+import os
 import random
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from skylag.models import evaluate, prep, train
+from skylag.session import shared_folder
 
 
 def test_scaler_uses_population_deviation(spark):
@@ -122,3 +125,45 @@ def test_boosted_trees_learn_and_reload(spark, learnable, tmp_path):
 def test_unknown_weighting_is_refused(spark, learnable):
     with pytest.raises(ValueError):
         train.fit_logistic(learnable, ["Distance"], [], weighting="other")
+
+
+def merged_rows(spark):
+    """What the last fit merged its rows to."""
+    folders = glob.glob(os.path.join(shared_folder(spark), "merged-rows-*"))
+    return spark.read.parquet(max(folders, key=os.path.getmtime)).collect() if folders else []
+
+
+def test_equal_rows_are_merged_before_trees(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(2), rng.choice(["a", "b"])) for i in range(400)]
+    late = {(0, "a"): 0.2, (0, "b"): 0.4, (1, "a"): 0.6, (1, "b"): 0.9}
+    df = spark.createDataFrame([(*r, int(rng.random() < late[r[1:]])) for r in rows], "id int, x int, c string, DepDel15 int")
+    model = train.fit_boosted_trees(df, ["x"], ["c"], rounds=5)
+    merged = merged_rows(spark)
+    assert len(merged) == 8 and sum(r["weight"] for r in merged) == pytest.approx(400)
+    kept = train._mergeable
+    train._mergeable = lambda *_: None
+    try:
+        plain = train.fit_boosted_trees(df, ["x"], ["c"], rounds=5)
+    finally:
+        train._mergeable = kept
+    scores = [{(r["x"], r["c"]): r["score"] for r in train.score(m, df).select("x", "c", "score").collect()} for m in (model, plain)]
+    assert scores[0] == pytest.approx(scores[1])
+
+
+def test_wide_numbers_are_merged_by_bins(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(float(v), int(v + rng.randrange(400) > 700)) for v in (rng.randrange(1000) for _ in range(3000))], "v double, DepDel15 int")
+    model = train.fit_boosted_trees(df, ["v"], [], rounds=5)
+    merged = merged_rows(spark)
+    assert 32 <= len(merged) <= 64 and {r["DepDel15"] for r in merged} == {0, 1}
+    scored = train.score(model, df)
+    assert evaluate.roc_auc(scored).first()["auc"] > 0.9
+
+
+def test_rows_that_hardly_repeat_are_not_merged(spark):
+    rows = spark.createDataFrame([(i / 7, i % 3, i % 50, 1) for i in range(500)], "a double, b int, c int, DepDel15 int")
+    assert train._mergeable(rows, ["a", "b", "c"]) is None
+    assert train._mergeable(rows, ["b"]) == []
+    assert train._mergeable(rows, ["a", "b"]) == ["a"]
+    assert train._mergeable(rows.limit(300), ["a", "b"]) is None
