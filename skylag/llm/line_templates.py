@@ -55,7 +55,8 @@ def lines_of(docs: DataFrame, key: str, text: str, min_tokens: int, depth: int)
     each = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("number", "raw"))
     lined = each.filter(F.col("raw").rlike(r"\S"))
     bare = F.trim(F.col("raw"))
-    lined = lined.withColumn("line", F.when(token_count(bare) < min_tokens, bare).otherwise(masked(F.col("raw")))).withColumn("tokens", token_count(F.col("line")))
+    few = F.substring_index(bare, " ", max(min_tokens - 1, 0)) == bare  # fewer than `min_tokens` tokens
+    lined = lined.withColumn("line", F.when(few, bare).otherwise(masked(F.col("raw")))).withColumn("tokens", token_count(F.col("line")))
     leaf = F.xxhash64("tokens", F.substring_index("line", " ", depth))
     return lined.select("key", "version", "number", "line", "tokens", leaf.alias("leaf"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
@@ -71,9 +72,10 @@ def recurring(docs: DataFrame, lines: DataFrame, key: str, text: str, min_docs:
     leaves = variants.groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("variants"), F.max("long").alias("long")).filter((F.col("variants") > 1) & (F.col("total") >= enough))
     leaves = materialized(leaves.select("leaf"), "mixed_leaves")
 
-    # Texts of the variants of mixed leaves; every other line is ruled out before the shuffle.
+    # Texts of the variants of mixed leaves, each from its first document; every other line is ruled out before it is sorted or shuffled.
     whole = lines_of(docs, key, text, min_tokens, depth).filter(F.col("tokens") >= min_tokens)
-    texts = maybe_member(whole, F.col("leaf"), bitmap(leaves, "leaf")).filter("maybe")
+    wanted = maybe_member(variants, F.col("leaf"), bitmap(leaves, "leaf")).filter("maybe").select(F.xxhash64("k1", "k2", "first").alias("occurrence"))
+    texts = maybe_member(whole, F.xxhash64("k1", "k2", "key"), bitmap(wanted, "occurrence")).filter("maybe")
     texts = texts.groupBy("leaf", "k1", "k2").agg(F.min("line").alias("line"))
     mixed = materialized(texts.join(leaves, "leaf", "left_semi").join(variants.drop("leaf"), ["k1", "k2"]), "mixed_variants")
 

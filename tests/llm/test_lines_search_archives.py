@@ -246,3 +246,19 @@ def test_pipeline_drops_recurring_lines_of_any_share_and_length(spark):
     assert (got[5], got[6]) == (rows[4][1], "a start of another kind")
     assert got[7] == got[8] == "twice only in two documents"
     assert got[10] == rows[8][1] and all(got[k] == f"{'z' * k} begins this one\n\n{k}" for k in (11, 12))
+
+
+def test_each_variant_is_read_again_in_its_first_document_only(spark, monkeypatch):
+    found, plain = [], line_templates.maybe_member
+
+    def spy(df, *rest):
+        told = plain(df, *rest)
+        if "line" in df.columns:
+            found.append(sorted((r.key, r.line) for r in told.filter("maybe").collect()))
+        return told
+
+    monkeypatch.setattr(line_templates, "maybe_member", spy)
+    lines = ["one two three four five red seven eight", "one two three four five blue seven eight"]
+    docs = spark.createDataFrame([(i, "\n".join(lines if i else lines[:1])) for i in range(40)], "doc_id long, text string")
+    line_templates.drop_recurring(docs).count()
+    assert found == [[(0, lines[0]), (1, lines[1])]]
