@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skylag.llm.arrow import map_batches
+from skylag.llm.arrow import in_small_batches, map_batches
 
 PIECE_CHARS = 1 << 21  # characters worked on at a time; longer texts are cut between a word and a blank
 CACHED_FRAGMENTS = 250_000  # distinct fragments a Python worker remembers
@@ -335,7 +335,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                     yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for f in added)])
                     start, ready, size = start + len(ready), [], 0
 
-    return map_batches(df, run, schema)
+    return map_batches(in_small_batches(df), run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -350,4 +350,4 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
             texts = [None if x is None else coder.decode(np.frombuffer(x, "<u4")) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
 
-    return map_batches(df, run, schema)
+    return map_batches(in_small_batches(df), run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylag.llm.arrow import map_batches
+from skylag.llm.arrow import in_small_batches, map_batches
 from skylag.llm.bpe import LETTER, character_classes
 from skylag.session import materialized
 
@@ -157,7 +157,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=schema.names)
 
-    return map_batches(texts, run, schema).groupBy("bucket").agg(F.sum("documents").alias("documents"))
+    return map_batches(in_small_batches(texts), run, schema).groupBy("bucket").agg(F.sum("documents").alias("documents"))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
                     names=row_schema.names,
                 )
 
-    rows = materialized(map_batches(sampled.select("order", "language", "text"), described, row_schema), "language_sample")
+    rows = materialized(map_batches(in_small_batches(sampled.select("order", "language", "text")), described, row_schema), "language_sample")
     model_schema = T.StructType([T.StructField("weights", T.BinaryType()), T.StructField("temperature", T.DoubleType())])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,4 +246,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", language:
                 scores.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return map_batches(docs, run, schema)
+    return map_batches(in_small_batches(docs), run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skylag.llm import bpe
-from skylag.llm.arrow import map_batches
+from skylag.llm.arrow import in_small_batches, map_batches
 from skylag.llm.prefix import running_before
 from skylag.session import materialized
 
@@ -62,7 +62,7 @@ def encoded_parts(docs: DataFrame, vocabulary: str, key: str, text: str, end_id:
                     )
                     done, rows, size = done + len(rows), [], 0
 
-    return map_batches(source, run, schema)
+    return map_batches(in_small_batches(source), run, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = END_ID) -> DataFrame:
@@ -111,4 +111,4 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
             if rows:
                 yield ready()
 
-    return map_batches(placed, run, schema)
+    return map_batches(in_small_batches(placed), run, schema)

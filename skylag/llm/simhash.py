@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylag.llm.arrow import map_batches
+from skylag.llm.arrow import in_small_batches, map_batches
 from skylag.llm.components import components
 from skylag.session import materialized
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             values = np.array([fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(values.view(np.int64))], names=schema.names)
 
-    return map_batches(source, run, schema)
+    return map_batches(in_small_batches(source), run, schema)
 
 
 # -- anchors ---------------------------------------------------------------

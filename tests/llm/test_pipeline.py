@@ -1,13 +1,14 @@
 """The stages one by one, each against what it got."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_language_and_pii import plain_spans
 from test_near_duplicates import plain_fingerprint, union_find
 from test_text_encoding import check_packing
 
 import corpus_pipeline
-from skylag.llm import shingle_copies
+from skylag.llm import bpe, language, packing, shingle_copies, simhash
 from skylag.llm.queries import vocabulary_path
 from skylag.session import materialized
 
@@ -129,3 +130,51 @@ def test_unlike_texts_under_one_id_both_stay(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted(set(rows[:2]))
+
+
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.fixture
+def own_limit(spark):
+    spark.conf.unset(LIMIT)
+    yield
+    spark.conf.unset(LIMIT)
+
+
+def batch_sizes(docs):
+    """Rows and bytes of the batches in which a Python worker now gets the rows."""
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    return docs.mapInArrow(told, "rows long, bytes long").collect()
+
+
+TEXT_OPERATORS = {
+    "document_frequencies": lambda docs: language.document_frequencies(docs.select("text")),
+    "predict": lambda docs: language.predict(docs, language.Model(["en"], np.ones(language.BUCKETS), np.zeros((language.BUCKETS + 1, 1)), 1.0)),
+    "encoded_parts": lambda docs: packing.encoded_parts(docs, vocabulary_path(), "doc_id", "text", 1),
+    "encode": lambda docs: bpe.encode(docs, vocabulary_path()),
+    "sketches": lambda docs: shingle_copies.sketches(docs, "doc_id", "text"),
+    "fingerprints": simhash.fingerprints,
+}
+
+
+@pytest.mark.parametrize("operator", TEXT_OPERATORS)
+def test_workers_get_whole_texts_in_small_batches(spark, own_limit, operator):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text")
+    assert max(row["bytes"] for row in batch_sizes(docs)) > 12e6
+    assert TEXT_OPERATORS[operator](docs).count() > 0
+    sizes = batch_sizes(docs)
+    assert sum(row["rows"] for row in sizes) == 3000
+    assert max(row["bytes"] for row in sizes) < 1.1e6
+
+
+def test_long_texts_are_read_whole_and_an_own_limit_stays(spark, own_limit):
+    spark.conf.set(LIMIT, "100000")
+    docs = spark.range(0, 3, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 1000000) AS text", "repeat('cd ', 100) AS more")
+    coded = bpe.encode(docs, vocabulary_path(), decoded="decoded")
+    assert spark.conf.get(LIMIT) == "100000"
+    assert coded.filter("decoded = text AND length(more) = 300").count() == 3
