@@ -119,6 +119,18 @@ def test_near_copies_share_four_fifths_of_five_word_shingles(spark, sf_dir, node
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()} == set(group.values())
 
 
+def test_near_copies_by_fingerprint_are_linked(spark, sf_dir):
+    """Passages said over and over count once in a set of shingles, but as often as they stand there in a fingerprint."""
+    said = "the one passage that is said over and over again here " * 60
+    rows = [(7, said + "with an end of its own that nobody else has"), (3, said + "then comes some other end which is quite unlike it"), (3, "and a text of other words under the same number"), (9, "yet another text without any copy")]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 < min((prints[0] ^ prints[2]).bit_count(), (prints[2] ^ prints[3]).bit_count())
+    a, b = five_words(rows[0][1]), five_words(rows[1][1])
+    assert 5 * len(a & b) < 4 * len(a | b)
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[1:])
+
+
 def test_of_repeated_rows_the_same_one_stays(spark, sf_dir):
     rows = [(1, "the same text again", f"l{i}", "s") for i in range(20)]
     kept = [corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows[::step], "doc_id long, text string, lang string, source string").repartition(4), sf_dir).collect() for step in (1, -1)]
