@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylag.operators.ordered import range_bucketed, running_totals
-from skylag.operators.quality import medians
+from skylag.operators.quality import by_column, medians
 from skylag.session import materialized
 
 
@@ -149,11 +149,12 @@ def fit_one_hot(train: DataFrame, columns: Sequence[str], suffix: str = "_vec"):
 
 def fit_scaler(train: DataFrame, columns: Sequence[str], suffix: str = "_std") -> SQLTransformer:
     """Subtract the mean and divide by the population standard deviation (1 if that is 0)."""
-    measures = [f(F.col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_pop)]
-    row = train.agg(*measures).first()
+    measures = by_column(train, columns).groupBy("place").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))
+    found = {r["place"]: (r["mean"], r["spread"]) for r in measures.collect()}
     stage = {}
     for i, c in enumerate(columns):
-        mean, spread = row[2 * i] or 0.0, row[2 * i + 1] or 1.0
+        mean, spread = found.get(i, (None, None))
+        mean, spread = mean or 0.0, spread or 1.0
         stage[f"{c}{suffix}"] = f"(cast(`{c}` as double) - {mean!r}D) / {spread!r}D"
     return _sql_stage(stage)
 

@@ -142,6 +142,11 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
 
 
+def by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (place, value): the columns' values as doubles, one row each, with the place of the column among them."""
+    return df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("place", "value"))
+
+
 DIGITS = 65_536  # counts a column, range and pass
 LOG_ENDS = 710.0  # logarithms of doubles lie between
 
@@ -152,6 +157,28 @@ def _log_digit(value: Column) -> Column:
     return F.floor((F.signum(value) * size + LOG_ENDS) / (2 * LOG_ENDS) * (DIGITS - 1)).cast("bigint")
 
 
+def _cells(df: DataFrame, columns: Sequence[str], ranges: Sequence[tuple[int, float, float, dict[int, int] | None]]) -> DataFrame:
+    """Rows (range, digit, value) of all known values within a range of their column; the ranges of a column do not overlap.
+
+    Values are laid out by column first, so that one small expression gives the range and digit for any number of columns.
+    """
+    places = sorted({i for i, *_ in ranges})
+    laid = by_column(df, [columns[i] for i in places]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    if ranges[0][3] is None:  # the first pass: one range a column, which holds all values
+        return laid.select(F.col("place").alias("range"), _log_digit(F.col("value")).alias("digit"), "value")
+    own = [[number for number, r in enumerate(ranges) if r[0] == i] for i in places]
+
+    def known(numbers: Sequence[int | None], end: int) -> Column:
+        return F.array(*[F.lit(None if n is None else ranges[n][end]).cast("double") for n in numbers])
+
+    layers = [[n[k] if k < len(n) else None for n in own] for k in range(max(map(len, own)))]
+    place, value = F.col("place"), F.col("value")
+    number = F.coalesce(*[F.when(value.between(known(layer, 1)[place], known(layer, 2)[place]), F.array(*[F.lit(n).cast("int") for n in layer])[place]) for layer in layers])
+    within = laid.select(number.alias("range"), "value").filter("range IS NOT NULL")
+    low, high = (known(range(len(ranges)), end)[F.col("range")] for end in (1, 2))
+    return within.select("range", F.floor((value - low) / (high - low) * (DIGITS - 1)).cast("bigint").alias("digit"), "value")
+
+
 def _places(total: int, shares: Sequence[float]) -> list[int]:
     """The ranks, from 0, on both sides of each share of so many values."""
     return sorted({f((total - 1) * q) for q in shares for f in (math.floor, math.ceil)})
@@ -166,17 +193,11 @@ def ranked_values(df: DataFrame, columns: Sequence[str], shares: Sequence[float]
     the range between its own least and largest value. Only counts are moved and sorted; a few
     passes resolve all doubles.
     """
-    numbers = _numbers(df, columns)
     found: dict[str, tuple[int, dict[int, float]]] = {c: (0, {}) for c in columns}
     # Ranges looked at: column, least and largest value, and the wanted ranks with their place inside.
     ranges: list[tuple[int, float, float, dict[int, int] | None]] = [(i, -math.inf, math.inf, None) for i in range(len(columns))]
     while ranges:
-        cells = []
-        for number, (i, low, high, wanted) in enumerate(ranges):
-            v = F.col(f"v{i}")
-            digit = _log_digit(v) if wanted is None else F.floor((v - low) / (high - low) * (DIGITS - 1)).cast("bigint")
-            cells.append(F.when(v.between(low, high), F.struct(F.lit(number).alias("range"), digit.alias("digit"), v.alias("value"))))
-        each = numbers.select(F.explode(F.array(*cells)).alias("cell")).filter("cell IS NOT NULL").select("cell.*")
+        each = _cells(df, columns, ranges)
         counts = each.groupBy("range", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         rising = Window.partitionBy("range").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(rising), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("range"))})

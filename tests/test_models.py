@@ -1,6 +1,7 @@
 """Feature preparation and classifiers."""
 
 import glob
+import math
 import os
 import random
 
@@ -9,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from skylag.models import evaluate, prep, train
+from skylag.operators import quality
 from skylag.session import shared_folder
 
 
@@ -29,6 +31,29 @@ def test_imputer_uses_training_median(spark):
     assert {r["x_imp"] for r in prep.fit_median_imputer(fit, ["x"]).transform(other).collect()} == {3.0, 9.0}
 
 
+def test_statistics_of_many_columns_are_one_small_expression(spark):
+    """An expression for each column makes code that the JVM does not compile; laid out by column there is one for all."""
+    rng = random.Random(4)
+    rows = [[rng.choice([None, float("nan"), -0.0, float(rng.randrange(50)), rng.gauss(0, 1e4), 10.0**rng.randrange(-300, 300)]) for _ in range(60)] for _ in range(300)]
+    names = [f"c {i}" for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names))
+    cells = quality._cells(df, names, [(i, -math.inf, math.inf, None) for i in range(60)])
+    assert cells._jdf.queryExecution().executedPlan().toString().count("LOG1P") == 1
+    found = quality.ranked_values(df, names, [0.25, 0.5, 0.75])
+    for i, c in enumerate(names):
+        known = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        places = {f((len(known) - 1) * q) for q in (0.25, 0.5, 0.75) for f in (math.floor, math.ceil)}
+        assert found[c] == (len(known), {k: known[k] for k in places})
+
+
+def test_scaler_and_merging_read_values_by_column(spark):
+    df = spark.createDataFrame([(i % 2, float(i % 40), None, 5.0) for i in range(800)], "a int, b double, c double, d double")
+    got = prep.fit_scaler(df, ["a", "c", "b", "d"]).transform(df).select("a_std", "b_std", "c_std", "d_std").first()
+    assert tuple(got) == (pytest.approx(-1.0), pytest.approx(-19.5 / ((40**2 - 1) / 12) ** 0.5), None, 0.0)
+    assert train._mergeable(df, ["a", "b", "d"]) == ["b"] and train._mergeable(df, []) is None
+    assert train._mergeable(df.limit(0), ["a", "b"]) is None
+
+
 def test_one_hot_of_unseen_value_is_zero(spark):
     fit = spark.createDataFrame([("a",), ("b",)], "c string")
     indexer = prep.fit_indexer(fit, ["c"])
