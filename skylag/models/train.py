@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skylag import fixed_values as fixed
 from skylag.models import prep
 from skylag.operators.filters import without_columns_named_like
-from skylag.operators.quality import leakage_columns, time_travel_columns
+from skylag.operators.quality import by_column, leakage_columns, time_travel_columns
 from skylag.schemas import numeric_columns, text_columns
 from skylag.session import ensure_checkpoint_dir, materialized
 
@@ -128,14 +128,17 @@ def _mergeable(rows: DataFrame, inputs: Sequence[str]) -> list[str] | None:
     A tree sees a number only by its bin. Every pass of the learner then reads the merged rows,
     whose number is bounded by the values and not by the rows. Two scans of approximate counts decide.
     """
-    counts = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c, 0.02).alias(f"n_{i}") for i, c in enumerate(inputs)]).first()
-    wide = [c for i, c in enumerate(inputs) if counts[f"n_{i}"] > TREE_BINS]
+    if not inputs:
+        return None
+    counts = by_column(rows, inputs).groupBy("place").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("value", 0.02).alias("n")).collect()
+    total = max((r["rows"] for r in counts), default=0)
+    wide = [inputs[i] for i in sorted(r["place"] for r in counts if r["n"] > TREE_BINS)]
     most = 2 * TREE_BINS ** len(wide)  # merged rows for each combination of the other inputs, with the label
-    if not inputs or 2 * most > counts["rows"]:
+    if 2 * most > total:
         return None
     narrow = [c for c in inputs if c not in wide]
     cells = rows.agg(F.approx_count_distinct(F.xxhash64(*narrow), 0.02)).first()[0] if narrow else 1
-    return wide if 2 * cells * most <= counts["rows"] else None
+    return wide if 2 * cells * most <= total else None
 
 
 def fit_boosted_trees(
